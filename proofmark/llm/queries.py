@@ -5,7 +5,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import token_counts, word_codec
+from . import fingerprints, sharding, simhash, suffix_dedup, token_counts, word_codec
 from .common import documents
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -15,10 +15,26 @@ def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.token_counts(documents(spark, sf_dir), public_tokenizers.path("piece_bpe_32k.model"))
 
 
+def op3_rendezvous_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.shard(documents(spark, sf_dir), [1.0] * 24)
+
+
+def op5_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprints.fingerprints(documents(spark, sf_dir))
+
+
+def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.simhash_components(documents(spark, sf_dir))
+
+
+def op8_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.suffix_dedup(documents(spark, sf_dir))
+
+
 def op9_word_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     return word_codec.encode_digests(documents(spark, sf_dir), public_tokenizers.path("word_bpe_49k.json"))
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_token_counts, op9_word_codec)}
+QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_token_counts, op3_rendezvous_shards, op5_fingerprints, op7_simhash, op8_suffix_dedup, op9_word_codec)}
 
 ORACLE_SQL: dict[str, str] = {}
