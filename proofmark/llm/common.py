@@ -2,9 +2,8 @@
 
 import tempfile
 import uuid
-from collections.abc import Iterable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -34,6 +33,25 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
-def chunks(items: list, size: int) -> Iterable[list]:
-    for at in range(0, len(items), size):
-        yield items[at : at + size]
+#: Bits of the table that tells which documents may have work left; its size does not grow with the data.
+SLOTS = 1 << 23
+MARK = "marked__"
+
+
+def _slot() -> Column:
+    return F.pmod(F.xxhash64(F.col("doc_id").cast("long")), F.lit(SLOTS))
+
+
+def marks(ids: DataFrame) -> DataFrame:
+    """A bit for each slot that a doc_id of `ids` falls in: 1 MB at most, whatever the data."""
+    slots = ids.select(_slot().alias("slot"))
+    return slots.groupBy(F.bitmap_bucket_number("slot").alias("bucket__")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("slot")).alias("bits__"))
+
+
+def with_mark(docs: DataFrame, marked: DataFrame) -> DataFrame:
+    """`docs` with MARK: false only where the doc_id is not among those of the marks. No shuffle of `docs`."""
+    bit = F.bitmap_bit_position(_slot())
+    byte = F.conv(F.hex(F.substring("bits__", (bit / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    hit = byte.bitwiseAND(F.pow(F.lit(2), bit % 8).cast("int")) > 0
+    joined = docs.withColumn("bucket__", F.bitmap_bucket_number(_slot())).join(F.broadcast(marked), "bucket__", "left")
+    return joined.withColumn(MARK, F.coalesce(hit, F.lit(False))).drop("bucket__", "bits__")

@@ -5,7 +5,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import fingerprints, sharding, simhash, suffix_dedup, token_counts, word_codec
+from . import fingerprints, language, packing, pseudonyms, sharding, simhash, suffix_dedup, token_counts, topk, word_codec
 from .common import documents
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -15,14 +15,26 @@ def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.token_counts(documents(spark, sf_dir), public_tokenizers.path("piece_bpe_32k.model"))
 
 
+def op2_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(documents(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.PATTERN)
+
+
 def op3_rendezvous_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard(documents(spark, sf_dir), [1.0] * 24)
 
 
+def op4_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pseudonyms.pseudonymised_texts(documents(spark, sf_dir))
+
+
 def op5_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints.fingerprints(documents(spark, sf_dir))
 
 
+def op6_segment_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk.top_k(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+
+
 def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.simhash_components(documents(spark, sf_dir))
 
@@ -35,6 +47,17 @@ def op9_word_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     return word_codec.encode_digests(documents(spark, sf_dir), public_tokenizers.path("word_bpe_49k.json"))
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_token_counts, op3_rendezvous_shards, op5_fingerprints, op7_simhash, op8_suffix_dedup, op9_word_codec)}
+def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    return language.identify(docs, language.train(docs))
+
+
+QUERIES: dict[str, Query] = {
+    f.__name__: f
+    for f in (
+        op1_token_counts, op2_best_fit_packing, op3_rendezvous_shards, op4_pseudonyms, op5_fingerprints,
+        op6_segment_top_k, op7_simhash, op8_suffix_dedup, op9_word_codec, op10_language,
+    )
+}
 
 ORACLE_SQL: dict[str, str] = {}

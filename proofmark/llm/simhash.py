@@ -26,25 +26,29 @@ SPLIT_ABOVE = 20_000
 FAN = 16
 
 
+def _hashes(words: list[bytes], size: int) -> np.ndarray:
+    shingles = map(b" ".join, zip(*(words[k:] for k in range(size)), strict=False)) if len(words) >= size else [b" ".join(words)]
+    return np.fromiter((xxhash.xxh64_intdigest(s, 42) for s in shingles), dtype=np.uint64, count=max(1, len(words) - size + 1))
+
+
+def _majority(hashes: np.ndarray) -> int:
+    ones = np.zeros(BITS, dtype=np.int64)
+    for at in range(0, len(hashes), 1 << 16):
+        ones += np.unpackbits(hashes[at : at + (1 << 16)].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+    return int(np.packbits(2 * ones > len(hashes), bitorder="little").view("<i8")[0])
+
+
 def fingerprint(text: str, words: int) -> int:
     """Bit i is 1 if it is 1 in over half the XXH64 hashes of the text's word shingles."""
     w = text.encode("utf-8", "surrogatepass").lower().split()  # of bytes: A-Z, and the six ASCII spaces
-    if not w:
-        return 0
-    shingles = map(b" ".join, zip(*(w[k:] for k in range(words)), strict=False)) if len(w) >= words else [b" ".join(w)]
-    n = max(1, len(w) - words + 1)
-    hashes = np.fromiter((xxhash.xxh64_intdigest(s, 42) for s in shingles), dtype=np.uint64, count=n)
-    ones = np.zeros(BITS, dtype=np.int64)
-    for at in range(0, n, 1 << 16):
-        ones += np.unpackbits(hashes[at : at + (1 << 16)].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-    return int(np.packbits(2 * ones > n, bitorder="little").view("<u8")[0])
+    return _majority(_hashes(w, words)) if w else 0
 
 
 def _fingerprints(words: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            got = np.array([fingerprint(t, words) for t in batch.column("text").to_pylist()], dtype=np.uint64)
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(got.view(np.int64))], names=["doc_id", "fp"])
+            got = np.array([fingerprint(t, words) for t in batch.column("text").to_pylist()], dtype=np.int64)
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(got)], names=["doc_id", "fp"])
 
     return run
 
@@ -91,7 +95,8 @@ class GrayIndex:
     """A tree over fingerprints in Gray order; each node keeps the shared bits that its parent does not."""
 
     def __init__(self, codes: np.ndarray) -> None:
-        self.codes = codes[np.argsort(gray_rank(codes), kind="stable")]
+        self.order = np.argsort(gray_rank(codes), kind="stable")
+        self.codes = codes[self.order]
         shared, pattern = np.full(len(codes), ~np.uint64(0)), self.codes
         levels = [(pattern, shared)]
         while len(pattern) > 1:
@@ -119,10 +124,12 @@ class GrayIndex:
         return q[near], node[near]
 
 
-def _stars(codes: np.ndarray, bits: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """For the fingerprints of one group: each that is linked, and the least that links lead to within the group."""
+def _stars(codes: np.ndarray, ids: np.ndarray, wide: np.ndarray | None, bits: int, wide_bits: int) -> tuple[np.ndarray, np.ndarray]:
+    """For the fingerprints of one group: the ids of each that is linked and of the one that stands for all it is linked to.
+    With wide fingerprints these, too, must not differ in more than `wide_bits`."""
     index = GrayIndex(codes)
-    codes = index.codes
+    codes, ids = index.codes, ids[index.order]
+    wide = None if wide is None else wide[index.order]
     root = np.arange(len(codes))
 
     def find(x: np.ndarray) -> np.ndarray:
@@ -133,58 +140,68 @@ def _stars(codes: np.ndarray, bits: int) -> Iterator[tuple[np.ndarray, np.ndarra
     step = max(1, 2_000_000 // len(codes))
     for at in range(0, len(codes), step):
         q, x = index.search(codes[at : at + step], bits)
+        if wide is not None:
+            apart = sum(np.bitwise_count(w[q + at] ^ w[x]).astype(np.int16) for w in wide.T)
+            q, x = q[apart <= wide_bits], x[apart <= wide_bits]
         pairs = np.unique(np.stack([find(q + at), find(x)], 1), axis=0)
         for a, b in pairs[pairs[:, 0] != pairs[:, 1]].tolist():
             a, b = int(find(np.array([a]))[0]), int(find(np.array([b]))[0])
             root[max(a, b)] = min(a, b)
     root = find(root)
     linked = root != np.arange(len(codes))
-    yield codes[linked], codes[root[linked]]
+    return ids[linked], ids[root[linked]]
+
+
+WIDE = ("w0", "w1", "w2", "w3")
 
 
-def _links(bits: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    def groups(batches: Iterator[pa.RecordBatch]) -> Iterator[np.ndarray]:
-        """The fingerprints of each group of more than one; rows come sorted by group."""
-        held, held_key = [], None
+def _links(bits: int, wide_bits: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    def groups(batches: Iterator[pa.RecordBatch]) -> Iterator[list[np.ndarray]]:
+        """The rows of each group of more than one; they come sorted by group."""
+        held: list[list[np.ndarray]] = []
+        held_key = None
         for batch in batches:
             if not batch.num_rows:
                 continue
-            mask, key, fp = (batch.column(c).to_numpy() for c in ("mask", "key", "fp"))
+            mask, key = batch.column("mask").to_numpy(), batch.column("key").to_numpy()
+            rows = [batch.column(c).to_numpy() for c in batch.schema.names if c not in ("mask", "key")]
             cuts = np.flatnonzero((mask[1:] != mask[:-1]) | (key[1:] != key[:-1])) + 1
-            edges = np.concatenate([[0], cuts, [len(fp)]])
-            for a, b in _runs(edges):
-                k = (int(mask[a]), int(key[a]))
-                if k != held_key:
-                    if sum(map(len, held)) > 1:
-                        yield np.concatenate(held)
+            edges = np.concatenate([[0], cuts, [len(key)]])
+            keep = np.diff(edges) > 1
+            keep[0] = keep[-1] = True  # a group of one can go on only at an end of the batch
+            for a, b in zip(edges[:-1][keep].tolist(), edges[1:][keep].tolist(), strict=True):
+                if (k := (int(mask[a]), int(key[a]))) != held_key:
+                    yield from joined(held)
                     held, held_key = [], k
-                held.append(fp[a:b])
-        if sum(map(len, held)) > 1:
-            yield np.concatenate(held)
+                held.append([c[a:b] for c in rows])
+        yield from joined(held)
 
-    def _runs(edges: np.ndarray) -> Iterator[tuple[int, int]]:
-        """The runs of a batch but those of one row that can't go on: neither the first nor the last of the batch."""
-        keep = np.diff(edges) > 1
-        keep[0] = keep[-1] = True
-        yield from zip(edges[:-1][keep].tolist(), edges[1:][keep].tolist(), strict=True)
+    def joined(held: list[list[np.ndarray]]) -> Iterator[list[np.ndarray]]:
+        if sum(len(h[0]) for h in held) > 1:
+            yield [np.concatenate(c) for c in zip(*held, strict=True)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for fp in groups(batches):
-            for a, b in _stars(fp.view(np.uint64), bits):
-                if len(a):
-                    yield pa.RecordBatch.from_arrays([pa.array(a.view(np.int64)), pa.array(b.view(np.int64))], names=["a", "b"])
+        for fp, *more in groups(batches):
+            wide = np.stack(more[1:], axis=1).view(np.uint64) if len(more) > 1 else None
+            a, b = _stars(fp.view(np.uint64), more[0] if more else fp, wide, bits, wide_bits)
+            if len(a):
+                yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
 
     return run
 
 
-def links(fps: DataFrame, bits: int = 3, split_above: int = SPLIT_ABOVE) -> DataFrame:
+def links(fps: DataFrame, bits: int = 3, split_above: int = SPLIT_ABOVE, masks: list[int] | None = None, wide_bits: int = 0) -> DataFrame:
     """Edges (a, b) between the distinct longs of column fp: their components are those of "differs in at most `bits` bits".
 
+    With columns id and w0 to w3 besides, the edges are between ids, and w0 to w3 differ in at most `wide_bits` bits too.
+    Without `masks` no link is lost; with masks those are found that agree on one of them.
+
     A group of more than `split_above` fingerprints is split by `bits` + 1 blocks of the bits it does not share, as often
     as that takes; nothing is left out.
     """
-    masks = first_masks(bits)
-    level = fps.select("fp", F.explode(F.array(*map(_long, masks))).alias("mask"))
+    masks = masks or first_masks(bits)
+    columns = fps.columns
+    level = fps.select(*columns, F.explode(F.array(*map(_long, masks))).alias("mask"))
     out = []
     while True:
         level = level.withColumn("key", F.col("fp").bitwiseAND(F.col("mask")))
@@ -198,13 +215,13 @@ def links(fps: DataFrame, bits: int = 3, split_above: int = SPLIT_ABOVE) -> Data
         finer = {m: f for m, f in finer.items() if m in split}
         out.append(level.join(large, ["mask", "key"], "left_anti"))
         to = F.create_map(*(x for m, f in finer.items() for x in (_long(m), F.array(*map(_long, f)))))
-        level = level.join(large, ["mask", "key"], "left_semi").select("fp", F.explode(to[F.col("mask")]).alias("mask"))
+        level = level.join(large, ["mask", "key"], "left_semi").select(*columns, F.explode(to[F.col("mask")]).alias("mask"))
         masks = sorted({x for f in finer.values() for x in f})
     keyed = out[0]
     for more in out[1:]:
         keyed = keyed.unionByName(more)
-    keyed = keyed.select("mask", "key", "fp").repartition("mask", "key").sortWithinPartitions("mask", "key")
-    return keyed.mapInArrow(_links(bits), "a long, b long")
+    keyed = keyed.select("mask", "key", *columns).repartition("mask", "key").sortWithinPartitions("mask", "key")
+    return keyed.mapInArrow(_links(bits, wide_bits), "a long, b long")
 
 
 def near_copies(fps: DataFrame, bits: int = 3, split_above: int = SPLIT_ABOVE) -> DataFrame:
@@ -228,3 +245,67 @@ def simhash_components(docs: DataFrame, words: int = 3, bits: int = 3) -> DataFr
     """
     fps = stored(fingerprints(docs, words), "fps")
     return near_copies(fps, bits).select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+
+
+#: Of similar texts: the share of bits in which fingerprints of five-word shingles may differ. Texts with a share of 0.8
+#: of their shingles in common have a cosine of 2 x 0.8 / (1 + 0.8), so differ in 15.2% of the bits on average.
+SIMILARITY, SHINGLE = 0.8, 5
+#: Words of the shingles whose fingerprint finds the pairs: a changed word changes few of them. Texts at the limit change
+#: under 4.5% of these, which is 9.5% of the bits; `NEAR_BITS` of 64 leave room.
+FINDER, FINDER_AGREE, NEAR_BITS = 2, 0.905, 16
+MISS = 0.01
+
+
+def wide_limit(similarity: float = SIMILARITY) -> int:
+    """Bits of 256 in which texts of this similarity differ on average, and a standard deviation more, to lose few of them."""
+    share = np.arccos(2 * similarity / (1 + similarity)) / np.pi
+    return int(256 * share + (256 * share * (1 - share)) ** 0.5)
+
+
+def sample_masks(nodes: int) -> list[int]:
+    """Masks of so many bits that unlike fingerprints seldom agree on one, so many that like ones miss all at most 1 in 100."""
+    size = min(32, max(16, int(nodes).bit_length() - 2))
+    tables = int(np.ceil(np.log(MISS) / np.log(1 - FINDER_AGREE**size)))
+    rng, per = np.random.default_rng(5), BITS // size
+    out: list[int] = []
+    while len(out) < tables:
+        order = rng.permutation(BITS)
+        out += [_signed(sum(1 << int(b) for b in order[k * size : (k + 1) * size])) for k in range(per)]
+    return out
+
+
+def wide_fingerprint(text: str) -> tuple[int, ...]:
+    """The finder's 64 bits and 256 bits over the set of five-word shingles."""
+    words = text.encode("utf-8", "surrogatepass").lower().split()
+    if not words:
+        return (0,) * 5
+    h = np.unique(_hashes(words, SHINGLE))
+    out = [_majority(np.unique(_hashes(words, FINDER)))]
+    for k in range(4):
+        mixed = (h ^ (h >> np.uint64(31))) * np.uint64(0x9E3779B97F4A7C15 + 2 * k * 0x632BE5AB)
+        out.append(_majority(mixed ^ (mixed >> np.uint64(29 + k))))
+    return tuple(out)
+
+
+def _wide_fingerprints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        got = np.array([wide_fingerprint(t) for t in batch.column("text").to_pylist()], dtype=np.int64).reshape(-1, 5)
+        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *(pa.array(c) for c in got.T.copy())], names=["doc_id", "fp", *WIDE])
+
+
+def similar_groups(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
+    """doc_id and component_id, the smallest doc_id of the group, for each row of `docs` with a doc_id.
+
+    Two texts are linked if the SimHash fingerprints of their five-word shingles (256 bits) are as close as those of texts
+    that share `similarity` of them. Candidates are found by a second fingerprint, of two-word shingles, which such texts
+    share but for a few bits: 64 bits, grouped by samples of them as `sample_masks` says. Texts without words are one group.
+    """
+    kind = "doc_id long, fp long, " + ", ".join(f"{w} long" for w in WIDE)
+    fps = stored(texts(docs).filter("doc_id is not null").mapInArrow(_wide_fingerprints, kind), "wide")
+    nodes = stored(fps.groupBy("fp", *WIDE).agg(F.min("doc_id").alias("id")), "nodes")
+    edges = links(nodes.select("fp", "id", *WIDE), NEAR_BITS, masks=sample_masks(nodes.count()), wide_bits=wide_limit(similarity))
+    roots = components(edges)
+    named = nodes.join(roots, nodes.id == roots.node, "left").select("fp", *WIDE, "id", F.coalesce("root", "id").alias("root"))
+    least = named.groupBy("root").agg(F.min("id").alias("component_id"))
+    named = named.join(least, "root").select("fp", *WIDE, "component_id")
+    return fps.join(named, ["fp", *WIDE]).select("doc_id", "component_id")

@@ -16,12 +16,13 @@ import hashlib
 from collections.abc import Callable, Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import stored, texts
+from .common import MARK, marks, stored, texts, with_mark
 
 SPAN = 200
 ANCHOR = 64
@@ -33,8 +34,6 @@ BLOCK = 1 << 18
 SPLIT_ABOVE = 20_000
 #: Places in a run that meet together once an anchor is split.
 GRID = 16
-#: Bits of the table that tells which documents may have work left; its size does not grow with the data.
-SLOTS = 1 << 23
 
 _A, _B, _C = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0xD6E8FEB86659FD93))
 
@@ -174,26 +173,6 @@ def _ranked(docs: DataFrame) -> DataFrame:
     return rows.select("anchor", "doc_id", "place", state.alias("state"), (F.col("kinds") > SPLIT_ABOVE).alias("split")).filter("state is not null")
 
 
-def _slot(doc_id: str) -> Column:
-    return F.pmod(F.xxhash64(doc_id), F.lit(SLOTS))
-
-
-def _marked(ids: DataFrame) -> DataFrame:
-    """A bit for each slot that a doc_id of `ids` falls in: 1 MB at most, whatever the data."""
-    slots = ids.select(_slot("doc_id").alias("slot"))
-    return slots.groupBy(F.bitmap_bucket_number("slot").alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("slot")).alias("bits"))
-
-
-def _with_mark(docs: DataFrame, marks: DataFrame) -> DataFrame:
-    """`docs` with `marked`: false only where the doc_id is not among those of the marks."""
-    slot = docs.withColumn("slot", _slot("doc_id")).withColumn("bucket", F.bitmap_bucket_number("slot"))
-    at = F.bitmap_bit_position("slot")
-    byte = F.conv(F.hex(F.substring("bits", (at / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
-    bit = F.shiftright(byte, 0).bitwiseAND(F.pow(F.lit(2), at % 8).cast("int"))
-    joined = slot.join(F.broadcast(marks), "bucket", "left")
-    return joined.select("doc_id", "text", F.coalesce(bit > 0, F.lit(False)).alias("marked"))
-
-
 def _contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The text of each asked run. Runs of a very frequent anchor are cut at a grid of distances from the anchor and meet
     by the bytes that all strings of the cut share, over 184."""
@@ -295,7 +274,7 @@ def repeated_places(rows: DataFrame) -> DataFrame:
     """doc_id and place for every repeated string of the texts, rows (doc_id, text) without nulls; see `merged`."""
     ranked = stored(_ranked(rows), "ranked")
     asked = ranked.filter(F.col("state") >= PARTNER)
-    wanted = _with_mark(rows, _marked(asked)).filter("marked").select("doc_id", "text")
+    wanted = with_mark(rows, marks(asked)).filter(MARK).select("doc_id", "text")
     asked = asked.groupBy("doc_id").agg(F.collect_list(F.struct("anchor", "place", "state", "split")).alias("asked"))
     contexts = wanted.join(asked, "doc_id").mapInArrow(_contexts, "anchor long, doc_id long, place long, state int, body binary")
     contexts = contexts.repartition("anchor").sortWithinPartitions("anchor")
@@ -328,7 +307,7 @@ def _digests(body: bytes, spans: list[tuple[int, int]]) -> tuple:
     return len(body), sum(b - a for a, b in spans), len(spans), hashlib.sha256(_kept(body, spans)).hexdigest()
 
 
-def _whole_characters(body: bytes, spans: list[tuple[int, int]]) -> tuple:
+def _whole_characters(body: bytes, spans: list[tuple[int, int]]) -> str:
     """The kept text; a character of which a byte stays, stays whole."""
     inner = []
     for a, b in spans:
@@ -337,17 +316,17 @@ def _whole_characters(body: bytes, spans: list[tuple[int, int]]) -> tuple:
         while b > a and b < len(body) and body[b] & 0xC0 == 0x80:
             b -= 1
         inner.append((a, b))
-    return (_kept(body, inner).decode("utf-8", "surrogatepass"),)
+    return _kept(body, inner).decode("utf-8", "surrogatepass")
 
 
 def _split_rows(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Rows whose text can't have repeats, and (doc_id, text, places) of the others. Only the others' text is moved."""
     rows = texts(docs).withColumn("doc_id", F.coalesce("doc_id", F.lit(-1)))
     places = repeated_places(rows)
-    marked = _with_mark(rows, _marked(places))
+    marked = with_mark(rows, marks(places))
     grouped = places.groupBy("doc_id").agg(F.collect_list("place").alias("places"))
-    touched = marked.filter("marked").select("doc_id", "text").join(grouped, "doc_id", "left")
-    return marked.filter("not marked").select("doc_id", "text"), touched
+    touched = marked.filter(MARK).select("doc_id", "text").join(grouped, "doc_id", "left")
+    return marked.filter(~F.col(MARK)).select("doc_id", "text"), touched
 
 
 def suffix_dedup(docs: DataFrame) -> DataFrame:
@@ -365,7 +344,27 @@ def suffix_dedup(docs: DataFrame) -> DataFrame:
     return plain.unionByName(cut)
 
 
-def without_repeats(docs: DataFrame) -> DataFrame:
-    """doc_id and text, the text without its repeated strings; a character of which a byte stays, stays whole."""
-    clean, touched = _split_rows(docs)
-    return clean.unionByName(touched.mapInArrow(_cut(_whole_characters, ["text"], [pa.string()]), "doc_id long, text string"))
+def cut_repeats(docs: DataFrame) -> DataFrame:
+    """`docs` with its own columns, the text without its repeated strings and n_chars, where there is one, as it is then.
+
+    A character of which a byte stays, stays whole. A null text stays null; a text of repeats alone is empty. Rows stay.
+    """
+    key = F.coalesce(F.col("doc_id").cast("long"), F.lit(-1))
+    places = repeated_places(texts(docs).withColumn("doc_id", key))
+    named = docs.withColumn("key__", key)
+    marked = with_mark(named, marks(places))
+    grouped = places.groupBy(F.col("doc_id").alias("place_key__")).agg(F.collect_list("place").alias("places__"))
+    touched = marked.filter(MARK).join(grouped, F.col("key__") == F.col("place_key__"), "left")
+
+    @F.pandas_udf("string")
+    def cut(text: pd.Series, places: pd.Series) -> pd.Series:
+        out = []
+        for t, p in zip(text, places, strict=True):
+            body = None if t is None else t.encode("utf-8", "surrogatepass")
+            out.append(t if t is None or p is None else _whole_characters(body, merged(list(p), body)))
+        return pd.Series(out, dtype=object)
+
+    touched = touched.withColumn("text", cut("text", "places__"))
+    if "n_chars" in docs.columns:
+        touched = touched.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
+    return marked.filter(~F.col(MARK)).select(*docs.columns).unionByName(touched.select(*docs.columns))
