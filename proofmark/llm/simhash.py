@@ -22,8 +22,8 @@ from .components import components
 BITS = 64
 #: Distinct fingerprints in a group above which the group is split by further bits.
 SPLIT_ABOVE = 20_000
-#: Children of an index node.
-FAN = 16
+#: Children of an index node, and rows of a group that are compared without an index.
+FAN, LEAF = 16, 32
 
 
 def _hashes(words: list[bytes], size: int) -> np.ndarray:
@@ -155,35 +155,73 @@ def _stars(codes: np.ndarray, ids: np.ndarray, wide: np.ndarray | None, bits: in
 WIDE = ("w0", "w1", "w2", "w3")
 
 
+def _small_groups(group: np.ndarray, codes: np.ndarray, ids: np.ndarray, wide: np.ndarray | None, bits: int, wide_bits: int) -> tuple[np.ndarray, np.ndarray]:
+    """The same as `_stars` for many groups of one leaf each, with no tree above it: each row against those after it."""
+    root = np.arange(len(codes))
+    left, right = [], []
+    for step in range(1, LEAF):
+        at = np.flatnonzero(group[step:] == group[:-step])
+        if not len(at):
+            break
+        at = at[np.bitwise_count(codes[at] ^ codes[at + step]) <= bits]
+        if wide is not None:
+            at = at[sum(np.bitwise_count(w[at] ^ w[at + step]).astype(np.int16) for w in wide.T) <= wide_bits]
+        left.append(at)
+        right.append(at + step)
+    if not left:
+        return ids[:0], ids[:0]
+    a, b = np.concatenate(left), np.concatenate(right)
+    while True:
+        before = root.copy()
+        np.minimum.at(root, b, root[a])
+        np.minimum.at(root, a, root[b])
+        if (root == before).all():
+            break
+    linked = root != np.arange(len(codes))
+    return ids[linked], ids[root[linked]]
+
+
 def _links(bits: int, wide_bits: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    def groups(batches: Iterator[pa.RecordBatch]) -> Iterator[list[np.ndarray]]:
-        """The rows of each group of more than one; they come sorted by group."""
-        held: list[list[np.ndarray]] = []
+    """Rows come sorted by mask and key; those of one mask and key are a group."""
+
+    def parts(rows: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray | None]:
+        fp, *more = rows
+        wide = np.stack(more[1:], axis=1).view(np.uint64) if len(more) > 1 else None
+        return fp.view(np.uint64), more[0] if more else fp, wide
+
+    def large(held: list[list[np.ndarray]]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        if sum(len(h[0]) for h in held) > 1:
+            yield _stars(*parts([np.concatenate(c) for c in zip(*held, strict=True)]), bits, wide_bits)
+
+    def stars(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        held: list[list[np.ndarray]] = []  # of the group at the end of the last batch
         held_key = None
         for batch in batches:
             if not batch.num_rows:
                 continue
             mask, key = batch.column("mask").to_numpy(), batch.column("key").to_numpy()
             rows = [batch.column(c).to_numpy() for c in batch.schema.names if c not in ("mask", "key")]
-            cuts = np.flatnonzero((mask[1:] != mask[:-1]) | (key[1:] != key[:-1])) + 1
-            edges = np.concatenate([[0], cuts, [len(key)]])
-            keep = np.diff(edges) > 1
-            keep[0] = keep[-1] = True  # a group of one can go on only at an end of the batch
-            for a, b in zip(edges[:-1][keep].tolist(), edges[1:][keep].tolist(), strict=True):
-                if (k := (int(mask[a]), int(key[a]))) != held_key:
-                    yield from joined(held)
-                    held, held_key = [], k
-                held.append([c[a:b] for c in rows])
-        yield from joined(held)
-
-    def joined(held: list[list[np.ndarray]]) -> Iterator[list[np.ndarray]]:
-        if sum(len(h[0]) for h in held) > 1:
-            yield [np.concatenate(c) for c in zip(*held, strict=True)]
+            starts = np.flatnonzero(np.concatenate([[True], (mask[1:] != mask[:-1]) | (key[1:] != key[:-1])]))
+            if held_key != (int(mask[0]), int(key[0])):
+                yield from large(held)
+                held = []
+            held.append([c[: starts[1] if len(starts) > 1 else None] for c in rows])
+            held_key = int(mask[-1]), int(key[-1])
+            if len(starts) == 1:
+                continue
+            yield from large(held)
+            held = [[c[starts[-1] :] for c in rows]]
+            sizes = np.diff(starts)[1:]
+            for a, n in zip(starts[1:-1][sizes > LEAF].tolist(), sizes[sizes > LEAF].tolist(), strict=True):
+                yield from large([[c[a : a + n] for c in rows]])
+            few = (sizes > 1) & (sizes <= LEAF)
+            group = np.repeat(np.arange(len(sizes)), np.where(few, sizes, 0))
+            mine = np.repeat(few, sizes)
+            yield _small_groups(group, *(None if c is None else c[mine] for c in parts([c[starts[1] : starts[-1]] for c in rows])), bits, wide_bits)
+        yield from large(held)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for fp, *more in groups(batches):
-            wide = np.stack(more[1:], axis=1).view(np.uint64) if len(more) > 1 else None
-            a, b = _stars(fp.view(np.uint64), more[0] if more else fp, wide, bits, wide_bits)
+        for a, b in stars(batches):
             if len(a):
                 yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
 
