@@ -60,4 +60,16 @@ QUERIES: dict[str, Query] = {
     )
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op6_segment_top_k": """
+        with vectors as (
+            select vec_id, list_transform(embedding, lambda x: floor(64 * cast(x as double))) as v from embeddings
+            where vec_id is not null and embedding is not null and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0
+        ), scores as (
+            select q.vec_id as query_id, c.vec_id, cast(list_inner_product(q.v, c.v) as bigint) as score
+            from vectors q join vectors c on q.vec_id % 20 = 0 and c.vec_id <> q.vec_id
+        )
+        select query_id, cast(row_number() over (partition by query_id order by score desc, vec_id) as integer) as rank, vec_id, score
+        from scores qualify rank <= 20
+    """,
+}
