@@ -12,63 +12,56 @@ from proofmark.functions.constants import MIN_CHARACTERS, MIN_CONFIDENCE, SAME_R
 MOST_LINES = 100_000
 
 
-def _median(values: Column) -> Column:
-    """The middle of a sorted array, of the two middle ones their mean."""
-    s, n = F.array_sort(values), F.size(values)
-    return (F.get(s, F.floor((n - 1) / 2).cast("int")) + F.get(s, F.floor(n / 2).cast("int"))) / 2
+def _middle(ordered: str) -> Column:
+    """The middle of a sorted array column, of the two middle ones their mean."""
+    n = F.size(ordered)
+    return (F.get(F.col(ordered), F.floor((n - 1) / 2).cast("int")) + F.get(F.col(ordered), F.floor(n / 2).cast("int"))) / 2
 
 
-def _distance(a: Column, b: Column) -> Column:
-    return F.hypot(a["x"] - b["x"], a["y"] - b["y"])
-
-
-def in_reading_order(lines: Column) -> Column:
-    """An array of line structs, with line_no and box, from top to bottom and left to right, on tilted photos too.
+def in_reading_order(rows: DataFrame, lines: str = "lines") -> DataFrame:
+    """Rows with their array of line structs, with line_no and box, from top to bottom and left to right, tilted or not.
 
     Centres are turned back by the median angle of the lines. From the top, a line is in the row begun above it as long as
-    it is no lower than the row's first line by over 0.6 of the median height; rows read by the turned x.
+    it is no lower than the row's first line by over 0.6 of the median height; rows read by the turned x. Each step is a
+    column, so that nothing is worked out once for each line that is the label's.
     """
     corner = lambda line, k: F.get(line["box"], k)
-    angle = _median(F.transform(lines, lambda v: F.atan2(corner(v, 1)["y"] - corner(v, 0)["y"], corner(v, 1)["x"] - corner(v, 0)["x"])))
-    height = _median(F.transform(lines, lambda v: _distance(corner(v, 0), corner(v, 3))))
+    angle = lambda v: F.atan2(corner(v, 1)["y"] - corner(v, 0)["y"], corner(v, 1)["x"] - corner(v, 0)["x"])
+    height = lambda v: F.hypot(corner(v, 0)["x"] - corner(v, 3)["x"], corner(v, 0)["y"] - corner(v, 3)["y"])
     mean = lambda v, axis: F.aggregate(v["box"], F.lit(0.0), lambda a, p: a + p[axis]) / F.size(v["box"])
-    turned = lambda v, sin, cos: F.struct(
-        (mean(v, "x") * sin + mean(v, "y") * cos).alias("y"), v["line_no"].alias("line_no"), (mean(v, "x") * cos - mean(v, "y") * sin).alias("x"), v.alias("line")
+    rows = rows.withColumns({"angles__": F.array_sort(F.transform(lines, angle)), "heights__": F.array_sort(F.transform(lines, height))})
+    rows = rows.withColumns({"angle__": _middle("angles__"), "limit__": _middle("heights__") * SAME_ROW})
+    rows = rows.withColumns({"sin__": F.sin(-F.col("angle__")), "cos__": F.cos(-F.col("angle__"))})
+    centred = F.transform(lines, lambda v: F.struct(mean(v, "x").alias("x"), mean(v, "y").alias("y"), v.alias("line")))
+    turned = lambda c: F.struct(
+        (c["x"] * F.col("sin__") + c["y"] * F.col("cos__")).alias("y"), c["line"]["line_no"].alias("line_no"), (c["x"] * F.col("cos__") - c["y"] * F.col("sin__")).alias("x"), c["line"].alias("line")
     )
-    sorted_ = F.array_sort(F.transform(F.array_sort(lines, lambda a, b: a["line_no"] - b["line_no"]), lambda v: turned(v, F.sin(-angle), F.cos(-angle))), _by("y", "line_no"))
+    rows = rows.withColumn("centred__", centred).withColumn("placed__", F.array_sort(F.transform("centred__", turned)))
     step = lambda acc, v: F.when(
-        (F.size(acc["rows"]) > 0) & (v["y"] - acc["top"] <= F.lit(SAME_ROW) * height),
+        (F.size(acc["rows"]) > 0) & (v["y"] - acc["top"] <= F.col("limit__")),
         F.struct(acc["top"].alias("top"), acc["row"].alias("row"), F.concat(acc["rows"], F.array(acc["row"])).alias("rows")),
     ).otherwise(F.struct(v["y"].alias("top"), (acc["row"] + 1).alias("row"), F.concat(acc["rows"], F.array(acc["row"] + 1)).alias("rows")))
     start = F.struct(F.lit(0.0).alias("top"), F.lit(0).alias("row"), F.array().cast("array<int>").alias("rows"))
-    rows = F.aggregate(sorted_, start, step)["rows"]
-    placed = F.zip_with(sorted_, rows, lambda v, row: F.struct(row.alias("row"), v["x"].alias("x"), v["y"].alias("y"), v["line_no"].alias("line_no"), v["line"].alias("line")))
-    ordered = F.transform(F.array_sort(placed, _by("row", "x", "y", "line_no")), lambda v: v["line"])
-    return F.when(F.size(lines) < 2, lines).otherwise(ordered)
-
-
-def _by(*names: str):  # noqa: ANN202
-    def compare(a: Column, b: Column) -> Column:
-        out = F.lit(0)
-        for n in reversed(names):
-            out = F.when(a[n] < b[n], -1).when(a[n] > b[n], 1).otherwise(out)
-        return out
-
-    return compare
+    rows = rows.withColumn("rows__", F.aggregate("placed__", start, step, lambda acc: acc["rows"]))
+    numbered = F.zip_with("placed__", "rows__", lambda v, row: F.struct(row.alias("row"), v["x"].alias("x"), v["y"].alias("y"), v["line_no"].alias("line_no"), v["line"].alias("line")))
+    ordered = F.transform(F.array_sort(numbered), lambda v: v["line"])
+    rows = rows.withColumn(lines, F.when(F.size(lines) < 2, F.col(lines)).otherwise(ordered))
+    return rows.drop("angles__", "heights__", "angle__", "limit__", "sin__", "cos__", "centred__", "placed__", "rows__")
 
 
 def reading_order(lines: DataFrame) -> DataFrame:
     """Lines with reading_pos, from 1, within their label."""
-    grouped = _grouped(lines).withColumn("lines", in_reading_order(F.col("lines")))
+    grouped = in_reading_order(_grouped(lines))
     return grouped.select("name_key", F.posexplode("lines").alias("at", "line")).select("name_key", "line.*", (F.col("at") + 1).alias("reading_pos"))
 
 
 def _grouped(lines: DataFrame) -> DataFrame:
     """One row a label: the only shuffle of the lines, and of the columns in use."""
     keyed = lines.select(F.lower("filename").alias("name_key"), F.struct("line_no", "text", "confidence", "box").alias("line"))
-    grouped = keyed.groupBy("name_key").agg(F.collect_list("line").alias("lines"))
+    dealt = keyed.repartition(int(lines.sparkSession.conf.get("spark.sql.shuffle.partitions")), "name_key")  # few bytes, much work: not to be merged
+    grouped = dealt.groupBy("name_key").agg(F.collect_list("line").alias("lines"))
     too_many = F.raise_error(F.concat(F.lit("a label of over 100000 lines: "), F.col("name_key")))
-    return grouped.withColumn("lines", F.when(F.size("lines") > MOST_LINES, too_many.cast(grouped.schema["lines"].dataType)).otherwise(F.array_sort("lines", _by("line_no"))))
+    return grouped.withColumn("lines", F.when(F.size("lines") > MOST_LINES, too_many.cast(grouped.schema["lines"].dataType)).otherwise(F.array_sort("lines")))
 
 
 def with_text(rows: DataFrame, lines: str = "lines") -> DataFrame:
@@ -76,7 +69,7 @@ def with_text(rows: DataFrame, lines: str = "lines") -> DataFrame:
 
     The mean confidence adds up in reading order, so it does not depend on how the data lie.
     """
-    ordered = rows.withColumn(lines, in_reading_order(F.coalesce(F.col(lines), F.array().cast(rows.schema[lines].dataType))))
+    ordered = in_reading_order(rows.withColumn(lines, F.coalesce(F.col(lines), F.array().cast(rows.schema[lines].dataType))), lines)
     texts = F.transform(F.col(lines), lambda v: v["text"])
     total = F.aggregate(F.col(lines), F.lit(0.0), lambda a, v: a + v["confidence"])
     return ordered.withColumns(
