@@ -8,8 +8,8 @@ from tokenizers import Tokenizer
 
 from .word_codec import byte_symbols
 
-#: Distinct chunks that a worker keeps; a full store is emptied, which costs time and no result.
-KEPT_CHUNKS = 700_000
+#: Distinct chunks that a task keeps; a full store is emptied, which costs time and no result.
+KEPT_CHUNKS = 500_000
 
 
 class ByteCodec:

@@ -1,8 +1,13 @@
 """What the operators share: the shared folder, and the two columns they read of a table."""
 
+import ctypes
+import gc
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
+from functools import wraps
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -55,3 +60,37 @@ def with_mark(docs: DataFrame, marked: DataFrame) -> DataFrame:
     hit = byte.bitwiseAND(F.pow(F.lit(2), bit % 8).cast("int")) > 0
     joined = docs.withColumn("bucket__", F.bitmap_bucket_number(_slot())).join(F.broadcast(marked), "bucket__", "left")
     return joined.withColumn(MARK, F.coalesce(hit, F.lit(False))).drop("bucket__", "bits__")
+
+
+Batches = Iterator[pa.RecordBatch]
+#: Rows that a task turns into Python objects at once.
+SLICE = 2000
+
+
+def sliced(batches: Batches) -> Batches:
+    """The same rows in batches of a few thousand."""
+    for batch in batches:
+        for at in range(0, max(1, batch.num_rows), SLICE):
+            yield batch.slice(at, SLICE)
+
+
+def release() -> None:
+    """Hands memory that a finished task held back to the system: workers live on, and the next stage needs it."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # not every C library has it
+    if trim is not None:
+        trim(0)
+
+
+def tidy(run: Callable[[Batches], Batches]) -> Callable[[Batches], Batches]:
+    """`run`, with `release` at the end of the task."""
+
+    @wraps(run)
+    def wrapped(batches: Batches) -> Batches:
+        try:
+            yield from run(batches)
+        finally:
+            release()
+
+    return wrapped

@@ -16,7 +16,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .byte_codec import codec
-from .common import stored, texts
+from .common import sliced, stored, texts, tidy
 
 CAPACITY = 1024
 END_OF_TEXT = 2
@@ -139,7 +139,7 @@ def _pieces(file: str, pattern: str, capacity: int, end: int) -> Callable[[Itera
         seen = np.zeros(capacity + 1, dtype=np.int64)
         task = TaskContext.get().partitionId()
         tail = end.to_bytes(4, "little")
-        for batch in batches:
+        for batch in sliced(batches):
             out: list[tuple] = []
             for doc, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist(), strict=True):
                 ids = codec(file, pattern).encode(text) + tail
@@ -152,8 +152,9 @@ def _pieces(file: str, pattern: str, capacity: int, end: int) -> Callable[[Itera
             columns = list(zip(*out, strict=True)) if out else [()] * 7
             kinds = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int64()]
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=["doc_id", "piece", "start", "length", "ids_crc32", "task", "nth"])
+        codec(file, pattern).kept.clear()
 
-    return run
+    return tidy(run)
 
 
 def _placed(places: Places) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:

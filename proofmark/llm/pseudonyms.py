@@ -17,6 +17,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import release
+
 ROUNDS = 10
 KEY = b"change this key"
 
@@ -219,6 +221,7 @@ def _replacer(key: bytes) -> Callable[[Iterator[pd.Series]], Iterator[pd.DataFra
         maker = _makers.setdefault(key, Pseudonyms(key))
         for s in series:
             yield pd.DataFrame([(None, 0) if t is None else maker.replace(t) for t in s], columns=["text", "n"])
+        release()
 
     return run
 

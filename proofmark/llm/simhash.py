@@ -16,7 +16,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import stored, texts
+from .common import sliced, stored, texts, tidy
 from .components import components
 
 BITS = 64
@@ -46,11 +46,11 @@ def fingerprint(text: str, words: int) -> int:
 
 def _fingerprints(words: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in sliced(batches):
             got = np.array([fingerprint(t, words) for t in batch.column("text").to_pylist()], dtype=np.int64)
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(got)], names=["doc_id", "fp"])
 
-    return run
+    return tidy(run)
 
 
 def fingerprints(docs: DataFrame, words: int = 3) -> DataFrame:
@@ -225,7 +225,7 @@ def _links(bits: int, wide_bits: int) -> Callable[[Iterator[pa.RecordBatch]], It
             if len(a):
                 yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
 
-    return run
+    return tidy(run)
 
 
 def links(fps: DataFrame, bits: int = 3, split_above: int = SPLIT_ABOVE, masks: list[int] | None = None, wide_bits: int = 0) -> DataFrame:
@@ -326,7 +326,7 @@ def wide_fingerprint(text: str) -> tuple[int, ...]:
 
 
 def _wide_fingerprints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
+    for batch in sliced(batches):
         got = np.array([wide_fingerprint(t) for t in batch.column("text").to_pylist()], dtype=np.int64).reshape(-1, 5)
         yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *(pa.array(c) for c in got.T.copy())], names=["doc_id", "fp", *WIDE])
 
@@ -339,7 +339,7 @@ def similar_groups(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame
     share but for a few bits: 64 bits, grouped by samples of them as `sample_masks` says. Texts without words are one group.
     """
     kind = "doc_id long, fp long, " + ", ".join(f"{w} long" for w in WIDE)
-    fps = stored(texts(docs).filter("doc_id is not null").mapInArrow(_wide_fingerprints, kind), "wide")
+    fps = stored(texts(docs).filter("doc_id is not null").mapInArrow(tidy(_wide_fingerprints), kind), "wide")
     nodes = stored(fps.groupBy("fp", *WIDE).agg(F.min("doc_id").alias("id")), "nodes")
     edges = links(nodes.select("fp", "id", *WIDE), NEAR_BITS, masks=sample_masks(nodes.count()), wide_bits=wide_limit(similarity))
     roots = components(edges)

@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import MARK, marks, stored, texts, with_mark
+from .common import MARK, marks, sliced, stored, texts, tidy, with_mark
 
 SPAN = 200
 ANCHOR = 64
@@ -161,7 +161,7 @@ REPEATED, PARTNER, OPEN = 0, 1, 2
 
 def _ranked(docs: DataFrame) -> DataFrame:
     """Runs that are repeated (0), stand for others when they are repeated (1), or are open (2); split: by more than the anchor."""
-    rows = docs.mapInArrow(_sampled, "anchor long, whole long, doc_id long, place long")
+    rows = docs.mapInArrow(tidy(_sampled), "anchor long, whole long, doc_id long, place long")
     rows = rows.repartition("anchor").sortWithinPartitions("anchor", "whole", "doc_id", "place")
     one, all_ = W.partitionBy("anchor", "whole"), W.partitionBy("anchor")
     several = (F.max("twin").over(one) == 1) | (F.count("*").over(one) > 1)
@@ -176,7 +176,7 @@ def _ranked(docs: DataFrame) -> DataFrame:
 def _contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The text of each asked run. Runs of a very frequent anchor are cut at a grid of distances from the anchor and meet
     by the bytes that all strings of the cut share, over 184."""
-    for batch in batches:
+    for batch in sliced(batches):
         anchors, docs, places, states, bodies = [], [], [], [], []
         for doc, text, asked in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist(), batch.column("asked").to_pylist(), strict=True):
             body = text.encode("utf-8", "surrogatepass")
@@ -276,15 +276,15 @@ def repeated_places(rows: DataFrame) -> DataFrame:
     asked = ranked.filter(F.col("state") >= PARTNER)
     wanted = with_mark(rows, marks(asked)).filter(MARK).select("doc_id", "text")
     asked = asked.groupBy("doc_id").agg(F.collect_list(F.struct("anchor", "place", "state", "split")).alias("asked"))
-    contexts = wanted.join(asked, "doc_id").mapInArrow(_contexts, "anchor long, doc_id long, place long, state int, body binary")
+    contexts = wanted.join(asked, "doc_id").mapInArrow(tidy(_contexts), "anchor long, doc_id long, place long, state int, body binary")
     contexts = contexts.repartition("anchor").sortWithinPartitions("anchor")
-    more = contexts.mapInArrow(_compared, "doc_id long, place long")
+    more = contexts.mapInArrow(tidy(_compared), "doc_id long, place long")
     return stored(ranked.filter(F.col("state") <= PARTNER).select("doc_id", "place").unionByName(more), "repeated")
 
 
 def _cut(finish: Callable[[bytes, list[tuple[int, int]]], tuple], names_: list[str], types: list[pa.DataType]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in sliced(batches):
             out = []
             for text, places in zip(batch.column("text").to_pylist(), batch.column("places").to_pylist(), strict=True):
                 body = text.encode("utf-8", "surrogatepass")
@@ -292,7 +292,7 @@ def _cut(finish: Callable[[bytes, list[tuple[int, int]]], tuple], names_: list[s
             columns = list(zip(*out, strict=True)) if out else [()] * len(types)
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *(pa.array(c, t) for c, t in zip(columns, types, strict=True))], names=["doc_id", *names_])
 
-    return run
+    return tidy(run)
 
 
 def _kept(body: bytes, spans: list[tuple[int, int]]) -> bytes:
