@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .bpe import UNKNOWN, BpeTable, last_tokens
-from .common import texts
+from .common import sliced, texts
 
 SPACE = "▁"
 LIMIT = 4096
@@ -152,7 +152,7 @@ def _counter(model: str) -> PrefixCounter:
 def _each(model: str, budget: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counter = _counter(model)
-        for batch in batches:
+        for batch in sliced(batches):
             rows = batch.column("text").to_pylist()
             counts = counter.totals(rows)
             n = [sum(c) for c in counts]
@@ -180,7 +180,7 @@ def prefix_counts(docs: DataFrame, model: str) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counter = _counter(model)
-        for batch in batches:
+        for batch in sliced(batches):
             counts = [counter.prefix_counts(t).tolist() for t in batch.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(counts, pa.list_(pa.int64()))], names=["doc_id", "counts"])
 
