@@ -7,6 +7,7 @@ a whole node once there are too many. Groups give a star of links, not all pairs
 the groups of near copies.
 """
 
+import hashlib
 from collections.abc import Callable, Iterator
 from itertools import combinations
 
@@ -16,7 +17,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import sliced, stored, texts, tidy
+from .common import MARK, marks, sliced, stored, texts, tidy, with_mark
 from .components import components
 
 BITS = 64
@@ -285,65 +286,170 @@ def simhash_components(docs: DataFrame, words: int = 3, bits: int = 3) -> DataFr
     return near_copies(fps, bits).select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
-#: Of similar texts: the share of bits in which fingerprints of five-word shingles may differ. Texts with a share of 0.8
-#: of their shingles in common have a cosine of 2 x 0.8 / (1 + 0.8), so differ in 15.2% of the bits on average.
+#: Texts are similar if they share this part of their sets of five-word shingles.
 SIMILARITY, SHINGLE = 0.8, 5
-#: Words of the shingles whose fingerprint finds the pairs: a changed word changes few of them. Texts at the limit change
-#: under 4.5% of these, which is 9.5% of the bits; `NEAR_BITS` of 64 leave room.
-FINDER, FINDER_AGREE, NEAR_BITS = 2, 0.905, 16
-MISS = 0.01
+#: Least hashes of a set, in bands: sets that share 0.8 agree on a band with 0.8^4, and miss all 32 with 5 in 10^8, whatever
+#: was edited and however large the table is.
+BANDS, BAND = 32, 4
+#: Equal least hashes, of 128, below which a pair that shares a band is not compared exactly: 6.7 standard deviations
+#: under what sets that share 0.8 have.
+ALIKE = 72
+#: Rows of a group of one band that meet in one task.
+CELL = 2000
 
+_FACTORS = np.random.default_rng(5).integers(0, 1 << 63, BANDS * BAND, dtype=np.uint64) << np.uint64(1) | np.uint64(1)
+_BAND_OF = np.random.default_rng(6).integers(0, 1 << 63, (BANDS, BAND + 1), dtype=np.uint64)
 
-def wide_limit(similarity: float = SIMILARITY) -> int:
-    """Bits of 256 in which texts of this similarity differ on average, and a standard deviation more, to lose few of them."""
-    share = np.arccos(2 * similarity / (1 + similarity)) / np.pi
-    return int(256 * share + (256 * share * (1 - share)) ** 0.5)
 
+def shingle_set(text: str) -> np.ndarray:
+    """The distinct hashes of the text's five-word shingles in ascending order; none of a text without words."""
+    words = text.encode("utf-8", "surrogatepass").lower().split()
+    return np.unique(_hashes(words, SHINGLE)) if words else np.zeros(0, np.uint64)
 
-def sample_masks(nodes: int) -> list[int]:
-    """Masks of so many bits that unlike fingerprints seldom agree on one, so many that like ones miss all at most 1 in 100."""
-    size = min(32, max(16, int(nodes).bit_length() - 2))
-    tables = int(np.ceil(np.log(MISS) / np.log(1 - FINDER_AGREE**size)))
-    rng, per = np.random.default_rng(5), BITS // size
-    out: list[int] = []
-    while len(out) < tables:
-        order = rng.permutation(BITS)
-        out += [_signed(sum(1 << int(b) for b in order[k * size : (k + 1) * size])) for k in range(per)]
-    return out
 
+def set_name(hashes: np.ndarray) -> int:
+    """A 64-bit name of the set."""
+    return int.from_bytes(hashlib.blake2b(hashes.tobytes(), digest_size=8).digest(), "little", signed=True)
+
+
+def least_hashes(hashes: np.ndarray) -> np.ndarray:
+    """The least of the set under each of 128 further hashes."""
+    least = np.full(BANDS * BAND, ~np.uint64(0))
+    mixed = hashes ^ (hashes >> np.uint64(31))
+    for at in range(0, len(mixed), 1024):
+        made = mixed[at : at + 1024, None] * _FACTORS
+        least = np.minimum(least, (made ^ (made >> np.uint64(32))).min(axis=0))
+    return least
 
-def wide_fingerprint(text: str) -> tuple[int, ...]:
-    """The finder's 64 bits and 256 bits over the set of five-word shingles."""
-    words = text.encode("utf-8", "surrogatepass").lower().split()
-    if not words:
-        return (0,) * 5
-    h = np.unique(_hashes(words, SHINGLE))
-    out = [_majority(np.unique(_hashes(words, FINDER)))]
-    for k in range(4):
-        mixed = (h ^ (h >> np.uint64(31))) * np.uint64(0x9E3779B97F4A7C15 + 2 * k * 0x632BE5AB)
-        out.append(_majority(mixed ^ (mixed >> np.uint64(29 + k))))
-    return tuple(out)
 
+def band_keys(least: np.ndarray) -> np.ndarray:
+    """A key for each band; keys of different bands differ."""
+    x = (least.reshape(BANDS, BAND) * (_BAND_OF[:, :BAND] | np.uint64(1))).sum(axis=1, dtype=np.uint64) ^ _BAND_OF[:, BAND]
+    x *= np.uint64(0x9E3779B97F4A7C15)
+    return x ^ (x >> np.uint64(29))
 
-def _wide_fingerprints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+
+def _sketches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in sliced(batches):
+        sets = [shingle_set(t) for t in batch.column("text").to_pylist()]
+        least = [least_hashes(s) for s in sets]
+        columns = [
+            batch.column("doc_id"),
+            pa.array([set_name(s) for s in sets], pa.int64()),
+            pa.array([len(s) for s in sets], pa.int32()),
+            pa.array([(x & np.uint64(255)).astype(np.uint8).tobytes() for x in least], pa.binary()),
+            pa.array([band_keys(x).view(np.int64) for x in least], pa.list_(pa.int64())),
+        ]
+        yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "fp", "size", "least", "bands"])
+
+
+def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in sliced(batches):
-        got = np.array([wide_fingerprint(t) for t in batch.column("text").to_pylist()], dtype=np.int64).reshape(-1, 5)
-        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *(pa.array(c) for c in got.T.copy())], names=["doc_id", "fp", *WIDE])
+        sets = [shingle_set(t) for t in batch.column("text").to_pylist()]
+        yield pa.RecordBatch.from_arrays([pa.array([set_name(s) for s in sets], pa.int64()), pa.array([s.tobytes() for s in sets], pa.binary())], names=["fp", "hashes"])
+
+
+def _exact(similarity: float) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in sliced(batches):
+            keep = []
+            for x, y in zip(batch.column("x").to_pylist(), batch.column("y").to_pylist(), strict=True):
+                p, q = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
+                shared = len(np.intersect1d(p, q, assume_unique=True))
+                keep.append(shared / max(1, len(p) + len(q) - shared) >= similarity)
+            yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+
+    return tidy(run)
+
 
+def similar_pairs(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """Those of the pairs (a, b) of names whose sets share at least `similarity` of their shingles, exactly."""
+    x, y = sets.select(F.col("fp").alias("a"), F.col("hashes").alias("x")), sets.select(F.col("fp").alias("b"), F.col("hashes").alias("y"))
+    return pairs.join(x, "a").join(y, "b").select("a", "b", "x", "y").mapInArrow(_exact(similarity), "a long, b long")
 
-def similar_groups(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
+
+def _unlike(rows: list[np.ndarray], similarity: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Of the rows of one cell: names in different components that may be similar. Only rows of both sides meet, if there are two."""
+    fp, root, size, side, least = rows
+    two = bool((side != side[0]).any())
+    for k in range(len(fp)):
+        more = slice(k + 1, None)
+        ok = (root[more] != root[k]) & (np.minimum(size[more], size[k]) >= similarity * np.maximum(size[more], size[k]) - 1e-6)
+        at = np.flatnonzero(ok & (side[more] != side[k]) if two else ok) + k + 1
+        at = at[(least[at] == least[k]).sum(axis=1) >= ALIKE]
+        if len(at):
+            yield np.minimum(fp[at], fp[k]), np.maximum(fp[at], fp[k])
+
+
+def _cells(similarity: float) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Rows come sorted by key and cell."""
+
+    def settle(rows: list[tuple]) -> Iterator[pa.RecordBatch]:
+        key, i, j, fp, root, size, side, least = zip(*rows, strict=True)
+        if i[0] != j[0] and len(set(side)) == 1:
+            return
+        columns = [np.array(c, np.int64) for c in (fp, root, size, side)]
+        found = list(_unlike([*columns, np.frombuffer(b"".join(least), np.uint8).reshape(len(fp), -1)], similarity))
+        if found:
+            a, b = (np.concatenate(c) for c in zip(*found, strict=True))
+            yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple] = []
+        for batch in sliced(batches):
+            for row in zip(*(batch.column(c).to_pylist() for c in ("key", "i", "j", "fp", "root", "size", "side", "least")), strict=True):
+                if held and held[0][:3] != row[:3]:
+                    yield from settle(held)
+                    held = []
+                held.append(row)
+        if held:
+            yield from settle(held)
+
+    return tidy(run)
+
+
+def _left_over(members: DataFrame, roots: DataFrame, nodes: DataFrame, similarity: float, cell: int) -> DataFrame:
+    """The pairs (a, b) that share a band, are not in one component yet and may be similar.
+
+    A group of more than `cell` rows is dealt into blocks, and each pair of blocks is a cell of its own.
+    """
+    named = members.join(roots, members.fp == roots.node, "left").select("key", "fp", "n", F.coalesce("root", "fp").alias("root"))
+    mixed = named.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).filter("low <> high").select("key")
+    named = stored(named.join(mixed, "key", "left_semi"), "mixed")
+    blocks = F.ceil(F.col("n") / F.lit(cell)).cast("int")
+    rows = named.join(nodes.select("fp", "size", "least"), "fp").withColumn("side", F.pmod(F.xxhash64("fp"), blocks).cast("int"))
+    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
+    rows = rows.select("key", F.least("side", "other").alias("i"), F.greatest("side", "other").alias("j"), "fp", "root", "size", "side", "least")
+    rows = rows.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
+    return rows.mapInArrow(_cells(similarity), "a long, b long").distinct()
+
+
+def similar_groups(docs: DataFrame, similarity: float = SIMILARITY, cell: int = CELL) -> DataFrame:
     """doc_id and component_id, the smallest doc_id of the group, for each row of `docs` with a doc_id.
 
-    Two texts are linked if the SimHash fingerprints of their five-word shingles (256 bits) are as close as those of texts
-    that share `similarity` of them. Candidates are found by a second fingerprint, of two-word shingles, which such texts
-    share but for a few bits: 64 bits, grouped by samples of them as `sample_masks` says. Texts without words are one group.
+    Two texts are linked if their sets of five-word shingles share `similarity`, by exact count. Compared are those that
+    agree on a band of least hashes: first each with one of its group, then all that are not in one component by then.
+    Equal sets are one node. Texts without words are one group.
     """
-    kind = "doc_id long, fp long, " + ", ".join(f"{w} long" for w in WIDE)
-    fps = stored(texts(docs).filter("doc_id is not null").mapInArrow(tidy(_wide_fingerprints), kind), "wide")
-    nodes = stored(fps.groupBy("fp", *WIDE).agg(F.min("doc_id").alias("id")), "nodes")
-    edges = links(nodes.select("fp", "id", *WIDE), NEAR_BITS, masks=sample_masks(nodes.count()), wide_bits=wide_limit(similarity))
+    rows = texts(docs).filter("doc_id is not null")
+    fps = stored(rows.mapInArrow(tidy(_sketches), "doc_id long, fp long, size int, least binary, bands array<long>"), "sketches")
+    first = fps.groupBy("fp").agg(F.min("doc_id").alias("id"), F.first(F.struct("size", "least", "bands")).alias("s"))
+    nodes = stored(first.select("fp", "id", "s.size", "s.least", "s.bands"), "nodes")
+    keyed = nodes.select("fp", F.explode("bands").alias("key"))
+    groups = keyed.groupBy("key").agg(F.min("fp").alias("a"), F.count("*").alias("n")).filter("n > 1")
+    members = stored(keyed.join(groups, "key"), "members")
+    asked = stored(nodes.select("fp", "id").join(members.select("fp").distinct(), "fp", "left_semi"), "asked")
+    wanted = with_mark(rows, marks(asked.select(F.col("id").alias("doc_id")))).filter(MARK).join(asked.select(F.col("id").alias("doc_id")).distinct(), "doc_id", "left_semi")
+    sets = wanted.select("text").mapInArrow(tidy(_sets), "fp long, hashes binary").join(asked.select("fp"), "fp", "left_semi")
+    sets = stored(sets.dropDuplicates(["fp"]), "sets")
+    stars = stored(members.filter("fp <> a").select("a", F.col("fp").alias("b")).distinct(), "stars")
+    edges = stored(similar_pairs(stars, sets, similarity), "similar")
     roots = components(edges)
-    named = nodes.join(roots, nodes.id == roots.node, "left").select("fp", *WIDE, "id", F.coalesce("root", "id").alias("root"))
+    more = similar_pairs(_left_over(members, roots, nodes, similarity, cell).join(stars, ["a", "b"], "left_anti"), sets, similarity)
+    more = stored(more, "more")
+    if not more.isEmpty():
+        roots = components(edges.unionByName(more))
+    named = nodes.join(roots, nodes.fp == roots.node, "left").select("fp", "id", F.coalesce("root", "fp").alias("root"))
     least = named.groupBy("root").agg(F.min("id").alias("component_id"))
-    named = named.join(least, "root").select("fp", *WIDE, "component_id")
-    return fps.join(named, ["fp", *WIDE]).select("doc_id", "component_id")
+    named = named.join(least, "root").select("fp", "component_id")
+    return fps.select("doc_id", "fp").join(named, "fp").select("doc_id", "component_id")
