@@ -59,3 +59,14 @@ def test_similar_groups(spark, cell):
     df = spark.createDataFrame(list(enumerate(docs)), "doc_id long, text string").repartition(3)
     got = {r["doc_id"]: r["component_id"] for r in simhash.similar_groups(df, cell=cell).collect()}
     assert got == {k: find(k) for k in range(len(docs))}
+
+
+def test_bands_find_every_kind_of_edit():
+    rng = random.Random(7)
+    for kind, share in zip(KINDS, (0.02, 0.045, 0.034, 0.018), strict=True):
+        for _ in range(60):
+            base = [f"w{rng.randrange(10**5)}" for _ in range(rng.randint(200, 500))]
+            a, b = (simhash.shingle_set(" ".join(w)) for w in (base, edited(rng, base, kind, round(share * len(base)))))
+            shared = len(np.intersect1d(a, b))
+            assert 0.78 < shared / (len(a) + len(b) - shared) < 0.88
+            assert (simhash.band_keys(simhash.least_hashes(a)) == simhash.band_keys(simhash.least_hashes(b))).any(), kind
