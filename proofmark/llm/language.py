@@ -212,6 +212,16 @@ def identify(docs: DataFrame, net: Network | None) -> DataFrame:
     return rows.select("doc_id", "held_out", "text").mapInArrow(_predicted(net), "doc_id long, held_out boolean, lang_pred string, score double")
 
 
+def with_letter(docs: DataFrame) -> DataFrame:
+    """The rows of `docs` that have a text with a letter in it."""
+
+    @F.pandas_udf("boolean")
+    def found(text: pd.Series) -> pd.Series:
+        return pd.Series([t is not None and _letter(t) is not None for t in text], dtype=bool)
+
+    return docs.filter(found("text"))
+
+
 def with_language(docs: DataFrame, net: Network | None) -> DataFrame:
     """`docs` with lang_pred and score beside their own columns (which must not be named so)."""
 
