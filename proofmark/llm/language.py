@@ -4,6 +4,7 @@ Bytes are embedded; filters of several widths, max pooling over a window of fixe
 languages. A text is all its windows: their log probabilities are averaged.
 """
 
+import zlib
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
@@ -12,6 +13,7 @@ import pandas as pd
 import pyarrow as pa
 import regex
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .common import release
@@ -103,21 +105,25 @@ def windows_of(body: bytes) -> np.ndarray:
     return out.reshape(n, WINDOW)
 
 
-def fit(rows: list[tuple[str, str]], seed: int = 7) -> Network | None:
-    """A network from (text, language) pairs, by Adam; None without any. The result depends on the rows and the seed only."""
+def picked(text: str) -> list[bytes]:
+    """The windows of a text that training reads, chosen by the text alone, as 16-bit places."""
+    body = text.encode("utf-8", "surrogatepass")
+    all_ = windows_of(body)
+    if len(all_) > WINDOWS_PER_TEXT:
+        all_ = all_[np.random.default_rng(zlib.crc32(body)).permutation(len(all_))[:WINDOWS_PER_TEXT]]
+    return [w.tobytes() for w in all_]
+
+
+def fit(rows: list[tuple[bytes, str]], seed: int = 7) -> Network | None:
+    """A network from (window, language) pairs, by Adam; None without any. The result depends on the rows and the seed only."""
     languages = sorted({lang for _, lang in rows})
     if not languages:
         return None
     rng = np.random.default_rng(seed)
-    x, y = [], []
-    for text, lang in sorted(rows):
-        all_ = windows_of(text.encode("utf-8", "surrogatepass"))
-        pick = all_[rng.permutation(len(all_))[:WINDOWS_PER_TEXT]] if len(all_) > WINDOWS_PER_TEXT else all_
-        x.append(pick)
-        y += [languages.index(lang)] * len(pick)
-    if not y:
-        return None
-    x, y = np.concatenate(x), np.array(y)
+    number = {lang: k for k, lang in enumerate(languages)}
+    rows = sorted(rows)
+    x = np.frombuffer(b"".join(w for w, _ in rows), np.int16).reshape(-1, WINDOW)
+    y = np.array([number[lang] for _, lang in rows])
     counts = np.bincount(y, minlength=len(languages))
     weight = (len(y) / np.maximum(counts, 1) / len(languages)).astype(np.float32)
     net = Network.new(languages, seed)
@@ -178,17 +184,24 @@ def held_out() -> Column:
     return F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 4 == 2, F.lit(False))
 
 
+def _windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        found = [(w, lang) for text, lang in zip(batch.column("text").to_pylist(), batch.column("lang").to_pylist(), strict=True) for w in picked(text)]
+        yield pa.RecordBatch.from_arrays([pa.array([w for w, _ in found], pa.binary()), pa.array([lang for _, lang in found], pa.string())], names=["window", "lang"])
+
+
 def train(docs: DataFrame, rows_per_language: int = ROWS_PER_LANGUAGE) -> Network | None:
     """A network from labelled rows outside the held-out part: of each language those whose doc_id hashes least, at most
-    `rows_per_language` of them. That sample is bounded; the languages are all those that occur, up to 64 in all."""
+    `rows_per_language` of them. That sample is bounded; the languages are all that have such rows, however many."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", "lang").filter(~held_out() & F.col("lang").isNotNull() & (F.length("text") > 0))
-    languages = sorted(r["lang"] for r in rows.select("lang").distinct().orderBy("lang").limit(64).collect())
-    sample: list[tuple[str, str]] = []
-    for lang in languages:
-        mine = rows.filter(F.col("lang") == lang)
-        least = mine.select(F.xxhash64("doc_id").alias("h")).orderBy("h").limit(rows_per_language).agg(F.max("h")).first()[0]
-        sample += [(r["text"], r["lang"]) for r in mine.filter(F.xxhash64("doc_id") <= least).select("text", "lang").limit(rows_per_language).collect()]
-    return fit(sample)
+    rows = rows.withColumn("h", F.xxhash64("doc_id"))
+    counts = rows.groupBy("lang").agg(F.count("*").alias("n"), F.min("h").alias("low"))
+    # twice the rows wanted, so that no task gets all rows of a language; the least is there even if all have one doc_id
+    few = (F.col("h") / F.lit(2.0**64) + 0.5 <= F.lit(2.0 * rows_per_language + 100) / F.col("n")) | (F.col("h") == F.col("low"))
+    near = rows.join(F.broadcast(counts), "lang").filter(few)
+    nth = F.row_number().over(W.partitionBy("lang").orderBy("h", F.xxhash64("text")))
+    sample = near.withColumn("nth", nth).filter(F.col("nth") <= rows_per_language).select("text", "lang")
+    return fit([(bytes(r["window"]), r["lang"]) for r in sample.mapInArrow(_windows, "window binary, lang string").collect()])
 
 
 def _predicted(net: Network | None) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:

@@ -11,3 +11,12 @@ def test_stage_without_labels(spark):
     rows = [(1, "clean text", None, "s", 10), (2, "чистый", None, None, None), (None, "no id", None, "s", 5), (4, None, None, "s", 0), (5, "12 !", None, "s", 4)]
     docs = spark.createDataFrame(rows, DOCUMENTS)
     assert {r["text"] for r in corpus_pipeline.identify_language(spark, docs, "").collect()} == {"clean text", "чистый", "no id"}
+
+
+def test_many_languages(spark):
+    rows = [(k, f"text number {k} of its own", f"l{k % 70:02}", "s", 0) for k in range(700)]
+    rows += [(None, "no id at all", "zz", "s", 0)] * 3
+    net = language.train(spark.createDataFrame(rows, DOCUMENTS).repartition(3))
+    assert net.languages == [f"l{k:02}" for k in range(70)] + ["zz"]
+    less = language.train(spark.createDataFrame([(1, "é" * 5000, "a", "s", 0)] * 50, DOCUMENTS), rows_per_language=4)
+    assert less.languages == ["a"]
