@@ -125,12 +125,10 @@ class GrayIndex:
         return q[near], node[near]
 
 
-def _stars(codes: np.ndarray, ids: np.ndarray, wide: np.ndarray | None, bits: int, wide_bits: int) -> tuple[np.ndarray, np.ndarray]:
-    """For the fingerprints of one group: the ids of each that is linked and of the one that stands for all it is linked to.
-    With wide fingerprints these, too, must not differ in more than `wide_bits`."""
+def _stars(codes: np.ndarray, ids: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
+    """For the fingerprints of one group: the ids of each that is linked and of the one that stands for all it is linked to."""
     index = GrayIndex(codes)
     codes, ids = index.codes, ids[index.order]
-    wide = None if wide is None else wide[index.order]
     root = np.arange(len(codes))
 
     def find(x: np.ndarray) -> np.ndarray:
@@ -141,9 +139,6 @@ def _stars(codes: np.ndarray, ids: np.ndarray, wide: np.ndarray | None, bits: in
     step = max(1, 2_000_000 // len(codes))
     for at in range(0, len(codes), step):
         q, x = index.search(codes[at : at + step], bits)
-        if wide is not None:
-            apart = sum(np.bitwise_count(w[q + at] ^ w[x]).astype(np.int16) for w in wide.T)
-            q, x = q[apart <= wide_bits], x[apart <= wide_bits]
         pairs = np.unique(np.stack([find(q + at), find(x)], 1), axis=0)
         for a, b in pairs[pairs[:, 0] != pairs[:, 1]].tolist():
             a, b = int(find(np.array([a]))[0]), int(find(np.array([b]))[0])
@@ -153,10 +148,7 @@ def _stars(codes: np.ndarray, ids: np.ndarray, wide: np.ndarray | None, bits: in
     return ids[linked], ids[root[linked]]
 
 
-WIDE = ("w0", "w1", "w2", "w3")
-
-
-def _small_groups(group: np.ndarray, codes: np.ndarray, ids: np.ndarray, wide: np.ndarray | None, bits: int, wide_bits: int) -> tuple[np.ndarray, np.ndarray]:
+def _small_groups(group: np.ndarray, codes: np.ndarray, ids: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
     """The same as `_stars` for many groups of one leaf each, with no tree above it: each row against those after it."""
     root = np.arange(len(codes))
     left, right = [], []
@@ -165,8 +157,6 @@ def _small_groups(group: np.ndarray, codes: np.ndarray, ids: np.ndarray, wide: n
         if not len(at):
             break
         at = at[np.bitwise_count(codes[at] ^ codes[at + step]) <= bits]
-        if wide is not None:
-            at = at[sum(np.bitwise_count(w[at] ^ w[at + step]).astype(np.int16) for w in wide.T) <= wide_bits]
         left.append(at)
         right.append(at + step)
     if not left:
@@ -182,43 +172,40 @@ def _small_groups(group: np.ndarray, codes: np.ndarray, ids: np.ndarray, wide: n
     return ids[linked], ids[root[linked]]
 
 
-def _links(bits: int, wide_bits: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+def _links(bits: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     """Rows come sorted by mask and key; those of one mask and key are a group."""
 
-    def parts(rows: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray | None]:
-        fp, *more = rows
-        wide = np.stack(more[1:], axis=1).view(np.uint64) if len(more) > 1 else None
-        return fp.view(np.uint64), more[0] if more else fp, wide
-
-    def large(held: list[list[np.ndarray]]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        if sum(len(h[0]) for h in held) > 1:
-            yield _stars(*parts([np.concatenate(c) for c in zip(*held, strict=True)]), bits, wide_bits)
+    def large(held: list[np.ndarray]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        if sum(map(len, held)) > 1:
+            fp = np.concatenate(held)
+            yield _stars(fp.view(np.uint64), fp, bits)
 
     def stars(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        held: list[list[np.ndarray]] = []  # of the group at the end of the last batch
+        held: list[np.ndarray] = []  # of the group at the end of the last batch
         held_key = None
         for batch in batches:
             if not batch.num_rows:
                 continue
             mask, key = batch.column("mask").to_numpy(), batch.column("key").to_numpy()
-            rows = [batch.column(c).to_numpy() for c in batch.schema.names if c not in ("mask", "key")]
+            fp = batch.column("fp").to_numpy()
             starts = np.flatnonzero(np.concatenate([[True], (mask[1:] != mask[:-1]) | (key[1:] != key[:-1])]))
             if held_key != (int(mask[0]), int(key[0])):
                 yield from large(held)
                 held = []
-            held.append([c[: starts[1] if len(starts) > 1 else None] for c in rows])
+            held.append(fp[: starts[1] if len(starts) > 1 else None])
             held_key = int(mask[-1]), int(key[-1])
             if len(starts) == 1:
                 continue
             yield from large(held)
-            held = [[c[starts[-1] :] for c in rows]]
+            held = [fp[starts[-1] :]]
             sizes = np.diff(starts)[1:]
             for a, n in zip(starts[1:-1][sizes > LEAF].tolist(), sizes[sizes > LEAF].tolist(), strict=True):
-                yield from large([[c[a : a + n] for c in rows]])
+                yield from large([fp[a : a + n]])
             few = (sizes > 1) & (sizes <= LEAF)
             group = np.repeat(np.arange(len(sizes)), np.where(few, sizes, 0))
             mine = np.repeat(few, sizes)
-            yield _small_groups(group, *(None if c is None else c[mine] for c in parts([c[starts[1] : starts[-1]] for c in rows])), bits, wide_bits)
+            few_fp = fp[starts[1] : starts[-1]][mine]
+            yield _small_groups(group, few_fp.view(np.uint64), few_fp, bits)
         yield from large(held)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -229,18 +216,14 @@ def _links(bits: int, wide_bits: int) -> Callable[[Iterator[pa.RecordBatch]], It
     return tidy(run)
 
 
-def links(fps: DataFrame, bits: int = 3, split_above: int = SPLIT_ABOVE, masks: list[int] | None = None, wide_bits: int = 0) -> DataFrame:
+def links(fps: DataFrame, bits: int = 3, split_above: int = SPLIT_ABOVE) -> DataFrame:
     """Edges (a, b) between the distinct longs of column fp: their components are those of "differs in at most `bits` bits".
 
-    With columns id and w0 to w3 besides, the edges are between ids, and w0 to w3 differ in at most `wide_bits` bits too.
-    Without `masks` no link is lost; with masks those are found that agree on one of them.
-
-    A group of more than `split_above` fingerprints is split by `bits` + 1 blocks of the bits it does not share, as often
+    No link is lost. A group of more than `split_above` fingerprints is split by `bits` + 1 blocks of the bits it does not share, as often
     as that takes; nothing is left out.
     """
-    masks = masks or first_masks(bits)
-    columns = fps.columns
-    level = fps.select(*columns, F.explode(F.array(*map(_long, masks))).alias("mask"))
+    masks = first_masks(bits)
+    level = fps.select("fp", F.explode(F.array(*map(_long, masks))).alias("mask"))
     out = []
     while True:
         level = level.withColumn("key", F.col("fp").bitwiseAND(F.col("mask")))
@@ -254,13 +237,13 @@ def links(fps: DataFrame, bits: int = 3, split_above: int = SPLIT_ABOVE, masks:
         finer = {m: f for m, f in finer.items() if m in split}
         out.append(level.join(large, ["mask", "key"], "left_anti"))
         to = F.create_map(*(x for m, f in finer.items() for x in (_long(m), F.array(*map(_long, f)))))
-        level = level.join(large, ["mask", "key"], "left_semi").select(*columns, F.explode(to[F.col("mask")]).alias("mask"))
+        level = level.join(large, ["mask", "key"], "left_semi").select("fp", F.explode(to[F.col("mask")]).alias("mask"))
         masks = sorted({x for f in finer.values() for x in f})
     keyed = out[0]
     for more in out[1:]:
         keyed = keyed.unionByName(more)
-    keyed = keyed.select("mask", "key", *columns).repartition("mask", "key").sortWithinPartitions("mask", "key")
-    return keyed.mapInArrow(_links(bits, wide_bits), "a long, b long")
+    keyed = keyed.select("mask", "key", "fp").repartition("mask", "key").sortWithinPartitions("mask", "key")
+    return keyed.mapInArrow(_links(bits), "a long, b long")
 
 
 def near_copies(fps: DataFrame, bits: int = 3, split_above: int = SPLIT_ABOVE) -> DataFrame:

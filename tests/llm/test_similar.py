@@ -70,3 +70,14 @@ def test_bands_find_every_kind_of_edit():
             shared = len(np.intersect1d(a, b))
             assert 0.78 < shared / (len(a) + len(b) - shared) < 0.88
             assert (simhash.band_keys(simhash.least_hashes(a)) == simhash.band_keys(simhash.least_hashes(b))).any(), kind
+
+
+def test_template_source(spark, monkeypatch):
+    """A source whose texts differ in one number: all are linked through stars, and no pair is left to compare."""
+    made = []
+    left_over = simhash._left_over
+    monkeypatch.setattr(simhash, "_left_over", lambda *a: made.append(left_over(*a).localCheckpoint()) or made[0])
+    words = [f"w{k}" for k in range(200)]
+    docs = [(k, " ".join([*words[:100], str(k), *words[100:]])) for k in range(400)] + [(1000 + k, f"other text number {k}") for k in range(50)]
+    got = {r["doc_id"]: r["component_id"] for r in simhash.similar_groups(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    assert got == {k: 0 if k < 400 else k for k, _ in docs} and made[0].count() == 0
