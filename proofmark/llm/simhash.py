@@ -1,15 +1,15 @@
 """Near copies by SimHash fingerprints and a hierarchical index in Gray order.
 
-Fingerprints that differ in at most `bits` bits agree on some of a few blocks of bits, so each fingerprint goes to one
-group for each choice of blocks. Within a group the fingerprints, sorted by Gray rank, make an index: an upper node holds
-the bits that all below it share and that no node above it holds; a search adds up differences on the way down and drops
-a whole node once there are too many. Groups give a star of links, not all pairs, and the components of all stars are
-the groups of near copies.
+Fingerprints that differ in at most `bits` bits agree on one of `bits` + 1 blocks of bits, so each goes to one group for
+each block; the blocks are as narrow as they can be for groups that one task can hold, so nearly all the search is the
+index's. Within a group the fingerprints, sorted by Gray rank, make a tree: an upper node holds the bits that all below it
+share and that no node above it holds; a search adds up differences on the way down and drops a whole node once there are
+too many. Groups give a star of links, not all pairs, and the components of all stars are the groups of near copies.
 """
 
 import hashlib
 from collections.abc import Callable, Iterator
-from itertools import combinations
+from math import ceil, log2
 
 import numpy as np
 import pyarrow as pa
@@ -21,10 +21,13 @@ from .common import MARK, marks, sliced, stored, texts, tidy, with_mark
 from .components import components
 
 BITS = 64
-#: Distinct fingerprints in a group above which the group is split by further bits.
-SPLIT_ABOVE = 20_000
-#: Children of an index node, and rows of a group that are compared without an index.
-FAN, LEAF = 16, 32
+#: Distinct fingerprints that a group, with an index of its own, is to have about, and those above which it is split by
+#: further bits.
+GROUP, SPLIT_ABOVE = 4096, 20_000
+#: Children of an index node.
+FAN = 4
+#: Rows of groups that a task gets about: little to move, much to search.
+ROWS_A_TASK = 32_768
 
 
 def _hashes(words: list[bytes], size: int) -> np.ndarray:
@@ -72,16 +75,21 @@ def _blocks(free: list[int], n: int) -> list[int]:
     return [sum(1 << int(b) for b in part) for part in np.array_split(free, n)] if free else []
 
 
-def first_masks(bits: int, equal: int = 2) -> list[int]:
-    """Masks such that two fingerprints with at most `bits` differing bits agree on one of them."""
-    blocks = [int(b) for b in _blocks(list(range(BITS)), bits + equal)]
-    return [_signed(sum(c)) for c in combinations(blocks, equal)]
+def first_masks(bits: int, n: int, group: int = GROUP) -> list[int]:
+    """Masks such that two fingerprints with at most `bits` differing bits agree on one of them.
+
+    There are `bits` + 1 blocks, so one has no differing bit. They are as wide as it takes for groups of about `group` of
+    `n` fingerprints; few fingerprints are one group, whose mask has no bit. The width tells the work, not the result.
+    """
+    step = BITS // (bits + 1)
+    width = min(step, max(0, ceil(log2(max(1, n) / group))))
+    return sorted({_signed((1 << width) - 1 << step * k) for k in range(bits + 1)})
 
 
 def finer_masks(mask: int, bits: int) -> list[int]:
-    """The same within the bits that `mask` leaves free; none are left to split at the end."""
+    """The same within the bits that `mask` leaves free, of which there are more than `bits` in a group to be split."""
     free = [b for b in range(BITS) if not mask >> b & 1]
-    return [_signed((mask & (1 << BITS) - 1) | int(b)) for b in _blocks(free, bits + 1) if b]
+    return [_signed((mask & (1 << BITS) - 1) | int(b)) for b in _blocks(free, bits + 1)] if len(free) > bits else []
 
 
 def gray_rank(codes: np.ndarray) -> np.ndarray:
@@ -107,12 +115,14 @@ class GrayIndex:
             levels.append((ones & mask, mask))
             pattern, shared = levels[-1]
         self.levels = [(p, m & ~np.repeat(levels[k + 1][1], FAN)[: len(m)] if k + 1 < len(levels) else m) for k, (p, m) in enumerate(levels)]
+        self.compared = 0  # nodes that searches have looked at, fingerprints included
 
     def search(self, queries: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
         """Positions (of a query, of a code in `codes`) that differ in at most `bits` bits."""
         pattern, mask = self.levels[-1]
         q, node = np.arange(len(queries)).repeat(len(pattern)), np.tile(np.arange(len(pattern)), len(queries))
         apart = np.bitwise_count((queries[q] ^ pattern[node]) & mask[node]).astype(np.int16)
+        self.compared += len(q)
         for pattern, mask in self.levels[-2::-1]:
             near = apart <= bits
             q, node, apart = q[near], node[near], apart[near]
@@ -121,6 +131,7 @@ class GrayIndex:
             inside = node < len(pattern)
             q, node, apart = q[inside], node[inside], apart[inside]
             apart = apart + np.bitwise_count((queries[q] ^ pattern[node]) & mask[node])
+            self.compared += len(q)
         near = apart <= bits
         return q[near], node[near]
 
@@ -132,7 +143,7 @@ def _stars(codes: np.ndarray, ids: np.ndarray, bits: int) -> tuple[np.ndarray, n
     root = np.arange(len(codes))
 
     def find(x: np.ndarray) -> np.ndarray:
-        while (up := root[x]).tolist() != x.tolist():
+        while not np.array_equal(up := root[x], x):
             x = up
         return x
 
@@ -148,114 +159,81 @@ def _stars(codes: np.ndarray, ids: np.ndarray, bits: int) -> tuple[np.ndarray, n
     return ids[linked], ids[root[linked]]
 
 
-def _small_groups(group: np.ndarray, codes: np.ndarray, ids: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
-    """The same as `_stars` for many groups of one leaf each, with no tree above it: each row against those after it."""
-    root = np.arange(len(codes))
-    left, right = [], []
-    for step in range(1, LEAF):
-        at = np.flatnonzero(group[step:] == group[:-step])
-        if not len(at):
-            break
-        at = at[np.bitwise_count(codes[at] ^ codes[at + step]) <= bits]
-        left.append(at)
-        right.append(at + step)
-    if not left:
-        return ids[:0], ids[:0]
-    a, b = np.concatenate(left), np.concatenate(right)
-    while True:
-        before = root.copy()
-        np.minimum.at(root, b, root[a])
-        np.minimum.at(root, a, root[b])
-        if (root == before).all():
-            break
-    linked = root != np.arange(len(codes))
-    return ids[linked], ids[root[linked]]
-
-
 def _links(bits: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """Rows come sorted by mask and key; those of one mask and key are a group."""
+    """Rows come sorted by mask and key; those of one mask and key are a group, searched by an index of its own."""
 
-    def large(held: list[np.ndarray]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        if sum(map(len, held)) > 1:
-            fp = np.concatenate(held)
-            yield _stars(fp.view(np.uint64), fp, bits)
-
-    def stars(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    def groups(batches: Iterator[pa.RecordBatch]) -> Iterator[np.ndarray]:
         held: list[np.ndarray] = []  # of the group at the end of the last batch
         held_key = None
         for batch in batches:
             if not batch.num_rows:
                 continue
-            mask, key = batch.column("mask").to_numpy(), batch.column("key").to_numpy()
-            fp = batch.column("fp").to_numpy()
+            mask, key, fp = (batch.column(c).to_numpy() for c in ("mask", "key", "fp"))
             starts = np.flatnonzero(np.concatenate([[True], (mask[1:] != mask[:-1]) | (key[1:] != key[:-1])]))
-            if held_key != (int(mask[0]), int(key[0])):
-                yield from large(held)
-                held = []
-            held.append(fp[: starts[1] if len(starts) > 1 else None])
-            held_key = int(mask[-1]), int(key[-1])
-            if len(starts) == 1:
-                continue
-            yield from large(held)
-            held = [fp[starts[-1] :]]
-            sizes = np.diff(starts)[1:]
-            for a, n in zip(starts[1:-1][sizes > LEAF].tolist(), sizes[sizes > LEAF].tolist(), strict=True):
-                yield from large([fp[a : a + n]])
-            few = (sizes > 1) & (sizes <= LEAF)
-            group = np.repeat(np.arange(len(sizes)), np.where(few, sizes, 0))
-            mine = np.repeat(few, sizes)
-            few_fp = fp[starts[1] : starts[-1]][mine]
-            yield _small_groups(group, few_fp.view(np.uint64), few_fp, bits)
-        yield from large(held)
+            for a, b in zip(starts.tolist(), [*starts[1:].tolist(), len(fp)], strict=True):
+                if held and held_key != (mask[a], key[a]):
+                    yield np.concatenate(held)
+                    held = []
+                held.append(fp[a:b])
+                held_key = mask[a], key[a]
+        if held:
+            yield np.concatenate(held)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for a, b in stars(batches):
-            if len(a):
-                yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
+        for fp in groups(batches):
+            if len(fp) > 1:
+                a, b = _stars(fp.view(np.uint64), fp, bits)
+                if len(a):
+                    yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
 
     return tidy(run)
 
 
-def links(fps: DataFrame, bits: int = 3, split_above: int = SPLIT_ABOVE) -> DataFrame:
+def links(fps: DataFrame, bits: int = 3, split_above: int = SPLIT_ABOVE, group: int = GROUP) -> DataFrame:
     """Edges (a, b) between the distinct longs of column fp: their components are those of "differs in at most `bits` bits".
 
-    No link is lost. A group of more than `split_above` fingerprints is split by `bits` + 1 blocks of the bits it does not share, as often
-    as that takes; nothing is left out.
+    No link is lost. A group of more than `split_above` fingerprints is split by `bits` + 1 blocks of the bits it does not
+    share, as often as that takes; nothing is left out.
     """
-    masks = first_masks(bits)
+    n = fps.count()
+    split_above = max(split_above, 2 << bits)  # so that a group to be split has more than `bits` free bits
+    masks = first_masks(bits, n, group)
+    rows = n * len(masks)
     level = fps.select("fp", F.explode(F.array(*map(_long, masks))).alias("mask"))
     out = []
     while True:
         level = level.withColumn("key", F.col("fp").bitwiseAND(F.col("mask")))
-        large = level.groupBy("mask", "key").agg(F.count("*").alias("n")).filter(F.col("n") > split_above).drop("n")
-        finer = {m: f for m in masks if (f := finer_masks(m, bits)) and f != [m]}
-        if not finer or large.isEmpty():
+        large = level.groupBy("mask", "key").agg(F.count("*").alias("n")).filter(F.col("n") > split_above)
+        large = stored(large, "large")
+        split = {r["mask"]: r["n"] for r in large.groupBy("mask").agg(F.sum("n").alias("n")).collect()}  # out of the masks of this round
+        if not split:
             out.append(level)
             break
-        large = stored(large, "large")
-        split = {r["mask"] for r in large.select("mask").distinct().collect()}  # out of the masks of this round
-        finer = {m: f for m, f in finer.items() if m in split}
+        finer = {m: finer_masks(m, bits) for m in split}
         out.append(level.join(large, ["mask", "key"], "left_anti"))
         to = F.create_map(*(x for m, f in finer.items() for x in (_long(m), F.array(*map(_long, f)))))
         level = level.join(large, ["mask", "key"], "left_semi").select("fp", F.explode(to[F.col("mask")]).alias("mask"))
         masks = sorted({x for f in finer.values() for x in f})
+        rows += sum(split.values()) * bits
     keyed = out[0]
     for more in out[1:]:
         keyed = keyed.unionByName(more)
-    keyed = keyed.select("mask", "key", "fp").repartition("mask", "key").sortWithinPartitions("mask", "key")
+    keyed = keyed.select("mask", "key", "fp").repartition(max(1, -(-rows // ROWS_A_TASK)), "mask", "key").sortWithinPartitions("mask", "key")
     return keyed.mapInArrow(_links(bits), "a long, b long")
 
 
-def near_copies(fps: DataFrame, bits: int = 3, split_above: int = SPLIT_ABOVE) -> DataFrame:
+def near_copies(fps: DataFrame, bits: int = 3, split_above: int = SPLIT_ABOVE, group: int = GROUP) -> DataFrame:
     """doc_id, fp, component_id: the smallest doc_id that links lead to, for rows of doc_id and fp.
 
-    Equal fingerprints are one node of the graph, however many rows have them.
+    Equal fingerprints are one node of the graph, however many rows have them. Each join is of two written tables, so that
+    Spark can split the rows of a frequent fingerprint or of a large cluster over many tasks.
     """
     nodes = stored(fps.groupBy("fp").agg(F.min("doc_id").alias("least")), "fingerprints")
-    roots = components(links(nodes.select("fp"), bits, split_above))
-    named = nodes.join(roots, nodes.fp == roots.node, "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
-    of_root = named.groupBy("root").agg(F.min("least").alias("component_id"))
-    named = named.select("fp", "root").join(of_root, "root").select("fp", "component_id")
+    roots = components(links(nodes.select("fp"), bits, split_above, group))
+    linked = stored(nodes.join(roots, nodes.fp == roots.node).select("fp", "least", "root"), "linked")
+    clusters = stored(linked.groupBy("root").agg(F.min("least").alias("component_id")), "clusters")
+    placed = stored(linked.join(clusters, "root").select("fp", "component_id"), "placed")
+    named = stored(nodes.join(placed, "fp", "left").select("fp", F.coalesce("component_id", "least").alias("component_id")), "named")
     return fps.join(named, "fp").select("doc_id", "fp", "component_id")
 
 

@@ -107,8 +107,8 @@ def test_links_of_clusters(spark):
     for k, g in enumerate(of):
         least[g] = min(least.get(g, k), k)
     df = spark.createDataFrame([(k, signed(c)) for k, c in enumerate(codes)], "doc_id long, fp long")
-    for split_above in (20_000, 40):
-        got = {r["doc_id"]: r["component_id"] for r in simhash.near_copies(df, 3, split_above).collect()}
+    for split_above, group in ((20_000, 4096), (16, 50)):
+        got = {r["doc_id"]: r["component_id"] for r in simhash.near_copies(df, 3, split_above, group).collect()}
         assert got == {k: least[g] for k, g in enumerate(of)}
 
 
@@ -121,6 +121,27 @@ def test_gray_index_finds_all():
     assert got == {(a, b) for a in codes.tolist() for b in codes.tolist() if bin(a ^ b).count("1") <= 5}
 
 
+def test_gray_index_prunes_whole_groups():
+    codes = np.random.default_rng(4).integers(0, 2**64, 4096, dtype=np.uint64)
+    index = simhash.GrayIndex(codes)
+    assert all((p[1:] >= p[:-1]).all() for p in [simhash.gray_rank(index.codes)])
+    index.search(codes, 3)
+    assert index.compared < 0.25 * len(codes) ** 2
+
+
+def test_masks_agree_somewhere():
+    rng = random.Random(0)
+    for n in (10, 100_000, 10**9, 10**14):
+        masks = simhash.first_masks(3, n)
+        for _ in range(200):
+            change = sum(1 << b for b in rng.sample(range(64), 3))
+            assert any(not change & m for m in masks)
+        for m in masks:
+            finer = simhash.finer_masks(m, 3)
+            change = sum(1 << b for b in rng.sample([b for b in range(64) if not m >> b & 1], 3))
+            assert any(not change & f for f in finer) and all(f & m == m for f in finer)
+
+
 def test_components(spark):
     edges = [(k, k + 1) for k in range(60)] + [(100, 100 + k) for k in range(30)] + [(7, 7), (500, 501), (501, 500)]
     got = {r["node"]: r["root"] for r in components.components(spark.createDataFrame(edges, "a long, b long")).collect()}
