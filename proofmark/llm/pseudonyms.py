@@ -1,26 +1,32 @@
 """Format-preserving pseudonyms of personal data, by Feistel networks under a key.
 
 Only valid values are replaced: card numbers by their check digit, addresses by their ranges, dates by the calendar, and
-so on. Each is permuted within its own format, so a pseudonym looks like what it stands for, and equal values, wherever
-they occur and however they are grouped, get equal pseudonyms.
+so on. Each is permuted within its own format, so a pseudonym looks like what it stands for, as wide as it, and equal
+values, wherever they occur and however they are grouped or spelled out, get equal pseudonyms.
 """
 
 import hashlib
 import hmac
 import re
+from bisect import bisect_left
 from collections.abc import Callable, Iterator
 from datetime import date
-from functools import lru_cache
+from functools import cache, lru_cache
 from math import isqrt
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import release
 
 ROUNDS = 10
-KEY = b"change this key"
+KEY_SETTING = "spark.proofmark.pseudonymKey"
+
+
+def key_of(spark: SparkSession) -> bytes:
+    """The session's key. A session without one gets a key that anybody can read here: right for test data only."""
+    return spark.conf.get(KEY_SETTING, "test data only").encode()
 
 
 class Permuter:
@@ -73,15 +79,27 @@ def _refill(like: str, digits: str) -> str:
 class Pseudonyms:
     """Finds and replaces values. One pattern finds them all, the first alternative that fits at a place has it."""
 
-    # The patterns of the formats, and months as written in dates.
-    MONTHS = ("January", "February", "March", "April", "May", "June", "July", "August", "September", "October", "November", "December")
+    # Months as written in dates, calling codes of one and two digits (others have three), words before secrets.
+    MONTHS = {
+        "en": ("January", "February", "March", "April", "May", "June", "July", "August", "September", "October", "November", "December"),
+        "fr": ("janvier", "février", "mars", "avril", "mai", "juin", "juillet", "août", "septembre", "octobre", "novembre", "décembre"),
+        "es": ("enero", "febrero", "marzo", "abril", "mayo", "junio", "julio", "agosto", "septiembre", "octubre", "noviembre", "diciembre"),
+        "de": ("Januar", "Februar", "März", "April", "Mai", "Juni", "Juli", "August", "September", "Oktober", "November", "Dezember"),
+    }
+    CALLING = frozenset(
+        "1 7 20 27 30 31 32 33 34 36 39 40 41 43 44 45 46 47 48 49 51 52 53 54 55 56 57 58 60 61 62 63 64 65 66 81 82 84 86 90 91 92 93 94 95 98".split()
+    )
+    SECRETS = ("token", "secret", "password", "passwd", "api_key", "apikey", "api-key", "access_key", "private_key")
+    # The patterns of the formats.
     PATTERN = re.compile(
         r"(?P<email>(?<![A-Za-z0-9._%+-])[A-Za-z0-9][A-Za-z0-9._%+-]*@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,})"
+        r"|(?P<secret>(?<![A-Za-z])(?i:" + "|".join(SECRETS) + r")[\"']?[ \t]*[=:][ \t]*[\"']?[A-Za-z0-9_+/-]{16,})"
         r"|(?P<phone>(?<![\w+])\+\d{1,3}[ .-]?\(?\d{2,4}\)?(?:[ .-]?\d{2,4}){2,3}(?!\d)|(?<![\w(])\(\d{3}\) ?\d{3}[-. ]\d{4}(?!\d)|(?<![\w.-])\d{3}[-.]\d{3}[-.]\d{4}(?![\w-]))"
         r"|(?P<ssn>(?<![\w-])\d{3}-\d{2}-\d{4}(?![\w-]))"
-        r"|(?P<isodate>(?<![\w-])\d{4}([-/.])\d{1,2}\5\d{1,2}(?![\w-]))"
-        r"|(?P<date>(?<![\w/.-])\d{1,2}([-/.])\d{1,2}\7\d{4}(?![\w/-]))"
-        r"|(?P<named>(?<!\w)(?:" + "|".join(MONTHS) + r") \d{1,2}, \d{4}(?!\d))"
+        r"|(?P<isodate>(?<![\w-])\d{4}(?P<mark>[-/.])\d{1,2}(?P=mark)\d{1,2}(?![\w-]))"
+        r"|(?P<date>(?<![\w/.-])\d{1,2}(?P<sign>[-/.])\d{1,2}(?P=sign)\d{4}(?![\w/-]))"
+        r"|(?P<named>(?<!\w)(?i:" + "|".join(MONTHS["en"]) + r") \d{1,2}, \d{4}(?!\w))"
+        r"|(?P<worded>(?<!\w)\d{1,2}(?:\.|er)? (?:de )?(?i:" + "|".join(sorted({m for ms in MONTHS.values() for m in ms}, key=len, reverse=True)) + r")(?: de)? \d{4}(?!\w))"
         r"|(?P<ip>(?<![\w.])\d{1,3}(?:\.\d{1,3}){3}(?![\w]|\.\d))"
         r"|(?P<iban>(?<!\w)[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?!\w))"
         r"|(?P<card>(?<![\w.-])\d(?:[ -]?\d){12,18}(?![\w]|-\d|\.\d))"
@@ -115,35 +133,48 @@ class Pseudonyms:
         names, _, last = domain.rpartition(".")
         return f"{self._letters('mailbox', local)}@{self._letters('domain', names)}.{last}"
 
-    def _letters(self, name: str, value: str) -> str:
-        """One number of mixed bases, 26 for a letter and 10 for a digit, permuted; other characters stay."""
-        shape = "".join("a" if c.isalpha() else "0" if c.isdigit() else c for c in value)
-        bases = [26 if c == "a" else 10 for c in shape if c in "a0"]
+    def _letters(self, name: str, value: str, letters: int = 26) -> str:
+        """One number of mixed bases, 26 for a letter and 10 for a digit, permuted; other characters stay.
+
+        With 16 `letters` the value is hexadecimal, and a digit can become a letter.
+        """
+        base = lambda c: 16 if letters == 16 else 10 if c.isdigit() else 26
+        shape = "".join(("x" if letters == 16 else "0" if c.isdigit() else "a") if c.isalnum() else c for c in value)
+        bases = [base(c) for c in value if c.isalnum()]
         n, number = 1, 0
         for c in value.lower():
             if c.isalnum():
-                base = 10 if c.isdigit() else 26
-                n, number = n * base, number * base + (int(c) if base == 10 else ord(c) - 97)
+                n, number = n * base(c), number * base(c) + (int(c, 36) if letters == 16 or c.isdigit() else ord(c) - 97)
         number = self.permute.of(f"{name}{shape}", number, n)
         out = []
-        for base in reversed(bases):
-            number, d = divmod(number, base)
-            out.append(str(d) if base == 10 else chr(97 + d))
+        for k in reversed(bases):
+            number, d = divmod(number, k)
+            out.append("0123456789abcdef"[d] if k == 16 else str(d) if k == 10 else chr(97 + d))
         it = iter(reversed(out))
         cased = lambda c, new: new.upper() if c.isupper() else new
         return "".join(cased(c, next(it)) if c.isalnum() else c for c in value)
 
+    def _secret(self, value: str) -> str | None:
+        """What is assigned to a token, key or password, if it has a digit; hexadecimal stays so, letters stay letters."""
+        word = re.search(r"[A-Za-z0-9_+/-]+\Z", value)[0]
+        if not any(c.isdigit() for c in word):
+            return None
+        hexadecimal = not set(word) - set("0123456789abcdef")
+        return value[: -len(word)] + self._letters("secret", word, 16 if hexadecimal else 26)
+
     def _phone(self, value: str) -> str | None:
-        """All but the country code; an area code does not come to start with 0 or 1."""
+        """All but the calling code, which the digits alone tell; numbers that start with 0 or 1 after it stay among such."""
         digits = _digits(value)
         if not 8 <= len(digits) <= 15:
             return None
-        code = len(re.match(r"\+(\d+)", value)[1]) if value[0] == "+" and not value[1:].isdigit() else 1 if value[0] == "+" else 0
+        code = next((k for k in (1, 2) if digits[:k] in self.CALLING), 3) if value[0] == "+" else 0
         rest = digits[code:]
-        if rest[0] in "01":
-            return _refill(value, digits[:code] + self._number("phone", rest))
-        n = 8 * 10 ** (len(rest) - 1)
-        return _refill(value, digits[:code] + str(self.permute.of(f"phone2{len(rest)}", int(rest) - 2 * 10 ** (len(rest) - 1), n) + 2 * 10 ** (len(rest) - 1)))
+        low = 2 * 10 ** (len(rest) - 1)
+        if int(rest) < low:
+            new = self.permute.of(f"phone0{len(rest)}", int(rest), low)
+        else:
+            new = self.permute.of(f"phone2{len(rest)}", int(rest) - low, 10 ** len(rest) - low) + low
+        return _refill(value, digits[:code] + str(new).zfill(len(rest)))
 
     def _ssn(self, value: str) -> str | None:
         """Area 001-899 but 666, group 01-99, serial 0001-9999."""
@@ -182,35 +213,65 @@ class Pseudonyms:
         new = iter(plain[:2] + f"{98 - as_number(body + plain[:2] + '00') % 97:02}" + body)
         return "".join(c if c == " " else next(new) for c in value)
 
-    FIRST, DAYS = date(1900, 1, 1).toordinal(), date(2100, 1, 1).toordinal() - date(1900, 1, 1).toordinal()
-
     def _day(self, year: int, month: int, day: int) -> date | None:
-        """A day of 1900 to 2099, permuted among these; None for what is none."""
+        """A day of 1900 to 2099, permuted among those whose month and day are as wide; None for what is none."""
         try:
-            number = date(year, month, day).toordinal() - self.FIRST
+            number = date(year, month, day).toordinal()
         except ValueError:
             return None
-        return date.fromordinal(self.permute.of("date", number, self.DAYS) + self.FIRST) if 0 <= number < self.DAYS else None
+        among = _days()[month > 9, day > 9]
+        k = bisect_left(among, number)
+        if k == len(among) or among[k] != number:
+            return None
+        return date.fromordinal(among[self.permute.of(f"date{month > 9}{day > 9}", k, len(among))])
 
     def _isodate(self, value: str) -> str | None:
         mark = value[4]
-        year, month, day = map(int, value.split(mark))
-        new = self._day(year, month, day)
-        return new and f"{new.year}{mark}{new.month:02}{mark}{new.day:02}"
+        year, month, day = value.split(mark)
+        new = self._day(int(year), int(month), int(day))
+        return new and f"{new.year}{mark}{new.month:0{len(month)}}{mark}{new.day:0{len(day)}}"
 
     def _date(self, value: str) -> str | None:
         """Day first if that is a date, else month first."""
         mark = next(c for c in value if not c.isdigit())
-        a, b, year = map(int, value.split(mark))
-        if new := self._day(year, b, a):
-            return f"{new.day:02}{mark}{new.month:02}{mark}{new.year}"
-        new = self._day(year, a, b)
-        return new and f"{new.month:02}{mark}{new.day:02}{mark}{new.year}"
+        a, b, year = value.split(mark)
+        if new := self._day(int(year), int(b), int(a)):
+            return f"{new.day:0{len(a)}}{mark}{new.month:0{len(b)}}{mark}{new.year}"
+        new = self._day(int(year), int(a), int(b))
+        return new and f"{new.month:0{len(a)}}{mark}{new.day:0{len(b)}}{mark}{new.year}"
+
+    def _month(self, word: str, language: str, month: int) -> str:
+        """The month's name in a language, in capitals where the word had them."""
+        new = self.MONTHS[language][month - 1].lower()
+        return new.upper() if word.isupper() else new.capitalize() if word[0].isupper() else new
 
     def _named(self, value: str) -> str | None:
-        month, day, year = value.replace(",", "").split(" ")
-        new = self._day(int(year), self.MONTHS.index(month) + 1, int(day))
-        return new and f"{self.MONTHS[new.month - 1]} {new.day}, {new.year}"
+        word, day, year = value.replace(",", "").split(" ")
+        new = self._day(int(year), [m.lower() for m in self.MONTHS["en"]].index(word.lower()) + 1, int(day))
+        return new and f"{self._month(word, 'en', new.month)} {new.day:0{len(day)}}, {new.year}"
+
+    def _worded(self, value: str) -> str | None:
+        """Day, month and year in words: a point after the day is German; the first of a month is 1er in French."""
+        first, *between, year = value.split(" ")
+        word = next(w for w in between if w != "de")
+        order = ("de", "en", "fr", "es") if first[-1] == "." else ("fr", "en", "es", "de") if first[-1] == "r" else ("es", "en", "fr", "de") if "de" in between else ("en", "fr", "es", "de")
+        language = next(x for x in order if word.lower() in [m.lower() for m in self.MONTHS[x]])
+        digits = first.removesuffix("er").removesuffix(".")
+        new = self._day(int(year), [m.lower() for m in self.MONTHS[language]].index(word.lower()) + 1, int(digits))
+        if new is None:
+            return None
+        after = "er" if language == "fr" and new.day == 1 else "." if first[-1] == "." else ""
+        return " ".join([f"{new.day:0{len(digits)}}{after}", *(w if w == "de" else self._month(word, language, new.month) for w in between), str(new.year)])
+
+
+@cache
+def _days() -> dict[tuple[bool, bool], list[int]]:
+    """The days of 1900 to 2099, by whether the month and whether the day has two digits."""
+    out: dict[tuple[bool, bool], list[int]] = {(m, d): [] for m in (False, True) for d in (False, True)}
+    for number in range(date(1900, 1, 1).toordinal(), date(2100, 1, 1).toordinal()):
+        day = date.fromordinal(number)
+        out[day.month > 9, day.day > 9].append(number)
+    return out
 
 
 _makers: dict[bytes, Pseudonyms] = {}
@@ -226,7 +287,7 @@ def _replacer(key: bytes) -> Callable[[Iterator[pd.Series]], Iterator[pd.DataFra
     return run
 
 
-def pseudonymise(docs: DataFrame, key: bytes = KEY) -> DataFrame:
+def pseudonymise(docs: DataFrame, key: bytes) -> DataFrame:
     """`docs` with its own columns, text with pseudonyms for personal data, and n_replaced (a column of this name is taken over).
 
     A null text stays null with 0 replaced; an empty one stays empty; rows and other columns stay as they are. No shuffle.
@@ -237,6 +298,6 @@ def pseudonymise(docs: DataFrame, key: bytes = KEY) -> DataFrame:
     return made.select(*names, F.col("pseudonyms__.text").alias("text"), F.col("pseudonyms__.n").alias("n_replaced"))
 
 
-def pseudonymised_texts(docs: DataFrame, key: bytes = KEY) -> DataFrame:
+def pseudonymised_texts(docs: DataFrame, key: bytes) -> DataFrame:
     """doc_id, text, n_replaced: see `pseudonymise`."""
     return pseudonymise(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), key)

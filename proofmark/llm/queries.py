@@ -24,7 +24,7 @@ def op3_rendezvous_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pseudonyms.pseudonymised_texts(documents(spark, sf_dir))
+    return pseudonyms.pseudonymised_texts(documents(spark, sf_dir), pseudonyms.key_of(spark))
 
 
 def op5_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:

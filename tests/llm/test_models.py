@@ -1,7 +1,9 @@
 """Pseudonyms, top-k search, language identification, the pipeline's stages, and the edges of each."""
 
+import hmac
 import math
 import random
+from datetime import date, timedelta
 
 import corpus_pipeline
 import numpy as np
@@ -23,7 +25,6 @@ def test_pseudonyms():
     text = "a.b42@mail8.example.com +1 (988) 555-2485, 4041894974608795 4041-8949-7460-8795 42.144.35.254. 1987-03-12 12/03/1987 March 12, 1987 123-45-6789 DE89 3704 0044 0532 0130 00"
     new, n = p.replace(text)
     assert n == 10 and p.replace(text) == (new, n)
-    assert len(new) == len(text) or "March" in text
     words = new.split(" ")
     card, grouped = next(w for w in words if w.isdigit() and len(w) == 16), next(w for w in words if w.count("-") == 3)
     assert pseudonyms.luhn(card) and card == grouped.replace("-", "") != "4041894974608795"
@@ -33,9 +34,67 @@ def test_pseudonyms():
     assert again != new
 
 
+def plain_feistel(key, name, value, n):
+    """The network written out: ten rounds that add a digest of one half to the other, again until the value is in range."""
+    a = math.isqrt(n - 1) + 1
+    b = math.ceil(n / a)
+    while True:
+        high, low = value // b, value % b
+        for k in range(10):
+            half = low if k % 2 == 0 else high
+            add = int(hmac.new(key, f"{name}/{n}/{k}/{half}".encode(), "sha256").hexdigest(), 16)
+            high, low = ((high + add) % a, low) if k % 2 == 0 else (high, (low + add) % b)
+        value = high * b + low
+        if value < n:
+            return value
+
+
+def test_pseudonyms_against_a_plain_network():
+    p = pseudonyms.Pseudonyms(b"some key")
+    rng = random.Random(5)
+    for _ in range(100):
+        parts = [rng.randint(0, 255) for _ in range(4)]
+        number = plain_feistel(b"some key", "ip", sum(v << 8 * (3 - k) for k, v in enumerate(parts)), 2**32)
+        assert p.replace(".".join(map(str, parts)))[0] == ".".join(str(number >> 8 * k & 255) for k in (3, 2, 1, 0))
+        digits = str(rng.randint(2, 9)) + "".join(rng.choice("0123456789") for _ in range(9))
+        new = plain_feistel(b"some key", "phone210", int(digits) - 2 * 10**9, 8 * 10**9) + 2 * 10**9
+        assert p.replace(f"+1 ({digits[:3]}) {digits[3:6]}-{digits[6:]}")[0] == f"+1 ({str(new)[:3]}) {str(new)[3:6]}-{str(new)[6:]}"
+        token = "".join(rng.choice("0123456789abcdef") for _ in range(40))
+        new = f"{plain_feistel(b'some key', 'secret' + 'x' * 40, int(token, 16), 16**40):040x}"
+        if any(c.isdigit() for c in token):
+            assert p.replace(f'token = "{token}"')[0] == f'token = "{new}"'
+    days = [d for k in range(73049) if (d := date(1900, 1, 1) + timedelta(k)).month < 10 and d.day < 10]
+    for k in rng.sample(range(len(days)), 50):
+        new = days[plain_feistel(b"some key", "dateFalseFalse", k, len(days))]
+        assert p.replace(days[k].isoformat())[0] == new.isoformat()
+
+
+def test_equal_values_stay_linked_and_formats_keep_their_width():
+    p = pseudonyms.Pseudonyms(b"k")
+    of = lambda t: p.replace(t)[0]
+    only = lambda t: "".join(c for c in t if c.isdigit())
+    phones = ["+49 30 12345678", "+493012345678", "+49-30-1234-5678"]
+    assert len({only(of(t)) for t in phones}) == 1 and all(of(t) != t and of(t)[:3] == "+49" for t in phones)
+    assert only(of("+1 988 555 2485"))[1:] == only(of("(988) 555-2485"))
+    new = date.fromisoformat(of("2020-03-07"))
+    assert (of("2020-3-7"), of("7/3/2020"), of("07.03.2020")) == (f"{new.year}-{new.month}-{new.day}", f"{new.day}/{new.month}/{new.year}", f"{new.day:02}.{new.month:02}.{new.year}")
+    assert new.month < 10 and new.day < 10 and new != date(2020, 3, 7)
+    months = pseudonyms.Pseudonyms.MONTHS
+    new = date.fromisoformat(of("1987-03-12"))
+    for text, want in (
+        ("March 12, 1987", f"{months['en'][new.month - 1]} {new.day}, {new.year}"), ("12 March 1987", f"{new.day} {months['en'][new.month - 1]} {new.year}"), ("12. März 1987", f"{new.day}. {months['de'][new.month - 1]} {new.year}"),
+        ("12 mars 1987", f"{new.day} {months['fr'][new.month - 1]} {new.year}"), ("12 de marzo de 1987", f"{new.day} de {months['es'][new.month - 1]} de {new.year}"), ("12 MARS 1987", f"{new.day} {months['fr'][new.month - 1].upper()} {new.year}"),
+    ):
+        assert of(text) == want, text
+    assert of("1er mars 1987") == of("1 mars 1987") != "1er mars 1987" and of("31. Februar 1987") == "31. Februar 1987"
+    assert of("token: internationalisation") == "token: internationalisation"
+    assert len(of("api_key='Ab3-xy9_0123456789zz'")) == 30 and of("api_key='Ab3-xy9_0123456789zz'") != "api_key='Ab3-xy9_0123456789zz'"
+    assert len({of(f"+1 {k:010d}") for k in range(0, 5 * 10**9, 10**8 + 7)}) == 50
+
+
 def test_pseudonyms_table(spark):
     df = spark.createDataFrame([(1, None, "a"), (2, "", "b"), (3, "ip 10.0.0.1", "c"), (3, "ip 10.0.0.1", "c")], "doc_id long, text string, n string")
-    rows = sorted(tuple("~" if v is None else v for v in r) for r in pseudonyms.pseudonymise(df).select("doc_id", "n", "text", "n_replaced").collect())
+    rows = sorted(tuple("~" if v is None else v for v in r) for r in pseudonyms.pseudonymise(df, b"k").select("doc_id", "n", "text", "n_replaced").collect())
     assert rows[0] == (1, "a", "~", 0) and rows[1] == (2, "b", "", 0) and rows[2] == rows[3] and rows[2][2] != "ip 10.0.0.1"
 
 
