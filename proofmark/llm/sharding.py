@@ -9,6 +9,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .common import stored
+
 #: A record's size beyond its text, in bytes.
 OVERHEAD = 8
 #: Parts of each shard in which places are numbered apart, so that no task holds a whole shard.
@@ -36,19 +38,21 @@ def shard(docs: DataFrame, weights: Sequence[float], grown: float = 1.0, parts:
     `grown_shard` is the shard with one more of weight `grown`. A null text has no bytes, so size 8 and the checksum of
     nothing. `slot` numbers a shard's rows from 0 without gaps. An empty table gives no rows; other columns are left out.
 
-    Slots need no task with a whole shard: rows are numbered within 1024 parts of a shard by the key's hash, and each
-    part begins where the counts of those before it end. The table of counts has at most shards x parts rows.
+    Slots need no task with a whole shard: rows are dealt to 1024 parts of a shard by a number of their own, so that rows
+    of one key or of none spread too, and each part begins where the counts of those before it end. The numbers are
+    written with the rows (28 bytes each, no text), which every later step reads. The table of counts has at most shards x
+    parts rows.
     """
     doc_id = F.col("doc_id").cast("long")
     body = F.coalesce(F.col("text"), F.lit(""))
-    part = F.pmod(F.xxhash64(F.col("doc_id"), F.lit("part")), F.lit(parts)).cast("int")
     rows = docs.select(doc_id.alias("doc_id"), (F.octet_length(body).cast("long") + OVERHEAD).alias("size"), F.crc32(F.encode(body, "UTF-8")).alias("text_crc32"))
-    rows = rows.withColumn("shard", rendezvous(F.col("doc_id"), weights)).withColumn("part", part)
+    rows = stored(rows.withColumn("row", F.monotonically_increasing_id()), "records")
+    rows = rows.withColumn("shard", rendezvous(F.col("doc_id"), weights)).withColumn("part", F.pmod(F.xxhash64("row"), F.lit(parts)).cast("int"))
     rows = rows.withColumn("grown_shard", rendezvous(F.col("doc_id"), [*weights, grown]))
     before = Window.partitionBy("shard").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     counts = rows.groupBy("shard", "part").agg(F.count("*").alias("n"))
     starts = counts.select("shard", "part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("start"))
-    within = F.row_number().over(Window.partitionBy("shard", "part").orderBy("doc_id", "size", "text_crc32"))
+    within = F.row_number().over(Window.partitionBy("shard", "part").orderBy("row"))
     return (
         rows.withColumn("within", within)
         .join(F.broadcast(starts), ["shard", "part"])

@@ -1,8 +1,10 @@
 """Suffix dedup, SimHash groups, components, fingerprints and shards against brute force on small tables."""
 
 import hashlib
+import math
 import random
 import re
+import struct
 import unicodedata
 import zlib
 from collections import Counter, defaultdict
@@ -188,5 +190,18 @@ def test_shards(spark):
     assert all(sorted(p) == list(range(len(p))) for p in places.values()) and len(rows) == len(docs)
     assert {r["text_crc32"] for r in rows if r["size"] == 8} == {0}
     assert next(r["text_crc32"] for r in rows if r["doc_id"] == 7) == zlib.crc32(b"text 7")
+    for r in rows:
+        draws = []
+        for shard in range(25):
+            seed = 42 if r["doc_id"] is None else xxhash.xxh64_intdigest(struct.pack("<q", r["doc_id"]), 42)
+            unit = ((xxhash.xxh64_intdigest(struct.pack("<i", shard), seed) >> 11) + 0.5) / 2**53
+            draws.append((-math.log(unit), shard))
+        assert (r["shard"], r["grown_shard"]) == (min(draws[:24])[1], min(draws)[1])
+    same = spark.createDataFrame([(1, "copy", "clash", 3)] * 500 + [(None, "none", "clash", 4)] * 500, "doc_id long, text string, shard string, part int")
+    slots = defaultdict(list)
+    for r in sharding.shard(same, [1.0] * 4, parts=16).collect():
+        slots[r["shard"]].append(r["slot"])
+    assert sum(map(len, slots.values())) == 1000 and all(sorted(p) == list(range(len(p))) for p in slots.values())
+    assert sharding.shard(same.limit(0), [1.0] * 4).count() == 0
     shares = sharding.shard(spark.createDataFrame(docs, "doc_id long, text string"), [1.0, 3.0]).groupBy("shard").count().collect()
     assert 0.7 < {r["shard"]: r["count"] for r in shares}[1] / len(docs) < 0.8
