@@ -38,6 +38,12 @@ UNITS = (
     ("lit(?:er|re)s?|l", 1000.0),
 )
 
+# What counts as a number, a proof and a volume in a text. White space and digits are Unicode's.
+NUMBER = r"(\d{1,3}(?:[.,]\d{1,2})?)"
+PROOF = r"(\d{2,3}(?:\.\d+)?)[\s\x1C-\x1F]*proof"
+QUANTITY = r"(?<![\d.,])(\d+(?:[.,]\d+)?)[\s\x1C-\x1F]*(" + "|".join(u for u, _ in UNITS) + ")(?![a-z])"
+ALCOHOL_WORDS = "alc|vol|abv"
+
 TITLES = {
     "brand_name": "Brand name",
     "class_type": "Class / type",

@@ -14,7 +14,8 @@ from pyspark.sql import functions as F
 from .constants import SPELLINGS
 
 NUL = "\0"
-KEPT = r"[\p{L}\p{N}]"
+#: White space as texts may hold it: Unicode's, and the separators of ASCII that count as such too.
+SPACE = r"[\s\x1C-\x1F]"
 
 
 def squash_character(ch: str) -> str:
@@ -50,7 +51,8 @@ def squash(col: Column) -> Column:
 
 def positions(flat: Column) -> Column:
     """The place in the text of each character that squashing keeps."""
-    at = F.transform(F.split(flat, ""), lambda c, i: F.when(c.rlike(KEPT), i))
+    marked = F.regexp_replace(flat, r"[^\p{L}\p{N}]", " ")
+    at = F.transform(F.split(marked, ""), lambda c, i: F.when((c != " ") & (c != ""), i))
     return F.filter(at, lambda i: i.isNotNull())
 
 
@@ -61,8 +63,14 @@ def fold_spelling(squashed: Column) -> Column:
     return squashed
 
 
+def strip(col: Column) -> Column:
+    """`col` without the white space around it."""
+    return F.regexp_replace(col, rf"(?U)\A{SPACE}+|{SPACE}+\z", "")
+
+
 def clean_spaces(col: Column) -> Column:
-    return F.trim(F.regexp_replace(col, r"(?U)\s+", " "))
+    """`col` without the white space around it, and single spaces within."""
+    return F.trim(F.regexp_replace(col, rf"(?U){SPACE}+", " "))
 
 
 def find_exact(hay: Column, needle: Column) -> Column:
@@ -82,8 +90,8 @@ def raw_span(raw: Column, places: Column, start: Column, end: Column, whole_word
     first, last = F.get(places, start), F.get(places, end - 1) + 1
     span = F.substring(raw, first + 1, last - first)
     if whole_words:
-        before = F.regexp_extract(F.substring(raw, F.lit(1), first), r"(?U)(\S*)\z", 1)
-        after = F.regexp_extract(F.substring(raw, last + 1, F.length(raw)), r"(?U)\A(\S*)", 1)
+        before = F.regexp_extract(F.substring(raw, F.lit(1), first), r"(?U)([^\s\x1C-\x1F]*)\z", 1)
+        after = F.regexp_extract(F.substring(raw, last + 1, F.length(raw)), r"(?U)\A([^\s\x1C-\x1F]*)", 1)
         span = F.concat(before, span, after)
     return clean_spaces(span)
 

@@ -214,7 +214,7 @@ def check_text_fields(rows: DataFrame) -> DataFrame:
 def check_fields(rows: DataFrame) -> DataFrame:
     """fields, in display order, of rows that have a label's facts, its warning and an application."""
     rows = check_text_fields(rows)
-    value = lambda c: F.trim(F.coalesce(F.col(c), F.lit("")))
+    value = lambda c: T.strip(F.coalesce(F.col(c), F.lit("")))
     alcohol = F.when(value("alcohol_content") != "", check_alcohol(F.col("alcohol_values"), F.col("proof_values"), value("alcohol_content")))
     volume = F.when(value("net_contents") != "", check_net_contents(F.col("volumes"), value("net_contents")))
     every = F.filter(F.concat(F.col("text_fields"), F.array(alcohol, volume), F.col("warning_fields")), lambda f: f.isNotNull())
@@ -239,6 +239,6 @@ def problems_first(fields: Column) -> Column:
 
 def provided_fields(apps: DataFrame) -> DataFrame:
     """app_id, key, title, expected for each field that is given; the warning is always checked."""
-    given = [F.struct(F.lit(k).alias("key"), F.lit(TITLES[k]).alias("title"), F.trim(k).alias("expected")) for k in APPLICATION_FIELDS]
+    given = [F.struct(F.lit(k).alias("key"), F.lit(TITLES[k]).alias("title"), T.strip(F.col(k)).alias("expected")) for k in APPLICATION_FIELDS]
     warning = F.struct(F.lit("warning_wording").alias("key"), F.lit(TITLES["warning_wording"]).alias("title"), F.lit(STATEMENT).alias("expected"))
     return apps.select("app_id", F.explode(F.array(*given, warning)).alias("f")).select("app_id", "f.*").filter("expected <> ''")

@@ -8,8 +8,8 @@ from proofmark.functions import quantities as Q
 from proofmark.functions import text as T
 from proofmark.functions.constants import MIN_CHARACTERS, MIN_CONFIDENCE, SAME_ROW
 
-#: A label of more lines than this is no label; assembling fails rather than gathering it.
-MOST_LINES = 100_000
+#: A label of more lines than this is no label: it gets a message instead of a result, and its lines are not gathered.
+MOST_LINES = 10_000
 
 
 def _middle(ordered: str) -> Column:
@@ -50,28 +50,38 @@ def in_reading_order(rows: DataFrame, lines: str = "lines") -> DataFrame:
 
 
 def reading_order(lines: DataFrame) -> DataFrame:
-    """Lines with reading_pos, from 1, within their label."""
-    grouped = in_reading_order(_grouped(lines))
-    return grouped.select("name_key", F.posexplode("lines").alias("at", "line")).select("name_key", "line.*", (F.col("at") + 1).alias("reading_pos"))
+    """Lines with reading_pos, from 1, within their label; those of a label of over MOST_LINES lines have none and stay out."""
+    grouped = in_reading_order(_bounded(_grouped(lines), "lines"))
+    # outer: for an inner one the optimizer asks for the array's size further down and works the order out anew for that
+    each = grouped.select("name_key", F.posexplode_outer("lines").alias("at", "line")).filter("line is not null")
+    return each.select("name_key", "line.*", (F.col("at") + 1).alias("reading_pos"))
 
 
 def _grouped(lines: DataFrame) -> DataFrame:
-    """One row a label: the only shuffle of the lines, and of the columns in use."""
+    """One row a label: the only shuffle of the lines, and of the columns in use. Of a label that is too long as many lines
+    are gathered as show it."""
     keyed = lines.select(F.lower("filename").alias("name_key"), F.struct("line_no", "text", "confidence", "box").alias("line"))
-    dealt = keyed.repartition(int(lines.sparkSession.conf.get("spark.sql.shuffle.partitions")), "name_key")  # few bytes, much work: not to be merged
-    grouped = dealt.groupBy("name_key").agg(F.collect_list("line").alias("lines"))
-    too_many = F.raise_error(F.concat(F.lit("a label of over 100000 lines: "), F.col("name_key")))
-    return grouped.withColumn("lines", F.when(F.size("lines") > MOST_LINES, too_many.cast(grouped.schema["lines"].dataType)).otherwise(F.array_sort("lines")))
+    nth = F.row_number().over(W.partitionBy("name_key").orderBy("line.line_no"))
+    few = keyed.withColumn("nth", nth).filter(F.col("nth") <= MOST_LINES + 1)
+    return few.groupBy("name_key").agg(F.array_sort(F.collect_list("line")).alias("lines"))
+
+
+def _bounded(rows: DataFrame, lines: str) -> DataFrame:
+    """too_long, and no lines where it is so."""
+    none = F.array().cast(rows.schema[lines].dataType)
+    too_long = F.coalesce(F.size(lines) > MOST_LINES, F.lit(False))
+    return rows.withColumn("too_long", too_long).withColumn(lines, F.when(F.col("too_long"), none).otherwise(F.coalesce(F.col(lines), none)))
 
 
 def with_text(rows: DataFrame, lines: str = "lines") -> DataFrame:
-    """Rows with an array of lines get raw, extracted_text, characters, confidence: no shuffle, so streams have it too.
+    """Rows with an array of lines get raw, extracted_text, characters, confidence and too_long: no shuffle, so streams
+    have it too.
 
-    The mean confidence adds up in reading order, so it does not depend on how the data lie.
+    The mean confidence adds up in reading order, so it does not depend on how the data lie; a line without one counts 0.
     """
-    ordered = in_reading_order(rows.withColumn(lines, F.coalesce(F.col(lines), F.array().cast(rows.schema[lines].dataType))), lines)
+    ordered = in_reading_order(_bounded(rows, lines), lines)
     texts = F.transform(F.col(lines), lambda v: v["text"])
-    total = F.aggregate(F.col(lines), F.lit(0.0), lambda a, v: a + v["confidence"])
+    total = F.aggregate(F.col(lines), F.lit(0.0), lambda a, v: a + F.nanvl(F.coalesce(v["confidence"].cast("double"), F.lit(0.0)), F.lit(0.0)))
     return ordered.withColumns(
         {
             "extracted_text": texts,
@@ -82,7 +92,7 @@ def with_text(rows: DataFrame, lines: str = "lines") -> DataFrame:
 
 
 def assemble_labels(lines: DataFrame) -> DataFrame:
-    """name_key, raw, extracted_text, characters and confidence of each label."""
+    """name_key, raw, extracted_text, characters, confidence and too_long of each label."""
     return with_text(_grouped(lines)).drop("lines")
 
 
@@ -98,8 +108,10 @@ def label_facts(labels: DataFrame) -> DataFrame:
 
 
 def latest_image(images: DataFrame) -> DataFrame:
-    """Of files with one lower-cased name the last one: by time, then by path."""
-    last = F.row_number().over(W.partitionBy("name_key").orderBy(F.desc("modificationTime"), F.desc("path")))
+    """Of files with one lower-cased name the last one: by modificationTime, then by path, then by the other columns."""
+    order = [c for c in ("modificationTime", "path") if c in images.columns]
+    order += [c for c in images.columns if c not in (*order, "name_key")]
+    last = F.row_number().over(W.partitionBy("name_key").orderBy(*map(F.desc, order)))
     return images.withColumn("nth__", last).filter("nth__ = 1").drop("nth__")
 
 

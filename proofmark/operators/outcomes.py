@@ -77,12 +77,12 @@ def details_text(fields: Column) -> Column:
 
 
 def shown(code: Column) -> Column:
-    """The words for a verdict or a status."""
-    words = F.create_map(*(F.lit(x) for pair in {**SHOWN, **SHOWN_STATUS, "review": SHOWN["review"]}.items() for x in pair))
-    return words[code]
+    """The words for a verdict."""
+    return F.create_map(*(F.lit(x) for pair in SHOWN.items() for x in pair))[code]
 
 
 def shown_status(code: Column) -> Column:
+    """The words for a field's status."""
     return F.create_map(*(F.lit(x) for pair in SHOWN_STATUS.items() for x in pair))[code]
 
 
@@ -102,3 +102,9 @@ def score_against_expected(outcomes: DataFrame, manifest: DataFrame) -> DataFram
 def confusion(scored: DataFrame) -> DataFrame:
     """How often each pair of expected and given verdict occurs."""
     return scored.groupBy("expected_verdict", "verdict").agg(F.count("*").alias("n"))
+
+
+def accuracy(scored: DataFrame) -> DataFrame:
+    """labels, agreeing, accuracy (null without labels) and all_agree, in one row."""
+    counted = scored.groupBy().agg(F.count("*").alias("labels"), F.count_if("agrees").alias("agreeing"))
+    return counted.select("labels", "agreeing", F.try_divide("agreeing", "labels").alias("accuracy"), (F.col("labels") == F.col("agreeing")).alias("all_agree"))

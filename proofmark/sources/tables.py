@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from proofmark.functions.constants import APPLICATION_FIELDS, MAX_IMAGE_BYTES
+from proofmark.functions.text import strip
 
 POINT = T.StructType([T.StructField("x", T.DoubleType()), T.StructField("y", T.DoubleType())])
 LABEL_LINES = T.StructType(
@@ -33,7 +34,7 @@ def shape_applications(raw: DataFrame) -> DataFrame:
     for needed in ("filename", "brand_name"):
         if needed not in named:
             raise ValueError(f"The file needs a {needed} column.")
-    value = lambda c: F.trim(F.coalesce(F.col(f"`{named[c]}`"), F.lit(""))) if c in named else F.lit("")
+    value = lambda c: strip(F.coalesce(F.col(f"`{named[c]}`"), F.lit(""))) if c in named else F.lit("")
     rows = raw.select(*(value(c).alias(c) for c in ("filename", *APPLICATION_FIELDS))).filter("filename <> ''")
     return rows.select(F.monotonically_increasing_id().alias("app_id"), "*")
 
@@ -46,13 +47,17 @@ def read_applications(spark: SparkSession, path: str) -> DataFrame:
     return rows
 
 
-def read_manifest(spark: SparkSession, path: str) -> DataFrame:
-    """Applications with the verdict that each should get and a description."""
-    raw = _csv(spark, path)
+def shape_manifest(raw: DataFrame) -> DataFrame:
+    """Applications with the verdict that each should get and a description; values as they are, missing ones empty."""
     more = [F.coalesce(F.col(c), F.lit("")).alias(c) for c in ("filename", *APPLICATION_FIELDS, "expected_verdict", "description")]
     return raw.select(F.monotonically_increasing_id().alias("app_id"), *more)
 
 
+def read_manifest(spark: SparkSession, path: str) -> DataFrame:
+    """`shape_manifest` of a CSV file with exact headers."""
+    return shape_manifest(_csv(spark, path))
+
+
 def name_key(path: Column) -> Column:
     """The lower-cased last part of a path."""
     return F.lower(F.element_at(F.split(path, "/"), -1))
@@ -66,7 +71,7 @@ def read_images(spark: SparkSession, path: str) -> DataFrame:
 
 def shape_label_lines(lines: DataFrame) -> DataFrame:
     """Lines with trimmed text; blank ones are none, before anything is counted."""
-    return lines.withColumn("text", F.trim(F.regexp_replace("text", r"(?U)\A\s+|\s+\z", ""))).filter("text <> ''")
+    return lines.withColumn("text", strip(F.col("text"))).filter("text <> ''")
 
 
 def read_label_lines(spark: SparkSession, path: str, kind: str = "parquet") -> DataFrame:
@@ -92,7 +97,7 @@ def admit(apps: DataFrame) -> DataFrame:
     """error_message for rows with brand_name, length (null: no image) and is_image: the first that applies, or null."""
     message = (
         F.when(F.col("length").isNull(), "No image was chosen with this file name.")
-        .when(F.trim("brand_name") == "", "Enter the brand name from the application.")
+        .when(strip(F.coalesce("brand_name", F.lit(""))) == "", "Enter the brand name from the application.")
         .when(F.col("length") > MAX_IMAGE_BYTES, "This image is too large. The limit is 15 MB.")
         .when(~F.coalesce("is_image", F.lit(False)), "This file could not be opened as an image. Use a JPG or PNG of the label.")
     )

@@ -1,11 +1,23 @@
 """Labels checked one by one as they come: the batch job's steps on rows that carry their own lines."""
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
-from proofmark.jobs.verify import verify_rows
+from proofmark.jobs.verify import outcome_rows
 from proofmark.operators import checks, labels
+from proofmark.sources.tables import image_signature_ok
 
 
 def verify_stream(labelled: DataFrame) -> DataFrame:
-    """For a stream, or table, of applications with an array `lines`: the columns of the batch job. Stateless, no shuffle."""
-    return verify_rows(checks.check_warning(labels.label_facts(labels.with_text(labelled))))
+    """For a stream, or table, of applications with an array `lines`: the columns of the batch job. Stateless, no shuffle.
+
+    A row is admitted as in the batch job, by its brand and its image. With a column `content`, and `length` where the bytes
+    are not all there, that is the image; without, a row whose lines are null has no image.
+    """
+    if "content" in labelled.columns:
+        length = F.octet_length("content").cast("long")
+        length = F.coalesce(F.col("length").cast("long"), length) if "length" in labelled.columns else length
+        rows = labelled.withColumns({"length": length, "is_image": image_signature_ok(F.col("content"))}).drop("content")
+    else:
+        rows = labelled.withColumns({"length": F.when(F.col("lines").isNotNull(), F.lit(0)), "is_image": F.lit(True)})
+    return outcome_rows(checks.check_warning(labels.label_facts(labels.with_text(rows))))
