@@ -29,11 +29,16 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def rows_of(df: DataFrame) -> Column:
+    """The number of rows of a table, as a subquery: counted when the query runs, not while it is planned."""
+    return df.agg(F.count("*")).scalar()
+
+
 def _products(spark: SparkSession, sf_dir: str) -> DataFrame:
     supplier = table(spark, sf_dir, "supplier").select("s_suppkey", "s_name", "s_nationkey")
     nation = table(spark, sf_dir, "nation").select("n_nationkey", "n_name")
     part = table(spark, sf_dir, "part").select("p_partkey", "p_name", "p_type", "p_size")
-    keyed = part.withColumn("s_suppkey", F.col("p_partkey") % supplier.count())
+    keyed = part.withColumn("s_suppkey", F.col("p_partkey") % rows_of(supplier))
     return keyed.join(supplier, "s_suppkey").join(nation, F.col("s_nationkey") == F.col("n_nationkey"))
 
 
@@ -71,6 +76,8 @@ def _duck(expr: str) -> str:
 
 
 APPLICATIONS_SQL = "select " + ", ".join(f"{_duck(v)} as {k}" for k, v in _FIELDS.items()) + f" from {_JOINED}"
+#: An application with its keys and what its label says, line by line (l0 to l9).
+PRODUCTS_SQL = "select " + ", ".join(["p_partkey", "p_size", *(f"{_duck(v)} as {k}" for k, v in _FIELDS.items()), *(f"{_duck(v)} as l{k}" for k, v in enumerate(_LINES))]) + f" from {_JOINED}"
 LINES_SQL = " union all ".join(f"select p_partkey, 'label_' || p_partkey || '.png' as name_key, {k} as pos, {_duck(v)} as text from {_JOINED}" for k, v in enumerate(_LINES))
 LINES_SQL = f"select * from ({LINES_SQL}) where text <> ''"
 RAW_SQL = f"select p_partkey, name_key, string_agg(text, chr(10) order by pos) as raw, list(text order by pos) as texts from ({LINES_SQL}) group by all"

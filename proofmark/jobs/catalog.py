@@ -1,7 +1,5 @@
 """The library's queries over the driver's tables, and the same in DuckDB's SQL."""
 
-from collections.abc import Callable
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -13,16 +11,15 @@ from proofmark.operators import checks, labels, outcomes
 from proofmark.sources import tables as S
 
 from . import verify
-from .adapters import APPLICATIONS_SQL, LINES_SQL, RAW_SQL, VERDICTS, applications, label_lines, strokes, table
+from .adapters import APPLICATIONS_SQL, RAW_SQL, VERDICTS, applications, label_lines, rows_of, strokes, table
+from .registry import ORACLE_SQL, QUERIES, query
 
-Query = Callable[[SparkSession, str], DataFrame]
-QUERIES: dict[str, Query] = {}
-ORACLE_SQL: dict[str, str] = {}
+__all__ = ["ORACLE_SQL", "QUERIES"]
 
 SQUASH_SQL = r"regexp_replace(lower(strip_accents({0})), '[^\p{{L}}\p{{N}}]', '', 'g')"
 
 
-def _squash(x: str) -> str:
+def squash_sql(x: str) -> str:
     return SQUASH_SQL.format(x)
 
 
@@ -32,16 +29,6 @@ def _fold(x: str) -> str:
     return x
 
 
-def query(sql: str | None = None) -> Callable[[Query], Query]:
-    def add(f: Query) -> Query:
-        QUERIES[f.__name__] = f
-        if sql:
-            ORACLE_SQL[f.__name__] = sql
-        return f
-
-    return add
-
-
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", "text")
 
@@ -49,13 +36,13 @@ def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 # --- text -------------------------------------------------------------------------------------------------------------
 
 
-@query(f"select doc_id, length({_squash('text')}) as n_kept, md5({_squash('text')}) as digest from documents")
+@query(f"select doc_id, length({squash_sql('text')}) as n_kept, md5({squash_sql('text')}) as digest from documents")
 def squash(spark: SparkSession, sf_dir: str) -> DataFrame:
     kept = T.squash(F.col("text"))
     return _documents(spark, sf_dir).select("doc_id", kept.alias("kept")).select("doc_id", F.length("kept").cast("long").alias("n_kept"), F.md5(F.encode("kept", "UTF-8")).alias("digest"))
 
 
-@query(f"select doc_id, md5({_fold(_squash('text'))}) as digest from documents")
+@query(f"select doc_id, md5({_fold(squash_sql('text'))}) as digest from documents")
 def fold_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _documents(spark, sf_dir).select("doc_id", F.md5(F.encode(T.fold_spelling(T.squash(F.col("text"))), "UTF-8")).alias("digest"))
 
@@ -65,31 +52,39 @@ def clean_spaces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _documents(spark, sf_dir).select("doc_id", F.md5(F.encode(T.clean_spaces(F.col("text")), "UTF-8")).alias("digest"))
 
 
-_PASSAGES = f"""select doc_id, {_squash("d.text")} as hay, substr({_squash("b.text")}, 1, 60) as needle
-from documents d join benchmark b on b.item_id = d.doc_id % (select count(*) from benchmark)"""
+_HAYS = f"select doc_id, {squash_sql('text')} as hay, doc_id % (select count(*) from benchmark) as share from documents"
+_ITEMS = f"select item_id, {squash_sql('text')} as needle, item_id % (select count(*) from benchmark) as share from benchmark"
+_PASSAGES = f"""select doc_id, item_id, hay, needle from ({_HAYS}) left join ({_ITEMS}) using (share)
+union all select doc_id, null, hay, substr(hay, length(hay) // 3 + 1, 25) from ({_HAYS})"""
 
 
 def _passages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    items = table(spark, sf_dir, "benchmark").select("item_id", F.substring(T.squash(F.col("text")), 1, 60).alias("needle"))
-    keyed = _documents(spark, sf_dir).withColumn("item_id", F.col("doc_id") % items.count())
-    return keyed.join(items, "item_id").select("doc_id", T.squash(F.col("text")).alias("hay"), "needle")
+    """Each squashed document with whole passages, mostly not in it, and (item_id null) with a piece out of its own middle."""
+    items = table(spark, sf_dir, "benchmark")
+    n = rows_of(items)
+    hays = _documents(spark, sf_dir).select("doc_id", T.squash(F.col("text")).alias("hay"))
+    needles = items.select("item_id", T.squash(F.col("text")).alias("needle"), (F.col("item_id") % n).alias("share"))
+    whole = hays.withColumn("share", F.col("doc_id") % n).join(needles, "share", "left").select("doc_id", "item_id", "hay", "needle")
+    own = F.substring("hay", F.floor(F.length("hay") / 3).cast("int") + 1, F.lit(25))
+    return whole.unionByName(hays.select("doc_id", F.lit(None).cast("long").alias("item_id"), "hay", own.alias("needle")))
 
 
-@query(f"select doc_id, case when instr(hay, needle) > 0 then instr(hay, needle) - 1 end as at from ({_PASSAGES})")
+@query(f"select doc_id, item_id, case when needle <> '' and instr(hay, needle) > 0 then instr(hay, needle) - 1 end as at from ({_PASSAGES})")
 def find_exact(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _passages(spark, sf_dir).select("doc_id", T.find_exact(F.col("hay"), F.col("needle")).cast("long").alias("at"))
+    return _passages(spark, sf_dir).select("doc_id", "item_id", T.find_exact(F.col("hay"), F.col("needle")).cast("long").alias("at"))
 
 
 @query(
-    f"""select doc_id, instr(hay, needle) - 1 as at, length(hay) as n,
+    f"""select doc_id, item_id, instr(hay, needle) - 1 as at, length(hay) as n,
     md5(substr(hay, 1, instr(hay, needle) - 1) || repeat('*', length(needle)) || substr(hay, instr(hay, needle) + length(needle))) as digest
-    from ({_PASSAGES}) where instr(hay, needle) > 0"""
+    from ({_PASSAGES}) where needle <> '' and instr(hay, needle) > 0"""
 )
 def claim_span(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = _passages(spark, sf_dir).withColumn("at", T.find_exact(F.col("hay"), F.col("needle"))).filter("at is not null")
+    at = F.explode_outer(F.array(T.find_exact(F.col("hay"), F.col("needle"))))  # of one each: the filter stays above the squashing
+    found = _passages(spark, sf_dir).select("*", at.alias("at")).filter("at is not null")
     left = found.withColumn("open", T.claim(F.col("hay"), F.col("at"), F.col("at") + F.length("needle")))
     shown = F.replace("open", F.lit(T.NUL), F.lit("*"))
-    return left.select("doc_id", F.col("at").cast("long").alias("at"), F.length("open").cast("long").alias("n"), F.md5(F.encode(shown, "UTF-8")).alias("digest"))
+    return left.select("doc_id", "item_id", F.col("at").cast("long").alias("at"), F.length("open").cast("long").alias("n"), F.md5(F.encode(shown, "UTF-8")).alias("digest"))
 
 
 @query("select s_suppkey, levenshtein(s_name, n_name) as distance from supplier join nation on s_nationkey = n_nationkey")
@@ -98,19 +93,36 @@ def edit_distance(spark: SparkSession, sf_dir: str) -> DataFrame:
     return joined.select("s_suppkey", F.levenshtein("s_name", "n_name").cast("long").alias("distance"))
 
 
-@query()
-def find_close(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Each brand in the label's first lines, exact, by spelling or close; tested against brute force."""
+def _found(spark: SparkSession, sf_dir: str, field: str) -> DataFrame:
+    """A field of each application in its label's text, exact, by spelling or close."""
     apps = applications(spark, sf_dir).withColumn("name_key", F.lower("filename"))
     joined = labels.assemble_labels(label_lines(spark, sf_dir)).join(apps, "name_key")
-    hit = M.finder(80.0)(T.squash(F.col("raw")), F.array(T.squash(F.col("brand_name"))))
+    hit = M.finder(80.0)(T.squash(F.col("raw")), F.array(T.squash(F.col(field))))
     found = joined.select("app_id", F.get(hit, 0).alias("hit"))
     return found.select("app_id", F.round("hit.score", 6).alias("score"), "hit.start", "hit.end", "hit.spelling")
 
 
-@query()
+_PRINTED = f"select p_partkey, {squash_sql('texts[1]')} as brand, {squash_sql('texts[2]')} as kind from ({RAW_SQL})"
+
+
+@query(
+    f"""select app_id, case when n < length(brand) then round(100.0 * (n - 1) / n, 6) else 100.0 end as score, 0 as start, cast(n as integer) as "end", false as spelling
+    from (select p.*, app_id, length({squash_sql('brand_name')}) as n from ({_PRINTED}) p join ({APPLICATIONS_SQL}) a on p_partkey = app_id)"""
+)
+def find_close(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Brands; the one with a letter doubled is found but for its last letter."""
+    return _found(spark, sf_dir, "brand_name")
+
+
+@query(f"""select p_partkey as app_id, cast(100 as double) as score, cast(length(brand) as integer) as start, cast(length(brand) + length(kind) as integer) as "end", p_partkey % 11 = 10 as spelling from ({_PRINTED})""")
+def find_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Classes, of which some are spelled in the British way."""
+    return _found(spark, sf_dir, "class_type")
+
+
+@query(f"select name_key, case p_partkey % 11 when 4 then null when 5 then 'because of the risk of birth defects.' else '' end as phrases from ({RAW_SQL})")
 def differing_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The parts of the statement that labels change; tested against brute force."""
+    """The parts of the statement that labels change."""
     rows = checks.find_warning(labels.label_facts(labels.assemble_labels(label_lines(spark, sf_dir))))
     span = F.substring("squashed", F.col("warning.start") + 1, F.col("warning.end") - F.col("warning.start"))
     return rows.select("name_key", F.array_join(M.differing_phrases(span), " | ").alias("phrases"))
@@ -131,7 +143,7 @@ def _raw(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"select name_key, cast(row_number() over (partition by name_key order by nth) as bigint) as nth, value, is_alcohol from ({_PERCENT})")
 def percentages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = _raw(spark, sf_dir).select("name_key", F.posexplode(Q.percentages(F.col("raw"))).alias("at", "p"))
+    rows = _raw(spark, sf_dir).select("name_key", F.posexplode_outer(Q.percentages(F.col("raw"))).alias("at", "p")).filter("p is not null")
     return rows.select("name_key", (F.col("at") + 1).cast("long").alias("nth"), "p.value", "p.is_alcohol")
 
 
@@ -159,18 +171,18 @@ def reading_order(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    f"""select name_key, md5(raw) as digest, cast(length({_squash("raw")}) as bigint) as characters, cast(case when p_partkey % 17 = 0 then 0.5 else 0.9 end as double) as confidence,
-    length({_squash("raw")}) >= 15 and p_partkey % 17 <> 0 as readable from {_LABEL}"""
+    f"""select name_key, md5(raw) as digest, cast(length({squash_sql("raw")}) as bigint) as characters, cast(case when p_partkey % 17 = 0 then 0.5 else 0.9 end as double) as confidence,
+    length({squash_sql("raw")}) >= 15 and p_partkey % 17 <> 0 as readable from {_LABEL}"""
 )
 def readability(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = labels.assemble_labels(label_lines(spark, sf_dir))
     return rows.select("name_key", F.md5(F.encode("raw", "UTF-8")).alias("digest"), F.col("characters").cast("long").alias("characters"), F.round("confidence", 3).alias("confidence"), labels.is_readable(F.col("characters"), F.col("confidence")).alias("readable"))
 
 
-_IMAGES = "select 'Label_' || o_custkey % 700 || '.PNG' as filename, o_orderkey, o_orderdate, cast(o_totalprice * 100 as bigint) as length from orders"
+IMAGES_SQL = "select 'Label_' || o_custkey % 700 || '.PNG' as filename, o_orderkey, o_orderdate, cast(o_totalprice * 100 as bigint) as length from orders"
 
 
-def _images(spark: SparkSession, sf_dir: str) -> DataFrame:
+def order_images(spark: SparkSession, sf_dir: str) -> DataFrame:
     number = F.col("o_custkey") % 700
     return table(spark, sf_dir, "orders").select(
         F.concat(F.lit("Label_"), number.cast("string"), F.lit(".PNG")).alias("filename"),
@@ -181,26 +193,26 @@ def _images(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-@query(f"select lower(filename) as name_key, o_orderkey from ({_IMAGES}) qualify row_number() over (partition by lower(filename) order by o_orderdate desc, o_orderkey desc) = 1")
+@query(f"select lower(filename) as name_key, o_orderkey from ({IMAGES_SQL}) qualify row_number() over (partition by lower(filename) order by o_orderdate desc, o_orderkey desc) = 1")
 def latest_image(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return labels.latest_image(_images(spark, sf_dir)).select("name_key", F.col("path").cast("long").alias("o_orderkey"))
+    return labels.latest_image(order_images(spark, sf_dir)).select("name_key", F.col("path").cast("long").alias("o_orderkey"))
 
 
-@query(f"select app_id, filename from ({APPLICATIONS_SQL}) where lower(filename) not in (select lower(filename) from ({_IMAGES}))")
+@query(f"select app_id, filename from ({APPLICATIONS_SQL}) where lower(filename) not in (select lower(filename) from ({IMAGES_SQL}))")
 def missing_images(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return labels.missing_images(applications(spark, sf_dir), _images(spark, sf_dir)).select("app_id", "filename")
+    return labels.missing_images(applications(spark, sf_dir), order_images(spark, sf_dir)).select("app_id", "filename")
 
 
 _ADMIT = f"""select app_id, case when i.k is null then 'No image was chosen with this file name.'
 when trim(case when app_id % 5 = 0 then ' ' else brand_name end) = '' then 'Enter the brand name from the application.'
 when length > 15728640 then 'This image is too large. The limit is 15 MB.'
 when app_id % 7 = 0 then 'This file could not be opened as an image. Use a JPG or PNG of the label.' end as error_message
-from ({APPLICATIONS_SQL}) a left join (select lower(filename) as k, max(length) as length from ({_IMAGES}) group by 1) i on lower(a.filename) = i.k"""
+from ({APPLICATIONS_SQL}) a left join (select lower(filename) as k, max(length) as length from ({IMAGES_SQL}) group by 1) i on lower(a.filename) = i.k"""
 
 
 @query(_ADMIT)
 def admit(spark: SparkSession, sf_dir: str) -> DataFrame:
-    images = _images(spark, sf_dir).groupBy("name_key").agg(F.max("length").alias("length"))
+    images = order_images(spark, sf_dir).groupBy("name_key").agg(F.max("length").alias("length"))
     apps = applications(spark, sf_dir).withColumn("brand_name", F.when(F.col("app_id") % 5 == 0, " ").otherwise(F.col("brand_name")))
     joined = labels.match_images(apps, images.withColumn("filename", F.lit(None))).withColumn("is_image", F.col("app_id") % 7 != 0)
     return S.admit(joined).select("app_id", "error_message")
@@ -209,7 +221,7 @@ def admit(spark: SparkSession, sf_dir: str) -> DataFrame:
 # --- checks -----------------------------------------------------------------------------------------------------------
 
 _GIVEN = " union all ".join(f"select app_id, '{k}' as key, '{TITLES[k]}' as title, trim({k}) as expected from ({APPLICATIONS_SQL})" for k in ("brand_name", "class_type", "alcohol_content", "net_contents", "bottler", "country_of_origin"))
-_DUCK_VERDICTS = f"case when p_partkey % 17 = 0 then 'unreadable' else {VERDICTS} end"
+DUCK_VERDICTS = f"case when p_partkey % 17 = 0 then 'unreadable' else {VERDICTS} end"
 
 
 @query(f"select * from ({_GIVEN} union all select app_id, 'warning_wording', '{TITLES['warning_wording']}', '{STATEMENT}' from ({APPLICATIONS_SQL})) where expected <> ''")
@@ -247,7 +259,7 @@ def check_net_contents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 _STATEMENT = T.squash_text(STATEMENT)
 _WARNED = f"""select name_key, p_partkey, sq, instr(sq, '{T.squash_text(HEADING)}') as h,
-instr(substr(sq, greatest(instr(sq, '{T.squash_text(HEADING)}'), 1)), 'healthproblems') as e from (select name_key, p_partkey, {_squash("raw")} as sq from {_LABEL})"""
+instr(substr(sq, greatest(instr(sq, '{T.squash_text(HEADING)}'), 1)), 'healthproblems') as e from (select name_key, p_partkey, {squash_sql("raw")} as sq from {_LABEL})"""
 _SPANNED = f"select *, case when e > 0 and e - 1 <= {1.5 * len(_STATEMENT)} then substr(sq, h, e - 1 + 14) else substr(sq, h, {len(_STATEMENT)}) end as span from ({_WARNED}) where h > 0"
 
 
@@ -262,39 +274,39 @@ def audit_warnings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return verify.audit_warnings(label_lines(spark, sf_dir), strokes(spark, sf_dir)).select("name_key", "key", "status")
 
 
-def _outcomes(spark: SparkSession, sf_dir: str) -> DataFrame:
+def batch_outcomes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return verify.verify_batch(applications(spark, sf_dir), label_lines(spark, sf_dir), strokes(spark, sf_dir))
 
 
-_SUMMARY = f"""case {_DUCK_VERDICTS} when 'unreadable' then '{UNREADABLE_SUMMARY}' when 'fail' then '1 problem found.'
+SUMMARY_SQL = f"""case {DUCK_VERDICTS} when 'unreadable' then '{UNREADABLE_SUMMARY}' when 'fail' then '1 problem found.'
 when 'review' then '1 item to check by eye.' else 'Everything on the label matches the application.' end"""
 
 
-@query(f"select p_partkey as app_id, {_DUCK_VERDICTS} as verdict, {_SUMMARY} as summary, case {_DUCK_VERDICTS} when 'unreadable' then 'fail' else {_DUCK_VERDICTS} end as bucket from part")
+@query(f"select p_partkey as app_id, {DUCK_VERDICTS} as verdict, {SUMMARY_SQL} as summary, case {DUCK_VERDICTS} when 'unreadable' then 'fail' else {DUCK_VERDICTS} end as bucket from part")
 def verify_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _outcomes(spark, sf_dir).select("app_id", "verdict", "summary", "bucket")
+    return batch_outcomes(spark, sf_dir).select("app_id", "verdict", "summary", "bucket")
 
 
-_BUCKET = f"select case v when 'unreadable' then 'fail' else v end as bucket from (select {_DUCK_VERDICTS} as v from part)"
+_BUCKET = f"select case v when 'unreadable' then 'fail' else v end as bucket from (select {DUCK_VERDICTS} as v from part)"
 
 
 @query(f"select b.bucket, cast(count(x.bucket) as bigint) as n from (values ('fail'), ('review'), ('pass')) b(bucket) left join ({_BUCKET}) x using (bucket) group by 1 union all select 'all', count(*) from part")
 def bucket_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return outcomes.bucket_counts(_outcomes(spark, sf_dir))
+    return outcomes.bucket_counts(batch_outcomes(spark, sf_dir))
 
 
-@query(f"select {VERDICTS} as expected_verdict, {_DUCK_VERDICTS} as verdict, count(*) as n from part group by 1, 2")
+@query(f"select {VERDICTS} as expected_verdict, {DUCK_VERDICTS} as verdict, count(*) as n from part group by 1, 2")
 def evaluate(spark: SparkSession, sf_dir: str) -> DataFrame:
     wanted = table(spark, sf_dir, "part").select(F.expr("'label_' || cast(p_partkey as string) || '.png'").alias("filename"), F.expr(VERDICTS).alias("expected_verdict"))
-    return verify.evaluate(_outcomes(spark, sf_dir), wanted)
+    return verify.evaluate(batch_outcomes(spark, sf_dir), wanted)
 
 
-_WORDS = "case " + _DUCK_VERDICTS + " " + " ".join(f"when '{k}' then '{v}'" for k, v in SHOWN.items()) + " end"
+WORDS_SQL = "case " + DUCK_VERDICTS + " " + " ".join(f"when '{k}' then '{v}'" for k, v in SHOWN.items()) + " end"
 
 
-@query(f"select 'Label_' || p_partkey || '.png' as filename, p_name as brand_name, {_WORDS} as result, {_SUMMARY} as summary from part")
+@query(f"select 'Label_' || p_partkey || '.png' as filename, p_name as brand_name, {WORDS_SQL} as result, {SUMMARY_SQL} as summary from part")
 def report(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return verify.report(_outcomes(spark, sf_dir)).drop("details")
+    return verify.report(batch_outcomes(spark, sf_dir)).drop("details")
 
 
 # --- counting fields, on the order lines ------------------------------------------------------------------------------

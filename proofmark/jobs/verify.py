@@ -34,7 +34,9 @@ def outcome_rows(rows: DataFrame) -> DataFrame:
     state = F.when(F.col("message").isNotNull(), "error").otherwise("done")
     results = (F.when(F.col("message").isNull(), F.col(c)).alias(c) for c in RESULTS)
     done = checked.select("app_id", "filename", "brand_name", *results, state.alias("state"), "message")
-    return done.withColumn("bucket", outcomes.bucket(F.col("verdict"), F.col("state")))
+    row = F.struct("*", outcomes.bucket(F.col("verdict"), F.col("state")).alias("bucket"))
+    # of one row each; but a filter by bucket or verdict stays above it, where pushed down it would work all fields out again
+    return done.select(F.explode_outer(F.array(row)).alias("o")).select("o.*")
 
 
 def verify_batch(apps: DataFrame, label_lines: DataFrame, strokes: DataFrame | None = None, images: DataFrame | None = None) -> DataFrame:

@@ -1,5 +1,7 @@
 """The field checks: each gives a struct of key, title, status, expected, found and note."""
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -42,6 +44,11 @@ def _nothing() -> Column:
     return F.lit(None).cast("string")
 
 
+def _with(rule: Callable[[Column], Column], **parts: Column) -> Column:
+    """A rule on the parts as one struct: each is worked out once, however often the rule names it."""
+    return F.get(F.transform(F.array(F.struct(*(c.alias(k) for k, c in parts.items()))), rule), 0)
+
+
 # --- figures -----------------------------------------------------------------------------------------------------------
 
 
@@ -51,7 +58,11 @@ def _percent_list(values: Column) -> Column:
 
 def check_alcohol(values: Column, label_proofs: Column, expected: Column) -> Column:
     """From the label's alcohol percentages and proofs, and the application's value (trimmed, not blank)."""
-    wanted, stated = Q.expected_alcohol(expected), Q.proofs(expected)
+    return _with(_alcohol_rule, wanted=Q.expected_alcohol(expected), stated=Q.proofs(expected), values=values, proofs=label_proofs, expected=expected)
+
+
+def _alcohol_rule(s: Column) -> Column:
+    wanted, stated, values, label_proofs, expected = (s[k] for k in ("wanted", "stated", "values", "proofs", "expected"))
     shown, g = _percent_list(values), T.format_g(wanted)
     percent = F.concat(g, F.lit("%"))
     proof, asked = T.format_g(F.get(label_proofs, 0)), T.format_g(F.get(stated, 0))
@@ -71,7 +82,11 @@ def check_alcohol(values: Column, label_proofs: Column, expected: Column) -> Col
 
 def check_net_contents(volumes: Column, expected: Column) -> Column:
     """From the label's volumes and the application's value: equal within 1 percent, in whatever units."""
-    wanted = Q.quantities(expected)
+    return _with(_volume_rule, wanted=Q.quantities(expected), volumes=volumes, expected=expected)
+
+
+def _volume_rule(s: Column) -> Column:
+    wanted, volumes, expected = (s[k] for k in ("wanted", "volumes", "expected"))
     target = F.get(wanted, 0)
     ml = target["milliliters"]
     same = F.get(F.filter(volumes, lambda q: F.abs(q["milliliters"] - ml) <= ml * VOLUME_TOLERANCE), 0)

@@ -61,10 +61,9 @@ def filter_bucket(outcomes: DataFrame, name: str) -> DataFrame:
 
 def bucket_counts(outcomes: DataFrame) -> DataFrame:
     """How many outcomes each bucket has, none too, and all."""
-    counted = outcomes.groupBy("bucket").agg(F.count("*").alias("n"))
-    names = outcomes.sparkSession.createDataFrame([(b,) for b in BUCKETS], "bucket string")
-    each = F.broadcast(names).join(counted, "bucket", "left").select("bucket", F.coalesce("n", F.lit(0)).cast("long").alias("n"))
-    return each.unionByName(each.groupBy().agg(F.lit("all").alias("bucket"), F.sum("n").alias("n")))
+    counts = [F.struct(F.lit(b).alias("bucket"), F.count_if(F.col("bucket") == b).alias("n")) for b in BUCKETS]
+    total = F.struct(F.lit("all").alias("bucket"), F.count("*").alias("n"))
+    return outcomes.groupBy().agg(F.array(*counts, total).alias("counts")).select(F.inline("counts"))
 
 
 def attention_fields(fields: Column) -> Column:

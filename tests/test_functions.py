@@ -102,8 +102,10 @@ ALCOHOL = [
     ("45% Alc./Vol. (80 Proof)", "45%", "review", "45% (80 proof)"),
     ("45% Alc./Vol. (80 Proof)", "45% (90 Proof)", "mismatch", "45% (80 proof)"),
     ("45% Alc./Vol.", "forty-five", "review", None),
+    ("45\u00a0% Alc./Vol. 90\u202fproof", "45%", "match", "45% (90 proof)"),
+    ("\u0664\u0665 % vol", "\u20094\uff15\t%", "match", "45%"),
 ]
-VOLUMES = [("750 mL", 750), ("750ML", 750), ("75 cL", 750), ("1 L", 1000), ("1.75 Liters", 1750), ("1 Litre", 1000), ("0,7 l", 700), ("12 FL OZ", 354.882), ("12 fl. oz.", 354.882), ("1 Pint", 473.176)]
+VOLUMES = [("750 mL", 750), ("750ML", 750), ("75 cL", 750), ("1 L", 1000), ("1.75 Liters", 1750), ("1 Litre", 1000), ("0,7 l", 700), ("12 FL OZ", 354.882), ("12 fl. oz.", 354.882), ("1 Pint", 473.176), ("750\u00a0mL", 750), ("1\u20021\u202fL", 1000), ("\u0661\u0662 fl\u00a0oz", 354.882), ("1\tquart", 946.353), ("2 gallons", 7570.82), ("6 L", 6000)]
 CONTENTS = [
     ("OLD TOM 750mL", "750 mL", "match", "Net contents match."),
     ("750 mL", "75 cL", "match", "Same volume in different units."),
@@ -147,6 +149,11 @@ WARNINGS = [
 ]
 
 
+def test_white_space(spark):
+    rows = spark.createDataFrame([("\u00a0 a\u2003 b\t\x1c",), ("\u202f",), (None,)], "t string").select(T.strip(F.col("t")).alias("s"), T.clean_spaces(F.col("t")).alias("c")).collect()
+    assert [tuple(r) for r in rows] == [("a\u2003 b", "a b"), ("", ""), (None, None)]
+
+
 def test_warnings(spark):
     df = spark.createDataFrame([(k, t) for k, (t, *_) in enumerate(WARNINGS)], "k int, raw string")
     rows = checks.check_warning(labels.label_facts(df)).select("k", "warning_fields").orderBy("k").collect()

@@ -60,8 +60,45 @@ def test_stream_equals_batch(spark, tmp_path, apps, lines, strokes, done):
     query = feed.writeStream.format("memory").queryName("checked").option("checkpointLocation", str(tmp_path / "state")).start()
     query.processAllAvailable()
     query.stop()
-    got = {r["app_id"]: (r["verdict"], r["fields"]) for r in spark.table("checked").collect()}
-    assert got == {r["app_id"]: (r["verdict"], r["fields"]) for r in done.collect()}
+    checked = spark.table("checked")
+    assert checked.columns == done.columns
+    columns = [c for c in done.columns if c != "filename"]
+    assert {r["app_id"]: tuple(r) for r in checked.select(columns).collect()} == {r["app_id"]: tuple(r) for r in done.select(columns).collect()}
+
+
+def test_stream_admission(spark):
+    png, nothing = bytearray(b"\x89PNG\r\n\x1a\nrest"), bytearray(b"hello")
+    line = [(0, "Old Tom", 0.9, [(0.0, 0.0)] * 4)]
+    rows = [(0, "Old Tom", png, 11, line), (1, "\u00a0\t", png, 11, line), (2, "Old Tom", png, 16 * 2**20, line), (3, "Old Tom", nothing, 5, line), (4, "Old Tom", None, None, line), (5, "Old Tom", png, 11, None), (6, None, png, 11, line)]
+    lines = "array<struct<line_no:int,text:string,confidence:double,box:array<struct<x:double,y:double>>>>"
+    df = spark.createDataFrame([(k, "a.png", b, "", "", "", "", "", c, n, li) for k, b, c, n, li in rows], f"app_id long, filename string, brand_name string, class_type string, alcohol_content string, net_contents string, bottler string, country_of_origin string, content binary, length long, lines {lines}")
+    out = {r["app_id"]: r for r in verify_stream(df).collect()}
+    assert {k: (r["state"], r["bucket"]) for k, r in out.items()} == {0: ("done", "fail"), 5: ("done", "fail"), **dict.fromkeys((1, 2, 3, 4, 6), ("error", "fail"))}
+    said = {k: r["message"] for k, r in out.items() if r["message"]}
+    assert said == {1: "Enter the brand name from the application.", 2: "This image is too large. The limit is 15 MB.", 3: "This file could not be opened as an image. Use a JPG or PNG of the label.", 4: "No image was chosen with this file name.", 6: "Enter the brand name from the application."}
+    without = {r["app_id"]: r["message"] for r in verify_stream(df.drop("content", "length")).collect()}
+    assert without[5] == "No image was chosen with this file name." and without[4] is None
+
+
+def test_odd_labels(spark, apps, monkeypatch):
+    """A label of too many lines has a message, one without confidences is unreadable; neither stops the others."""
+    box = [(0.0, 0.0)] * 4
+    rows = [("old_tom_bourbon.png", k, f"Old Tom Distillery {k}", 0.9, box) for k in range(30)] + [("stones_throw_gin.png", k, "Stone's Throw London Dry Gin", None, box) for k in range(3)]
+    monkeypatch.setattr(labels, "MOST_LINES", 20)
+    lines = spark.createDataFrame(rows, LABEL_LINES)
+    out = {r["app_id"]: r for r in verify.verify_batch(apps.filter("app_id < 2"), lines).collect()}
+    assert (out[0]["state"], out[0]["verdict"], out[0]["message"]) == ("error", None, verify.TOO_LONG)
+    assert (out[1]["verdict"], out[1]["ocr_confidence"]) == ("unreadable", 0.0)
+    audit = {r["name_key"]: (r["status"], r["note"]) for r in verify.audit_warnings(lines).collect()}
+    assert audit["old_tom_bourbon.png"] == ("review", verify.TOO_LONG) and audit["stones_throw_gin.png"][0] == "not_found"
+    assert labels.reading_order(lines).count() == 3
+
+
+def test_repeated_images(spark, apps, lines, strokes):
+    png = bytearray(b"\x89PNG\r\n\x1a\nrest")
+    images = spark.createDataFrame([("old_tom_bourbon.png", 5, bytearray(b"hello"), 2, "a"), ("old_tom_bourbon.png", 11, png, 2, "b"), ("old_tom_bourbon.png", 5, bytearray(b"hello"), 1, "c")], "name_key string, length long, content binary, modificationTime int, path string")
+    out = verify.verify_batch(apps.filter("app_id = 0"), lines, strokes.unionByName(strokes), images).collect()
+    assert [(r["state"], r["verdict"]) for r in out] == [("done", "pass")]
 
 
 def test_errors_and_counts(spark, apps, lines, strokes):
@@ -81,6 +118,9 @@ def test_errors_and_counts(spark, apps, lines, strokes):
 def test_evaluation(spark, done):
     manifest = spark.createDataFrame([(s[0], s[-1]) for s in SAMPLES], "filename string, expected_verdict string")
     assert {(r["expected_verdict"], r["verdict"], r["n"]) for r in verify.evaluate(done, manifest).collect()} == {("pass", "pass", 5), ("fail", "fail", 4), ("review", "review", 2)}
+    assert tuple(verify.accuracy(done, manifest).first()) == (11, 11, 1.0, True)
+    wrong = manifest.replace({"pass": "fail"}, subset="expected_verdict")
+    assert tuple(verify.accuracy(done, wrong).first())[:2] == (11, 6)
 
 
 def test_unreadable(spark, apps):

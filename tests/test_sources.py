@@ -25,6 +25,14 @@ def test_applications(spark, tmp_path):
         tables.read_applications(spark, str(tmp_path / "none.csv"))
 
 
+def test_white_space_and_manifest(spark, tmp_path):
+    raw = spark.createDataFrame([("\u00a0a.png\t", "\u2003"), ("\u202f", "x")], "`\u00a0FILENAME ` string, brand_name string")
+    assert [tuple(r) for r in tables.shape_applications(raw).select("filename", "brand_name").collect()] == [("a.png", "")]
+    (tmp_path / "manifest.csv").write_text("filename,brand_name,class_type,alcohol_content,net_contents,bottler,country_of_origin,expected_verdict,description\na.png,Old Tom,,45%,,,,pass,\"Plain, simple\"\n")
+    (row,) = tables.read_manifest(spark, str(tmp_path / "manifest.csv")).collect()
+    assert (row["filename"], row["class_type"], row["alcohol_content"], row["expected_verdict"], row["description"]) == ("a.png", "", "45%", "pass", "Plain, simple")
+
+
 def test_images_and_reader(spark, tmp_path):
     (tmp_path / "A.png").write_bytes(b"\x89PNG\r\n\x1a\nrest")
     (tmp_path / "b.txt").write_bytes(b"hello")
