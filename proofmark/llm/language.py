@@ -2,6 +2,10 @@
 
 Bytes are embedded; filters of several widths, max pooling over a window of fixed length and a softmax give a window's
 languages. A text is all its windows: their log probabilities are averaged.
+
+One more output says that a window is of no language. It is learned from windows that are none: those of labelled texts
+with their characters in random order, and strings of random, hexadecimal or repeated characters. A text is of no language
+if all its windows of 64 bytes or more are, by more than any labelled window of the sample. Shorter texts can't be told.
 """
 
 import zlib
@@ -29,11 +33,16 @@ EPOCHS, BATCH, RATE = 6, 64, 0.004
 PAD = 256
 #: Windows that the network takes at once: what they make stays in a core's cache.
 CHUNK = 48
+#: Windows of no language for each labelled one, and the bytes that a window must have to be told to be one.
+OUTSIDE_SHARE, OUTSIDE_BYTES = 0.3, 64
+#: How far, in log odds, a window has to be beyond every labelled window of the sample to be of no language.
+MARGIN = 6.0
 
 
 @dataclass
 class Network:
-    """languages, and the weights: embedding, all filters as one matrix (narrow ones end in zeros), and the last layer."""
+    """languages, and the weights: embedding, all filters as one matrix (narrow ones end in zeros), and the last layer, with
+    a further output for no language if there is a limit: log odds over which a window counts as of none."""
 
     languages: list[str]
     embedding: np.ndarray
@@ -41,14 +50,16 @@ class Network:
     bias: np.ndarray
     out: np.ndarray
     out_bias: np.ndarray
+    limit: float | None = None
 
     @classmethod
-    def new(cls, languages: list[str], seed: int = 7) -> "Network":
+    def new(cls, languages: list[str], seed: int = 7, outside: bool = False) -> "Network":
         rng = np.random.default_rng(seed)
         f32 = lambda *shape, scale: (rng.standard_normal(shape) * scale).astype(np.float32)
         n = FILTERS * len(WIDTHS)
         filters = f32(max(WIDTHS) * EMBEDDING, n, scale=(max(WIDTHS) * EMBEDDING) ** -0.5) * cls.used()
-        return cls(languages, f32(PAD + 1, EMBEDDING, scale=0.5), filters, np.zeros(n, np.float32), f32(n, len(languages), scale=0.2), np.zeros(len(languages), np.float32))
+        outputs = len(languages) + outside
+        return cls(languages, f32(PAD + 1, EMBEDDING, scale=0.5), filters, np.zeros(n, np.float32), f32(n, outputs, scale=0.2), np.zeros(outputs, np.float32), float("inf") if outside else None)
 
     @staticmethod
     def used() -> np.ndarray:
@@ -72,6 +83,14 @@ class Network:
         score -= score.max(axis=1, keepdims=True)
         return score - np.log(np.exp(score).sum(axis=1, keepdims=True))
 
+    def judge(self, windows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Log probabilities of the languages, given that it is one, and the log odds that it is none."""
+        logs = self.log_probabilities(windows)
+        n = len(self.languages)
+        known = np.logaddexp.reduce(logs[:, :n], axis=1)
+        none = logs[:, n] - known if logs.shape[1] > n else np.full(len(logs), -np.inf)
+        return logs[:, :n] - known[:, None], none
+
     def parameters(self) -> list[np.ndarray]:
         return [self.embedding, self.filters, self.bias, self.out, self.out_bias]
 
@@ -114,6 +133,33 @@ def picked(text: str) -> list[bytes]:
     return [w.tobytes() for w in all_]
 
 
+def _telling(windows: np.ndarray) -> np.ndarray:
+    """Which windows have bytes enough to be told to be of no language."""
+    return windows[:, OUTSIDE_BYTES - 1] != PAD
+
+
+def _outside(windows: np.ndarray, rng: np.random.Generator) -> np.ndarray:
+    """Windows of no language, a share of the labelled ones that are long enough."""
+    long = np.flatnonzero(_telling(windows))
+    out = []
+    for k, row in enumerate(rng.choice(long, int(len(long) * OUTSIDE_SHARE), replace=False) if len(long) else []):
+        body = windows[row][windows[row] != PAD].astype(np.uint8)
+        size = int(rng.integers(OUTSIDE_BYTES, len(body) + 1))
+        if k % 2 == 0:
+            letters = np.array(list(body.tobytes().decode("utf-8", "ignore")))
+            made = "".join(rng.permutation(letters)).encode()
+        elif k % 8 == 1:
+            made = rng.integers(33, 127, size).astype(np.uint8).tobytes()
+        elif k % 8 == 3:
+            made = rng.bytes(size).hex().encode()
+        elif k % 8 == 5:
+            made = rng.integers(97, 123, size).astype(np.uint8).tobytes()
+        else:
+            made = rng.integers(33, 127, int(rng.integers(1, 7))).astype(np.uint8).tobytes() * size
+        out.append(windows_of(made[: len(body)])[:1])
+    return np.concatenate(out) if out else np.zeros((0, WINDOW), np.int16)
+
+
 def fit(rows: list[tuple[bytes, str]], seed: int = 7) -> Network | None:
     """A network from (window, language) pairs, by Adam; None without any. The result depends on the rows and the seed only."""
     languages = sorted({lang for _, lang in rows})
@@ -124,9 +170,12 @@ def fit(rows: list[tuple[bytes, str]], seed: int = 7) -> Network | None:
     rows = sorted(rows)
     x = np.frombuffer(b"".join(w for w, _ in rows), np.int16).reshape(-1, WINDOW)
     y = np.array([number[lang] for _, lang in rows])
-    counts = np.bincount(y, minlength=len(languages))
-    weight = (len(y) / np.maximum(counts, 1) / len(languages)).astype(np.float32)
-    net = Network.new(languages, seed)
+    labelled = x
+    none = _outside(x, rng)
+    x, y = np.concatenate([x, none]), np.concatenate([y, np.full(len(none), len(languages))])
+    counts = np.bincount(y)
+    weight = (len(y) / np.maximum(counts, 1) / len(counts)).astype(np.float32)
+    net = Network.new(languages, seed, outside=len(none) > 0)
     net.embedding[PAD] = 0
     means = [np.zeros_like(p) for p in net.parameters()]
     squares = [np.zeros_like(p) for p in net.parameters()]
@@ -141,27 +190,34 @@ def fit(rows: list[tuple[bytes, str]], seed: int = 7) -> Network | None:
                 m += 0.1 * (g - m)
                 v += 0.001 * (g * g - v)
                 p -= rate * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.999**step)) + 1e-8)
+    if len(none):
+        labelled = labelled[_telling(labelled)]
+        net.limit = MARGIN + max(0.0, *(float(net.judge(labelled[k : k + CHUNK])[1].max()) for k in range(0, len(labelled), CHUNK)))
     return net
 
 
 _letter = regex.compile(r"\p{L}").search
 
 
-def predict(net: Network | None, batch: list[str | None]) -> list[tuple[str, float]]:
-    """Language and score of whole texts; `und` and 0 without a letter."""
-    out: list[tuple[str, float]] = [(UNDETERMINED, 0.0)] * len(batch)
+def predict(net: Network | None, batch: list[str | None]) -> list[tuple[str, float, bool]]:
+    """Language and score of whole texts, `und` and 0 without a letter, and whether a text is of a language: that it has a
+    letter, and that the network does not hold all its windows for ones of no language."""
+    out: list[tuple[str, float, bool]] = [(UNDETERMINED, 0.0, False)] * len(batch)
     if net is None:
         return out
 
     def settle(group: list[int], parts: list[np.ndarray]) -> None:
         all_ = np.concatenate(parts)
-        logs = np.concatenate([net.log_probabilities(all_[k : k + CHUNK]) for k in range(0, len(all_), CHUNK)])
+        logs, none = (np.concatenate(c) for c in zip(*(net.judge(all_[k : k + CHUNK]) for k in range(0, len(all_), CHUNK)), strict=True))
+        none[~_telling(all_)] = np.inf
+        told = np.array([_telling(p).any() for p in parts])
         starts = np.cumsum([0, *(len(p) for p in parts)])
         for k, row in enumerate(group):
             mean = logs[starts[k] : starts[k + 1]].mean(axis=0, dtype=np.float64)
             p = np.exp(mean - mean.max())
             best = int(p.argmax())
-            out[row] = (net.languages[best], float(p[best] / p.sum()))
+            accepted = net.limit is None or not told[k] or bool((none[starts[k] : starts[k + 1]] <= net.limit).any())
+            out[row] = (net.languages[best], float(p[best] / p.sum()), accepted)
 
     group, parts, held = [], [], 0
     for row, text in enumerate(batch):
@@ -209,20 +265,21 @@ def _predicted(net: Network | None) -> Callable[[Iterator[pa.RecordBatch]], Iter
         for batch in batches:
             got = predict(net, batch.column("text").to_pylist())
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), batch.column("held_out"), pa.array([g[0] for g in got], pa.string()), pa.array([g[1] for g in got], pa.float64())],
-                names=["doc_id", "held_out", "lang_pred", "score"],
+                [batch.column("doc_id"), batch.column("held_out"), *(pa.array([g[k] for g in got], t) for k, t in enumerate((pa.string(), pa.float64(), pa.bool_())))],
+                names=["doc_id", "held_out", "lang_pred", "score", "accepted"],
             )
 
     return run
 
 
 def identify(docs: DataFrame, net: Network | None) -> DataFrame:
-    """doc_id, held_out, lang_pred, score for each row of `docs`, from the whole text alone.
+    """doc_id, held_out, lang_pred, score, accepted for each row of `docs`, from the whole text alone.
 
-    A null text, one without a letter, or any text if nothing could be learned, is `und` with score 0. No shuffle.
+    A null text, one without a letter, or any text if nothing could be learned, is `und` with score 0 and not accepted, nor
+    is a text all of whose windows are of no language; it has the learned language it is most like all the same. No shuffle.
     """
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").withColumn("held_out", held_out())
-    return rows.select("doc_id", "held_out", "text").mapInArrow(_predicted(net), "doc_id long, held_out boolean, lang_pred string, score double")
+    return rows.select("doc_id", "held_out", "text").mapInArrow(_predicted(net), "doc_id long, held_out boolean, lang_pred string, score double, accepted boolean")
 
 
 def with_letter(docs: DataFrame) -> DataFrame:
@@ -235,13 +292,13 @@ def with_letter(docs: DataFrame) -> DataFrame:
     return docs.filter(found("text"))
 
 
-def with_language(docs: DataFrame, net: Network | None) -> DataFrame:
-    """`docs` with lang_pred and score beside their own columns (which must not be named so)."""
+def of_a_language(docs: DataFrame, net: Network) -> DataFrame:
+    """The rows of `docs` whose text the network accepts as of a language, with their own columns, whatever their names."""
 
-    @F.pandas_udf("lang_pred string, score double")
-    def of(series: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+    @F.pandas_udf("boolean")
+    def accepted(series: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for text in series:
-            yield pd.DataFrame(predict(net, list(text)), columns=["lang_pred", "score"])
+            yield pd.Series([g[2] for g in predict(net, list(text))], dtype=bool)
         release()
 
-    return docs.withColumn("found", of("text")).select("*", "found.lang_pred", "found.score").drop("found")
+    return docs.filter(accepted("text"))

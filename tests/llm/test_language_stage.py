@@ -1,5 +1,7 @@
 """The language stage without labels, and training on many of them."""
 
+import random
+
 import corpus_pipeline
 import numpy as np
 
@@ -14,6 +16,23 @@ def test_stage_without_labels(spark):
     assert {r["text"] for r in corpus_pipeline.identify_language(spark, docs, "").collect()} == {"clean text", "чистый", "no id"}
 
 
+def test_stage_rejects_what_is_no_language(spark):
+    """Hexadecimal, random letters and other noise go; mixed, short and foreign texts and those with columns of any name stay."""
+    rng = random.Random(5)
+    syllables = {"xa": ["ta", "ri", "mo", "ne", "sul"], "xb": ["öch", "ung", "ver", "zei", "tep"], "xc": ["éau", "oui", "que", "lon", "çai"]}
+    prose = lambda lang, n: " ".join("".join(rng.choice(syllables[lang]) for _ in range(rng.randint(1, 4))) for _ in range(n))
+    noise = {5000: rng.randbytes(300).hex(), 5001: "".join(rng.choice("bcdfghjklmnpqrstvwxz") for _ in range(700)), 5002: "".join(chr(rng.randint(33, 126)) for _ in range(900))}
+    kept = {6000: "ta", 6001: "Q.", 6002: prose("xa", 80) + noise[5000] + prose("xb", 60), 6003: prose("xa", 20) + " " + prose("xc", 20), 6004: "x" * 40}
+    clean = {k: prose(lang, rng.randint(3, 160)) for k, lang in enumerate(sorted(syllables) * 400)}
+    labels = {k: sorted(syllables)[k % 3] for k in clean}
+    rows = [(k, t, labels.get(k), "s", len(t), "f", True, 0.5) for k, t in {**clean, **noise, **kept}.items()]
+    docs = spark.createDataFrame(rows, DOCUMENTS + ", found string, accepted boolean, score double")
+    out = corpus_pipeline.identify_language(spark, docs, "")
+    assert out.columns == docs.columns
+    assert {r["doc_id"] for r in out.collect()} == {*clean, *kept}
+    assert corpus_pipeline.identify_language(spark, docs.limit(0), "").count() == 0
+
+
 def test_many_languages(spark):
     rows = [(k, f"text number {k} of its own", f"l{k % 70:02}", "s", 0) for k in range(700)]
     rows += [(None, "no id at all", "zz", "s", 0)] * 3

@@ -136,7 +136,7 @@ def test_language(spark):
     held = [r for r in got if r["held_out"] and r["doc_id"] < 900]
     assert held and sum(r["lang_pred"] == rows[r["doc_id"]][2] for r in held) / len(held) > 0.95
     unlabelled = language.train(spark.createDataFrame([(1, "abc", None, "s", 3)], DOCUMENTS))
-    assert unlabelled is None and language.predict(unlabelled, ["abc"]) == [("und", 0.0)]
+    assert unlabelled is None and language.predict(unlabelled, ["abc"]) == [("und", 0.0, False)]
 
 
 def test_stages(spark):
