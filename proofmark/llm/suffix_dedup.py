@@ -8,7 +8,9 @@ hundreds of bytes for each byte of text, so Spark sorts a sample that loses noth
    neighbouring strings with one anchor are a run. Equal strings have equal anchors at equal distance.
 2. Runs are sorted by (name of the anchor, name of the whole run). An anchor that occurs once is unique: its strings are
    settled as not repeated. Equal whole runs are settled as repeated. Others, mostly at the borders of what repeats, go on.
-3. The text of those runs meets by anchor, and their strings of 200 bytes are ranked one by one.
+3. The text of those runs meets by anchor, and their strings of 200 bytes are ranked one by one. Where an anchor has many
+   different runs, Spark makes the last step of the doubling itself: it counts the pairs of names at each place and 72
+   bytes on, so that the strings of a frequent passage spread over all tasks.
 4. The repeated places of a document cut its bytes.
 """
 
@@ -18,7 +20,7 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -30,10 +32,8 @@ WINDOW = SPAN - ANCHOR + 1
 LAST_OFFSET = SPAN - 2 * ANCHOR
 #: Bytes of text that are named at once.
 BLOCK = 1 << 18
-#: Different runs of one anchor above which they meet by more than the anchor, see `_contexts`.
-SPLIT_ABOVE = 20_000
-#: Places in a run that meet together once an anchor is split.
-GRID = 16
+#: Different runs of one anchor above which their strings are counted in Spark.
+SPLIT_ABOVE = 1000
 
 _A, _B, _C = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0xD6E8FEB86659FD93))
 
@@ -103,7 +103,7 @@ def runs(data: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, ...]:
 
 
 def _tag(text: bytes) -> int:
-    """Tells texts apart that wrongly share a doc_id."""
+    """Tells texts apart that share a key."""
     return hashlib.blake2b(text, digest_size=2).digest()[0] << 7 | hashlib.blake2b(text, digest_size=2).digest()[1] >> 1
 
 
@@ -173,38 +173,53 @@ def _ranked(docs: DataFrame) -> DataFrame:
     return rows.select("anchor", "doc_id", "place", state.alias("state"), (F.col("kinds") > SPLIT_ABOVE).alias("split")).filter("state is not null")
 
 
-def _contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The text of each asked run. Runs of a very frequent anchor are cut at a grid of distances from the anchor and meet
-    by the bytes that all strings of the cut share, over 184."""
+def _asked(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, int, bytes, dict, int, int]]:
+    """Each asked run with its document, the document's tag and bytes, and its first and last place."""
     for batch in sliced(batches):
-        anchors, docs, places, states, bodies = [], [], [], [], []
         for doc, text, asked in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist(), batch.column("asked").to_pylist(), strict=True):
             body = text.encode("utf-8", "surrogatepass")
             tag = _tag(body) if len(body) >= SPAN else 0
             place = np.array([r["place"] for r in asked], dtype=np.int64)
-            for r, p, first, last, t in zip(asked, place.tolist(), *(x.tolist() for x in _unplace(place)), strict=True):
-                if t != tag or last + SPAN > len(body):
-                    continue
-                for key, a, b in _cuts(body, r["anchor"], first, last) if r["split"] else ((r["anchor"], first, last),):
-                    anchors.append(key)
-                    docs.append(doc)
-                    places.append(p if (a, b) == (first, last) else a << 24 | tag << 9 | (b - a) << 1)
-                    states.append(r["state"])
-                    bodies.append(body[a : b + SPAN])
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(anchors, pa.int64()), pa.array(docs, pa.int64()), pa.array(places, pa.int64()), pa.array(states, pa.int32()), pa.array(bodies, pa.binary())],
-            names=["anchor", "doc_id", "place", "state", "body"],
-        )
-
-
-def _cuts(body: bytes, anchor: int, first: int, last: int) -> Iterator[tuple[int, int, int]]:
-    name, half = names(np.frombuffer(body, dtype=np.uint8)[first : last + SPAN])
-    at = first + int(np.flatnonzero(name[: last - first + WINDOW].view(np.int64) == anchor)[0])
-    for far in range(0, WINDOW, GRID):  # strings that start far .. far + GRID - 1 bytes before the anchor
-        a, b = max(first, at - far - GRID + 1), min(last, at - far)
-        if a <= b:
-            core = body[at - far : at - far - GRID + 1 + SPAN]
-            yield int.from_bytes(hashlib.blake2b(core + far.to_bytes(2, "little"), digest_size=8).digest(), "little", signed=True), a, b
+            for r, first, last, t in zip(asked, *(x.tolist() for x in _unplace(place)), strict=True):
+                if t == tag and last + SPAN <= len(body):
+                    yield doc, tag, body, r, first, last
+
+
+def _table(rows: list[tuple], **types: pa.DataType) -> pa.RecordBatch:
+    columns = list(zip(*rows, strict=True)) if rows else [()] * len(types)
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types.values(), strict=True)], names=list(types))
+
+
+#: Rows that a task hands on at once.
+HANDED = 20_000
+
+
+def _contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The text of each asked run."""
+    types = {"anchor": pa.int64(), "doc_id": pa.int64(), "place": pa.int64(), "state": pa.int32(), "body": pa.binary()}
+    rows = []
+    for doc, _, body, r, first, last in _asked(batches):
+        rows.append((r["anchor"], doc, r["place"], r["state"], body[first : last + SPAN]))
+        if len(rows) == HANDED:
+            yield _table(rows, **types)
+            rows = []
+    yield _table(rows, **types)
+
+
+def _strings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Each string of 200 bytes of the asked runs as the pair of names at its start and 72 bytes on, 128 bits together."""
+    columns = ["one", "two", "doc_id", "place", "open"]
+    parts: list[tuple[np.ndarray, ...]] = []
+    for doc, tag, body, r, first, last in _asked(batches):
+        _, half = names(np.frombuffer(body, dtype=np.uint8)[first : last + SPAN])
+        at = np.arange(last - first + 1)
+        place = _place(first + at, first + at, np.int64(tag), np.int64(0))
+        parts.append((half[at].view(np.int64), half[at + LAST_OFFSET].view(np.int64), np.full(len(at), doc, np.int64), place, np.full(len(at), r["state"] == OPEN)))
+        if len(parts) * WINDOW >= HANDED:
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*parts, strict=True)], names=columns)
+            parts = []
+    if parts:
+        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*parts, strict=True)], names=columns)
 
 
 def _compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -270,16 +285,34 @@ def merged(place: list[int] | None, body: bytes) -> list[tuple[int, int]]:
     return out
 
 
+def _key() -> Column:
+    """A row's doc_id and text as one number, so that rows that share a doc_id, or have none, are apart; rows that repeat each
+    other share theirs, and their places."""
+    return F.xxhash64(F.col("doc_id").cast("long"), F.coalesce("text", F.lit("")))
+
+
+def _with_text(rows: DataFrame, asked: DataFrame) -> DataFrame:
+    """The texts of the asked runs, each with its runs."""
+    wanted = with_mark(rows, marks(asked)).filter(MARK).select("doc_id", "text")
+    runs_ = asked.groupBy("doc_id").agg(F.collect_set(F.struct("anchor", "place", "state")).alias("asked"))
+    return wanted.join(runs_, "doc_id")
+
+
 def repeated_places(rows: DataFrame) -> DataFrame:
     """doc_id and place for every repeated string of the texts, rows (doc_id, text) without nulls; see `merged`."""
     ranked = stored(_ranked(rows), "ranked")
     asked = ranked.filter(F.col("state") >= PARTNER)
-    wanted = with_mark(rows, marks(asked)).filter(MARK).select("doc_id", "text")
-    asked = asked.groupBy("doc_id").agg(F.collect_list(F.struct("anchor", "place", "state", "split")).alias("asked"))
-    contexts = wanted.join(asked, "doc_id").mapInArrow(tidy(_contexts), "anchor long, doc_id long, place long, state int, body binary")
+    few, many = asked.filter(~F.col("split")), asked.filter("split")
+    contexts = _with_text(rows, few).mapInArrow(tidy(_contexts), "anchor long, doc_id long, place long, state int, body binary")
     contexts = contexts.repartition("anchor").sortWithinPartitions("anchor")
-    more = contexts.mapInArrow(tidy(_compared), "doc_id long, place long")
-    return stored(ranked.filter(F.col("state") <= PARTNER).select("doc_id", "place").unionByName(more), "repeated")
+    found = ranked.filter(F.col("state") <= PARTNER).select("doc_id", "place").unionByName(contexts.mapInArrow(tidy(_compared), "doc_id long, place long"))
+    if not many.isEmpty():
+        strings = _with_text(rows, many).mapInArrow(tidy(_strings), "one long, two long, doc_id long, place long, open boolean")
+        strings = stored(strings, "strings")
+        twice = stored(strings.groupBy("one", "two").agg(F.count("*").alias("n")).filter("n > 1").select("one", "two"), "twice")
+        found = found.unionByName(strings.filter("open").join(twice, ["one", "two"]).select("doc_id", "place"))  # written tables: Spark splits a frequent string
+    plain = F.col("place").bitwiseAND(F.lit(-2)).alias("place")  # without the bit of a twin, so that copies of a place are equal
+    return stored(found.select("doc_id", plain), "repeated")
 
 
 def _cut(finish: Callable[[bytes, list[tuple[int, int]]], tuple], names_: list[str], types: list[pa.DataType]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
@@ -321,12 +354,12 @@ def _whole_characters(body: bytes, spans: list[tuple[int, int]]) -> str:
 
 def _split_rows(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Rows whose text can't have repeats, and (doc_id, text, places) of the others. Only the others' text is moved."""
-    rows = texts(docs).withColumn("doc_id", F.coalesce("doc_id", F.lit(-1)))
-    places = repeated_places(rows)
+    rows = texts(docs).select(_key().alias("doc_id"), F.col("doc_id").alias("id"), "text")
+    places = repeated_places(rows.select("doc_id", "text"))
     marked = with_mark(rows, marks(places))
-    grouped = places.groupBy("doc_id").agg(F.collect_list("place").alias("places"))
-    touched = marked.filter(MARK).select("doc_id", "text").join(grouped, "doc_id", "left")
-    return marked.filter(~F.col(MARK)).select("doc_id", "text"), touched
+    grouped = places.groupBy("doc_id").agg(F.collect_set("place").alias("places"))
+    touched = marked.filter(MARK).drop(MARK).join(grouped, "doc_id", "left").select(F.col("id").alias("doc_id"), "text", "places")
+    return marked.filter(~F.col(MARK)).select(F.col("id").alias("doc_id"), "text"), touched
 
 
 def suffix_dedup(docs: DataFrame) -> DataFrame:
@@ -334,7 +367,7 @@ def suffix_dedup(docs: DataFrame) -> DataFrame:
 
     Every byte goes that a string of 200 bytes covers which also starts anywhere else, in this text or another. A null or
     empty text has no bytes and the digest of nothing; texts under 200 bytes stay whole; of rows that repeat each other
-    all strings of 200 bytes repeat. A missing doc_id counts as -1. Other columns are left out.
+    all strings of 200 bytes repeat. A doc_id may be missing or repeated. Other columns are left out.
     """
     clean, touched = _split_rows(docs)
     names_ = ["n_bytes", "n_removed", "n_spans", "kept_sha256"]
@@ -349,12 +382,12 @@ def cut_repeats(docs: DataFrame) -> DataFrame:
 
     A character of which a byte stays, stays whole. A null text stays null; a text of repeats alone is empty. Rows stay.
     """
-    key = F.coalesce(F.col("doc_id").cast("long"), F.lit(-1))
-    places = repeated_places(texts(docs).withColumn("doc_id", key))
-    named = docs.withColumn("key__", key)
-    marked = with_mark(named, marks(places))
-    grouped = places.groupBy(F.col("doc_id").alias("place_key__")).agg(F.collect_list("place").alias("places__"))
-    touched = marked.filter(MARK).join(grouped, F.col("key__") == F.col("place_key__"), "left")
+    keyed = texts(docs).select(_key().alias("doc_id"), "text")
+    places = repeated_places(keyed)
+    rows = docs.select(F.struct("*").alias("row"), "text", _key().alias("doc_id"))
+    marked = with_mark(rows, marks(places))
+    grouped = places.groupBy("doc_id").agg(F.collect_set("place").alias("places"))
+    touched = marked.filter(MARK).join(grouped, "doc_id", "left")
 
     @F.pandas_udf("string")
     def cut(text: pd.Series, places: pd.Series) -> pd.Series:
@@ -364,7 +397,9 @@ def cut_repeats(docs: DataFrame) -> DataFrame:
             out.append(t if t is None or p is None else _whole_characters(body, merged(list(p), body)))
         return pd.Series(out, dtype=object)
 
-    touched = touched.withColumn("text", cut("text", "places__"))
+    touched = touched.select("row", cut("text", "places").alias("text"))
+    new = {"text": F.col("text")}
     if "n_chars" in docs.columns:
-        touched = touched.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
-    return marked.filter(~F.col(MARK)).select(*docs.columns).unionByName(touched.select(*docs.columns))
+        new["n_chars"] = F.length("text").cast(docs.schema["n_chars"].dataType)
+    done = touched.select(*(new.get(c, F.col("row")[c]).alias(c) for c in docs.columns))
+    return marked.filter(~F.col(MARK)).select("row.*").unionByName(done)

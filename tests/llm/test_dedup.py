@@ -49,6 +49,7 @@ def test_suffix_dedup(spark, monkeypatch, split_above):
             parts.append(rng.choice([word(rng.randint(0, 200)), b[a : a + rng.randint(0, 400)], b]))
         docs.append((k, "".join(parts)))
     docs += [(100, None), (101, ""), (102, "a" * 500), (103, "ab" * 300), (104, base[0]), (104, base[0]), (106, "x" * 199), (107, "x" * 200), (None, "y" * 300)]
+    docs += [(None, word(250) + base[1][:230] * (k % 2)) for k in range(40)]
     bodies = [(t or "").encode() for _, t in docs]
     seen = Counter(b[i : i + 200] for b in bodies for i in range(len(b) - 199))
     want = []
@@ -58,9 +59,13 @@ def test_suffix_dedup(spark, monkeypatch, split_above):
             if seen[b[i : i + 200]] > 1:
                 gone[i : i + 200] = True
         runs = int((gone[:-1] & ~np.concatenate([[False], gone[:-2]])).sum()) if len(b) else 0
-        want.append((-1 if d is None else d, len(b), int(gone.sum()), runs, hashlib.sha256(bytes(x for x, g in zip(b, gone, strict=False) if not g)).hexdigest()))
+        want.append((d, len(b), int(gone.sum()), runs, hashlib.sha256(bytes(x for x, g in zip(b, gone, strict=False) if not g)).hexdigest()))
     df = spark.createDataFrame(docs, "doc_id long, text string").repartition(4)
-    assert sorted(tuple(r) for r in suffix_dedup.suffix_dedup(df).collect()) == sorted(want)
+    assert Counter(tuple(r) for r in suffix_dedup.suffix_dedup(df).collect()) == Counter(want)
+    clashing = df.selectExpr("doc_id", "text", "1 as n_chars", "'a' as key__", "'b' as places", "'c' as row", "'d' as bucket__", "'e' as marked__")
+    cut = suffix_dedup.cut_repeats(clashing)
+    assert cut.columns == clashing.columns and cut.count() == len(docs)
+    assert all((r["key__"], r["places"], r["row"], r["bucket__"]) == ("a", "b", "c", "d") and r["n_chars"] in (1, len(r["text"] or "")) for r in cut.collect())
     assert suffix_dedup.suffix_dedup(df.limit(0)).count() == 0
 
 
