@@ -255,8 +255,8 @@ BANDS, BAND = 32, 4
 #: Equal least hashes, of 128, below which a pair that shares a band is not compared exactly: 6.7 standard deviations
 #: under what sets that share 0.8 have.
 ALIKE = 72
-#: Rows of a group of one band that meet in one task.
-CELL = 2000
+#: Rows of either side that meet in one cell, see `_left_over`.
+CELL = 500
 
 _FACTORS = np.random.default_rng(5).integers(0, 1 << 63, BANDS * BAND, dtype=np.uint64) << np.uint64(1) | np.uint64(1)
 _BAND_OF = np.random.default_rng(6).integers(0, 1 << 63, (BANDS, BAND + 1), dtype=np.uint64)
@@ -310,14 +310,21 @@ def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array([set_name(s) for s in sets], pa.int64()), pa.array([s.tobytes() for s in sets], pa.binary())], names=["fp", "hashes"])
 
 
+def _alike(p: np.ndarray, q: np.ndarray, similarity: float) -> bool:
+    """Whether two sets, in ascending order, share that part of their union."""
+    if not len(p) or not len(q):
+        return len(p) == len(q)
+    at = np.searchsorted(p, q)
+    at[at == len(p)] = 0
+    shared = int((p[at] == q).sum())
+    return shared / (len(p) + len(q) - shared) >= similarity
+
+
 def _exact(similarity: float) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in sliced(batches):
-            keep = []
-            for x, y in zip(batch.column("x").to_pylist(), batch.column("y").to_pylist(), strict=True):
-                p, q = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
-                shared = len(np.intersect1d(p, q, assume_unique=True))
-                keep.append(shared / max(1, len(p) + len(q) - shared) >= similarity)
+            pairs = zip(batch.column("x").to_pylist(), batch.column("y").to_pylist(), strict=True)
+            keep = [_alike(np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64), similarity) for x, y in pairs]
             yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
     return tidy(run)
@@ -329,60 +336,84 @@ def similar_pairs(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataF
     return pairs.join(x, "a").join(y, "b").select("a", "b", "x", "y").mapInArrow(_exact(similarity), "a long, b long")
 
 
-def _unlike(rows: list[np.ndarray], similarity: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Of the rows of one cell: names in different components that may be similar. Only rows of both sides meet, if there are two."""
-    fp, root, size, side, least = rows
-    two = bool((side != side[0]).any())
-    for k in range(len(fp)):
-        more = slice(k + 1, None)
-        ok = (root[more] != root[k]) & (np.minimum(size[more], size[k]) >= similarity * np.maximum(size[more], size[k]) - 1e-6)
-        at = np.flatnonzero(ok & (side[more] != side[k]) if two else ok) + k + 1
-        at = at[(least[at] == least[k]).sum(axis=1) >= ALIKE]
-        if len(at):
-            yield np.minimum(fp[at], fp[k]), np.maximum(fp[at], fp[k])
+def _settle(rows: list[tuple], similarity: float) -> list[tuple[int, int]]:
+    """Links of one cell: each left row is compared with the right rows of other components, the most alike first, and by
+    exact count; what a link joins is not compared again. So there are fewer links than components, whatever the cell holds."""
+    fp, root, size, left, least, hashes = zip(*rows, strict=True)
+    roots, number = np.unique(np.array(root, np.int64), return_inverse=True)
+    up = list(range(len(roots)))
+
+    def find(x: int) -> int:
+        while up[x] != x:
+            up[x] = up[up[x]]
+            x = up[x]
+        return x
+
+    left, size = np.array(left, bool), np.array(size, np.int64)
+    least = np.frombuffer(b"".join(least), np.uint8).reshape(len(fp), -1)
+    right = np.flatnonzero(~left)
+    sets: dict[int, np.ndarray] = {}
+    of = lambda k: sets.setdefault(k, np.frombuffer(hashes[k], np.uint64))
+    out = []
+    for k in np.flatnonzero(left).tolist():
+        own = find(int(number[k]))
+        near = np.minimum(size[right], size[k]) >= similarity * np.maximum(size[right], size[k]) - 1e-6
+        at = right[near & (number[right] != number[k])]
+        equal = (least[at] == least[k]).sum(axis=1)
+        at = at[np.argsort(-equal, kind="stable")][: int((equal >= ALIKE).sum())]
+        for x in at.tolist():
+            other = find(int(number[x]))
+            if other != own and _alike(of(k), of(x), similarity):
+                out.append((fp[k], fp[x]))
+                up[other] = own
+    return out
 
 
 def _cells(similarity: float) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     """Rows come sorted by key and cell."""
 
-    def settle(rows: list[tuple]) -> Iterator[pa.RecordBatch]:
-        key, i, j, fp, root, size, side, least = zip(*rows, strict=True)
-        if i[0] != j[0] and len(set(side)) == 1:
-            return
-        columns = [np.array(c, np.int64) for c in (fp, root, size, side)]
-        found = list(_unlike([*columns, np.frombuffer(b"".join(least), np.uint8).reshape(len(fp), -1)], similarity))
+    def links_of(rows: list[tuple]) -> Iterator[pa.RecordBatch]:
+        found = _settle([r[3:] for r in rows], similarity)
         if found:
-            a, b = (np.concatenate(c) for c in zip(*found, strict=True))
-            yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
+            a, b = zip(*found, strict=True)
+            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple] = []
         for batch in sliced(batches):
-            for row in zip(*(batch.column(c).to_pylist() for c in ("key", "i", "j", "fp", "root", "size", "side", "least")), strict=True):
+            for row in zip(*(batch.column(c).to_pylist() for c in ("key", "i", "j", "fp", "root", "size", "left", "least", "hashes")), strict=True):
                 if held and held[0][:3] != row[:3]:
-                    yield from settle(held)
+                    yield from links_of(held)
                     held = []
                 held.append(row)
         if held:
-            yield from settle(held)
+            yield from links_of(held)
 
     return tidy(run)
 
 
-def _left_over(members: DataFrame, roots: DataFrame, nodes: DataFrame, similarity: float, cell: int) -> DataFrame:
-    """The pairs (a, b) that share a band, are not in one component yet and may be similar.
+def _left_over(members: DataFrame, roots: DataFrame, nodes: DataFrame, sets: DataFrame, similarity: float, cell: int) -> DataFrame:
+    """Links (a, b) between rows that share a band, are not in one component yet and are similar by exact count.
 
-    A group of more than `cell` rows is dealt into blocks, and each pair of blocks is a cell of its own.
+    A group's main component is that of its least name. Rows outside it are compared with all rows of the group: those on
+    the left, all on the right, each side dealt into blocks of about `cell` rows. Rows of the main component are never
+    compared with each other, so a large group of near copies goes to the cells once, not once for each block.
     """
     named = members.join(roots, members.fp == roots.node, "left").select("key", "fp", "n", F.coalesce("root", "fp").alias("root"))
-    mixed = named.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).filter("low <> high").select("key")
-    named = stored(named.join(mixed, "key", "left_semi"), "mixed")
-    blocks = F.ceil(F.col("n") / F.lit(cell)).cast("int")
-    rows = named.join(nodes.select("fp", "size", "least"), "fp").withColumn("side", F.pmod(F.xxhash64("fp"), blocks).cast("int"))
-    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
-    rows = rows.select("key", F.least("side", "other").alias("i"), F.greatest("side", "other").alias("j"), "fp", "root", "size", "side", "least")
-    rows = rows.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
-    return rows.mapInArrow(_cells(similarity), "a long, b long").distinct()
+    named = stored(named, "named")
+    main = named.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.min_by("root", "fp").alias("main")).filter("low <> high")
+    mixed = stored(named.join(main.select("key", "main"), "key").withColumn("outside", F.col("root") != F.col("main")), "mixed")
+    outside = mixed.groupBy("key").agg(F.count_if("outside").alias("m"))
+    rows = mixed.join(outside, "key").join(nodes.select("fp", "size", "least"), "fp")
+    blocks = lambda n: F.ceil(F.col(n) / F.lit(cell)).cast("int")
+    mine = lambda n: F.pmod(F.xxhash64("fp"), blocks(n)).cast("int")
+    place = lambda i, j, left: F.struct(i.alias("i"), j.alias("j"), F.lit(left).alias("left"))
+    rights = F.transform(F.sequence(F.lit(0), blocks("m") - 1), lambda i: place(i, mine("n"), False))
+    lefts = F.transform(F.sequence(F.lit(0), blocks("n") - 1), lambda j: place(mine("m"), j, True))
+    cells = F.when(F.col("outside"), F.concat(rights, lefts)).otherwise(rights)
+    dealt = rows.join(sets, "fp").select("key", F.explode_outer(cells).alias("c"), "fp", "root", "size", "least", "hashes")
+    dealt = dealt.select("key", "c.i", "c.j", "c.left", "fp", "root", "size", "least", "hashes").repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
+    return dealt.mapInArrow(_cells(similarity), "a long, b long")
 
 
 def similar_groups(docs: DataFrame, similarity: float = SIMILARITY, cell: int = CELL) -> DataFrame:
@@ -406,7 +437,7 @@ def similar_groups(docs: DataFrame, similarity: float = SIMILARITY, cell: int =
     stars = stored(members.filter("fp <> a").select("a", F.col("fp").alias("b")).distinct(), "stars")
     edges = stored(similar_pairs(stars, sets, similarity), "similar")
     roots = components(edges)
-    more = similar_pairs(_left_over(members, roots, nodes, similarity, cell).join(stars, ["a", "b"], "left_anti"), sets, similarity)
+    more = _left_over(members, roots, nodes, sets, similarity, cell)
     more = stored(more, "more")
     if not more.isEmpty():
         roots = components(edges.unionByName(more))

@@ -76,8 +76,33 @@ def test_template_source(spark, monkeypatch):
     """A source whose texts differ in one number: all are linked through stars, and no pair is left to compare."""
     made = []
     left_over = simhash._left_over
-    monkeypatch.setattr(simhash, "_left_over", lambda *a: made.append(left_over(*a).localCheckpoint()) or made[0])
+    monkeypatch.setattr(simhash, "_left_over", lambda *a: made.append(left_over(*a)) or made[0])
     words = [f"w{k}" for k in range(200)]
     docs = [(k, " ".join([*words[:100], str(k), *words[100:]])) for k in range(400)] + [(1000 + k, f"other text number {k}") for k in range(50)]
     got = {r["doc_id"]: r["component_id"] for r in simhash.similar_groups(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
     assert got == {k: 0 if k < 400 else k for k, _ in docs} and made[0].count() == 0
+
+
+def test_links_within_a_cell_are_fewer_than_components():
+    """However many pairs of a cell are similar, its links only join what was apart."""
+    rng = np.random.default_rng(3)
+    base = np.sort(rng.integers(0, 2**63, 300, dtype=np.uint64))
+    sets = [np.sort(np.where(rng.random(300) < 0.03, rng.integers(0, 2**63, 300, dtype=np.uint64), base)) for _ in range(120)]
+    row = lambda k, left: (k, k, len(sets[k]), left, (simhash.least_hashes(sets[k]) & np.uint64(255)).astype(np.uint8).tobytes(), sets[k].tobytes())
+    rows = [row(k, False) for k in range(120)] + [row(k, True) for k in range(1, 120)]
+    found = simhash._settle(rows, 0.8)
+    up = list(range(120))
+
+    def find(i):
+        while up[i] != i:
+            i = up[i]
+        return i
+
+    for i in range(120):
+        for j in range(i):
+            shared = len(np.intersect1d(sets[i], sets[j]))
+            assert simhash._alike(sets[i], sets[j], 0.8) == (shared / (600 - shared) >= 0.8)
+            if shared / (600 - shared) >= 0.8:
+                up[find(i)] = find(j)
+    assert len(found) == 120 - len({find(k) for k in range(120)})
+    assert simhash._alike(sets[0][:0], sets[0][:0], 0.8) and not simhash._alike(sets[0], sets[0][:0], 0.8)
