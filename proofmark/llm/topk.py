@@ -111,17 +111,19 @@ class Best:
         return rows[a], cols[b]
 
     def _whole(self, x: np.ndarray) -> bool:
-        """Whether doubles hold every sum of products exactly."""
+        """Whether doubles hold every sum of products exactly; where not, numbers of 64 bits do as far as a score is a long."""
         return self.most * float(np.abs(x).max(initial=0)) * max(1, x.shape[1]) < 2**53
 
     def _scores(self, rows: np.ndarray, cols: np.ndarray, x: np.ndarray) -> np.ndarray:
         if self._whole(x):
             return self.x[rows] @ x[cols].T
-        return np.array([[float(sum(int(a) * int(b) for a, b in zip(q, c, strict=True))) for c in x[cols]] for q in self.x[rows]])
+        self.least = self.least.astype(np.longdouble)
+        return self.x[rows].astype(np.longdouble) @ x[cols].astype(np.longdouble).T
 
     def _pairs(self, q: np.ndarray, c: np.ndarray, x: np.ndarray) -> np.ndarray:
         if not self._whole(x):
-            return np.array([float(sum(int(a) * int(b) for a, b in zip(self.x[i], x[j], strict=True))) for i, j in zip(q, c, strict=True)])
+            self.least = self.least.astype(np.longdouble)
+            return (self.x[q].astype(np.longdouble) * x[c]).sum(axis=1)
         return np.concatenate([np.einsum("ij,ij->i", self.x[q[k : k + 65536]], x[c[k : k + 65536]]) for k in range(0, max(1, len(q)), 65536)])
 
     def _keep(self, query: np.ndarray, vec: np.ndarray, score: np.ndarray) -> None:
@@ -162,7 +164,7 @@ def _search(block, k: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.R
                 if x.shape[1] in best:
                     best[x.shape[1]].add(ids, x)
         for b in best.values():
-            yield pa.RecordBatch.from_arrays([pa.array(b.ids[b.query], pa.int64()), pa.array(b.vec, pa.int64()), pa.array(np.asarray(b.score, dtype=np.float64).astype(np.int64))], names=["query_id", "vec_id", "score"])
+            yield pa.RecordBatch.from_arrays([pa.array(b.ids[b.query], pa.int64()), pa.array(b.vec, pa.int64()), pa.array(np.asarray(b.score).astype(np.int64))], names=["query_id", "vec_id", "score"])
 
     return run
 

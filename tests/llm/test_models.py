@@ -168,3 +168,17 @@ def test_repeated_ids_and_nulls(spark):
     assert sorted(str(r["doc_id"]) for r in corpus_pipeline.drop_near_copies(spark, docs, "").collect()) == ["1", "2", "None"]
     assert suffix_dedup.cut_repeats(docs).count() == 4
     assert simhash.similar_groups(docs).count() == 3
+
+
+def test_top_k_beyond_doubles(spark):
+    """Scores that doubles can't tell apart."""
+    rng = random.Random(9)
+    vectors = [(k, [float(rng.randrange(2**24)) + rng.randrange(64) / 64 for _ in range(3)]) for k in range(80)]
+    vectors += [(100, [2.0**24, 1.0, 0.0]), (101, [2.0**24, 1.0 + 1 / 64, 0.0])]
+    want = []
+    ints = {k: [math.floor(64 * x) for x in v] for k, v in vectors}
+    for q in (k for k in ints if k % 20 == 0):
+        scores = sorted((-sum(a * b for a, b in zip(ints[q], ints[k], strict=True)), k) for k in ints if k != q)[:20]
+        want += [(q, n, k, -s) for n, (s, k) in enumerate(scores, 1)]
+    got = topk.top_k(spark.createDataFrame(vectors, "vec_id long, embedding array<double>").repartition(3)).collect()
+    assert sorted(tuple(r) for r in got) == sorted(want) and max(r["score"] for r in got) > 2**53
