@@ -66,6 +66,33 @@ def with_mark(docs: DataFrame, marked: DataFrame) -> DataFrame:
 
 
 Batches = Iterator[pa.RecordBatch]
+#: Parts that are merged at once, in a task or at last on the driver.
+FAN = 32
+
+
+def merged(parts: DataFrame, merge: Callable[[bytes, bytes], bytes]) -> bytes | None:
+    """What `merge` makes of all values of the binary column `part`, or None if there is none.
+
+    Parts are of one size each, a few a task, and meet in a tree: tasks merge about 32 at a time, and the driver the last 32.
+    """
+
+    def run(batches: Batches) -> Batches:
+        total = None
+        for batch in batches:
+            for part in batch.column("part").to_pylist():
+                total = part if total is None else merge(total, part)
+        if total is not None:
+            yield pa.RecordBatch.from_arrays([pa.array([total], pa.binary())], names=["part"])
+
+    parts = stored(parts.select("part"), "parts")
+    while (n := parts.count()) > FAN:
+        parts = stored(parts.repartition(-(-n // FAN)).mapInArrow(run, "part binary"), "parts")
+    total = None
+    for row in parts.collect():
+        total = bytes(row["part"]) if total is None else merge(total, bytes(row["part"]))
+    return total
+
+
 #: Rows that a task turns into Python objects at once.
 SLICE = 2000
 

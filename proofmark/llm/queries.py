@@ -5,7 +5,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import fingerprints, language, packing, pseudonyms, sharding, simhash, suffix_dedup, token_counts, topk, word_codec
+from . import codes, fingerprints, language, mixing, packing, pseudonyms, sharding, simhash, suffix_dedup, token_counts, topk, whitening, word_codec
 from .common import documents
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -52,14 +52,64 @@ def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.identify(docs, language.train(docs))
 
 
+def op11_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+
+
+def op12_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return codes.compress(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+
+
+def op13_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(documents(spark, sf_dir))
+
+
 QUERIES: dict[str, Query] = {
     f.__name__: f
     for f in (
         op1_token_counts, op2_best_fit_packing, op3_rendezvous_shards, op4_pseudonyms, op5_fingerprints,
         op6_segment_top_k, op7_simhash, op8_suffix_dedup, op9_word_codec, op10_language,
+        op11_whitening, op12_vector_codes, op13_mixture,
     )
 }
 
+_DISTANCE = "({0}.a - {1}.a) ** 2 + ({0}.b - {1}.b) ** 2 + ({0}.c - {1}.c) ** 2 + ({0}.d - {1}.d) ** 2"
+
+
+def _assigned_sql(book: str) -> str:
+    """The parts with the entry of `book` that is nearest, and how near it is."""
+    return f"""
+        select vec_id, label, p, any_value(q.a) as a, any_value(q.b) as b, any_value(q.c) as c, any_value(q.d) as d,
+            min(cast({_DISTANCE.format("q", "k")} as bigint) * 64 + e) as best
+        from parts q join {book} k using (p) group by vec_id, label, p
+    """
+
+
+def _learned_sql(assigned: str, book: str) -> str:
+    means = ", ".join(f"coalesce(cast(floor(m.{c} / m.n) as bigint), k.{c}) as {c}" for c in "abcd")
+    sums = ", ".join(f"sum({c}) as {c}" for c in "abcd")
+    return f"select p, e, {means} from {book} k left join (select p, best % 64 as e, count(*) as n, {sums} from {assigned} group by all) m using (p, e)"
+
+
+_CODES_SQL = f"""
+    with kept as (
+        select vec_id, label, list_transform(embedding, lambda x: cast(floor(256 * cast(x as double)) as bigint)) as v from embeddings
+        where embedding is not null and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0
+    ), parts as (
+        select vec_id, label, p, v[4 * p + 1] as a, v[4 * p + 2] as b, v[4 * p + 3] as c, v[4 * p + 4] as d from kept, range(16) t(p)
+    ), book0 as (
+        select p, e, a, b, c, d from (select *, row_number() over (partition by p order by vec_id) - 1 as e from parts) where e < 64
+    ), first as materialized ({_assigned_sql("book0")}), book1 as ({_learned_sql("first", "book0")}),
+    second as materialized ({_assigned_sql("book1")}), book2 as ({_learned_sql("second", "book1")}),
+    last as materialized ({_assigned_sql("book2")}), done as (
+        select vec_id, label, string_agg(format('{{:02x}}', best % 64), '' order by p) as code, cast(sum(best // 64) as bigint) as error
+        from last group by vec_id, label
+    ), digest as (
+        select sha256(string_agg(concat_ws(',', a, b, c, d), ',' order by p, e)) as codebooks_sha256 from book2
+    )
+    select vec_id, code, error, cast(sum(error) over (partition by label) as bigint) as label_error, codebooks_sha256 from done, digest
+"""
+
 ORACLE_SQL: dict[str, str] = {
     "op6_segment_top_k": """
         with vectors as (
@@ -72,4 +122,5 @@ ORACLE_SQL: dict[str, str] = {
         select query_id, cast(row_number() over (partition by query_id order by score desc, vec_id) as integer) as rank, vec_id, score
         from scores qualify rank <= 20
     """,
+    "op12_vector_codes": _CODES_SQL,
 }

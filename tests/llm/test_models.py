@@ -8,6 +8,7 @@ from datetime import date, timedelta
 import corpus_pipeline
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from proofmark.llm import language, pseudonyms, simhash, suffix_dedup, topk
 
@@ -98,7 +99,7 @@ def test_pseudonyms_table(spark):
     assert rows[0] == (1, "a", "~", 0) and rows[1] == (2, "b", "", 0) and rows[2] == rows[3] and rows[2][2] != "ip 10.0.0.1"
 
 
-@pytest.mark.parametrize("block", [16384, 15])
+@pytest.mark.parametrize("block", [8192, 15])
 def test_top_k(spark, block):
     rng = np.random.default_rng(0)
     base = rng.normal(size=(6, 64)) * 0.1
@@ -111,10 +112,33 @@ def test_top_k(spark, block):
             best = sorted((-sum(a * b for a, b in zip(q, v, strict=True)), j) for j, v in whole if j != k and len(v) == len(q))[:20]
             want += [(k, n, j, -s) for n, (s, j) in enumerate(best, 1)]
     df = spark.createDataFrame(rows, "vec_id long, embedding array<float>").repartition(3)
-    assert sorted(tuple(r) for r in topk.top_k(df, block_rows=block).collect()) == sorted(want)
+    assert sorted(tuple(r) for r in topk.top_k(df.withColumn("cell", F.lit(1)), query_block=block, candidate_block=10 * block).collect()) == sorted(want)
     assert topk.top_k(df.limit(0)).count() == 0
 
 
+def test_top_k_repeated_ids(spark):
+    """A repeated candidate counts as often as it is there, a repeated query once."""
+    rows = [(20, [1.0, 0.0])] * 3 + [(21, [1.0, 1.0])] * 4 + [(40, [0.0, 1.0]), (40, [0.0, 1.0])]
+    got = topk.top_k(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), k=5, query_block=2, candidate_block=2).collect()
+    assert sorted((r["query_id"], r["rank"], r["vec_id"], r["score"]) for r in got) == (
+        [(20, n, 21, 4096) for n in range(1, 5)] + [(20, 5, 40, 0)] + [(40, n, 21, 4096) for n in range(1, 5)] + [(40, 5, 20, 0)]
+    )
+
+
+def test_bounds_prune():
+    """Of clustered vectors over nine tenths of the pairs go by their bounds alone, of uniform ones still over a half, and no result with them."""
+    rng = np.random.default_rng(1)
+    clustered = rng.normal(size=(30, 64))[rng.integers(30, size=8000)] + 0.15 * rng.normal(size=(8000, 64))
+    for x, most in ((clustered, 0.1), (rng.normal(size=(8000, 64)), 0.5)):
+        x = np.floor(64 * x / np.linalg.norm(x, axis=1)[:, None])
+        best = topk.Best(np.arange(0, 8000, 20), x[::20], 20)
+        best.add(np.arange(8000), x)
+        scores = x[::20] @ x.T
+        scores[np.arange(400), np.arange(0, 8000, 20)] = -np.inf
+        assert (best.score == -np.sort(-scores, axis=1)[:, :20].ravel()).all()
+        assert best.scored / best.pairs < most
+
+
 WORDS = {"en": "the and of thing with this that other", "de": "der und nicht über schön größe straße ein", "es": "el niño señor canción que más año de"}
 
 
