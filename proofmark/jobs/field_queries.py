@@ -202,12 +202,20 @@ _STREAMED = f"select app_id, case when app_id % 13 = 0 then '{_NO_IMAGE}' when a
 
 @query(f"{_OUTCOME} from ({_STREAMED}) join part on p_partkey = app_id")
 def verify_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The stream's job on a table of applications that carry their lines; some have none, or no brand."""
-    held = label_lines(spark, sf_dir).groupBy(F.col("filename").alias("name_key")).agg(F.collect_list(F.struct("line_no", "text", "confidence", "box")).alias("lines"))
+    """The stream's job on a table of applications that carry their lines; some have none, or no brand.
+
+    Texts have white space about them, and on every label are blank lines that nothing was read from, in and out of place.
+    """
+    padded = F.concat(F.lit(f"{NBSP} "), "text", F.lit(f"\t{WIDE}"))
+    line = F.struct("line_no", padded.alias("text"), "confidence", "box")
+    held = label_lines(spark, sf_dir).groupBy(F.col("filename").alias("name_key")).agg(F.collect_list(line).alias("lines"), F.any_value("box").alias("box"))
+    blank = lambda no, text, box: F.struct(F.lit(no).alias("line_no"), F.lit(text).cast("string").alias("text"), F.lit(0.0).alias("confidence"), box.alias("box"))
+    nowhere = F.lit(None).cast(held.schema["box"].dataType)
+    blanks = F.array(blank(-1, WIDE, F.col("box")), blank(0, "", nowhere), blank(50, "\t", F.col("box")), blank(51, None, F.slice("box", 1, 2)))
     apps = applications(spark, sf_dir).withColumns({"name_key": F.lower("filename"), "brand_name": F.expr(_BLANK_BRAND)})
-    widths = strokes(spark, sf_dir).withColumnRenamed("filename", "name_key")
-    rows = apps.join(held, "name_key").join(widths, "name_key").withColumn("lines", F.when(F.col("app_id") % 13 != 0, F.col("lines")))
-    return feed.verify_stream(rows).select("app_id", "verdict", "state", "message", "bucket")
+    rows = apps.join(held.select("name_key", F.concat("lines", blanks).alias("lines")), "name_key")
+    rows = rows.withColumn("lines", F.when(F.col("app_id") % 13 != 0, F.col("lines")))
+    return feed.verify_stream(rows, strokes(spark, sf_dir)).select("app_id", "verdict", "state", "message", "bucket")
 
 
 # --- reading ----------------------------------------------------------------------------------------------------------

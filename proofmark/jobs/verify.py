@@ -6,11 +6,15 @@ from pyspark.sql import functions as F
 from proofmark.operators import checks, labels, outcomes
 from proofmark.sources.tables import admit, image_signature_ok
 
-#: What is said of a label that has too many lines to be one.
-TOO_LONG = f"This label has more than {labels.MOST_LINES:,} lines of text."
 RESULTS = ("verdict", "summary", "fields", "extracted_text", "ocr_confidence")
 
 
+def widest_strokes(strokes: DataFrame) -> DataFrame:
+    """name_key, heading_stroke and body_stroke: of repeated rows the one with the widest heading."""
+    one = strokes.groupBy(F.lower("filename").alias("name_key")).agg(F.max(F.struct("heading_stroke", "body_stroke")).alias("widths"))
+    return one.select("name_key", "widths.heading_stroke", "widths.body_stroke")
+
+
 def label_table(label_lines: DataFrame, strokes: DataFrame | None = None) -> DataFrame:
     """One row a label with all that does not depend on an application, worked out once however many there are.
 
@@ -18,19 +22,17 @@ def label_table(label_lines: DataFrame, strokes: DataFrame | None = None) -> Dat
     """
     rows = labels.assemble_labels(label_lines)
     if strokes is not None:
-        one = strokes.groupBy(F.lower("filename").alias("name_key")).agg(F.max(F.struct("heading_stroke", "body_stroke")).alias("widths"))
-        rows = rows.join(one.select("name_key", "widths.heading_stroke", "widths.body_stroke"), "name_key", "left")
+        rows = rows.join(widest_strokes(strokes), "name_key", "left")
     return checks.check_warning(labels.label_facts(rows))
 
 
 def outcome_rows(rows: DataFrame) -> DataFrame:
     """All columns of an outcome for rows with an application, a label's facts, and its image's length and is_image.
 
-    A row that is not admitted, or whose label is too long, has its message and no result. No shuffle.
+    A row that is not admitted has its message and no result. No shuffle.
     """
     checked = outcomes.roll_up(checks.check_fields(admit(rows))).withColumn("ocr_confidence", F.round("confidence", 3))
-    message = F.coalesce("error_message", F.when(F.coalesce("too_long", F.lit(False)), TOO_LONG))
-    checked = checked.withColumn("message", message)
+    checked = checked.withColumnRenamed("error_message", "message")
     state = F.when(F.col("message").isNotNull(), "error").otherwise("done")
     results = (F.when(F.col("message").isNull(), F.col(c)).alias(c) for c in RESULTS)
     done = checked.select("app_id", "filename", "brand_name", *results, state.alias("state"), "message")
@@ -71,9 +73,8 @@ def _blank_label(rows: DataFrame) -> dict:
 
 
 def audit_warnings(label_lines: DataFrame, strokes: DataFrame | None = None) -> DataFrame:
-    """name_key, key, status, found and note of the warning's fields of every label; one field to review if it is too long."""
-    unread = F.array(checks.field("warning_wording", "review", F.lit(checks.STATEMENT), F.lit(None), TOO_LONG))
-    facts = label_table(label_lines, strokes).select("name_key", F.when(F.col("too_long"), unread).otherwise(F.col("warning_fields")).alias("fields"))
+    """name_key, key, status, found and note of the warning's fields of every label."""
+    facts = label_table(label_lines, strokes).select("name_key", F.col("warning_fields").alias("fields"))
     # outer, though none is empty: for an inner one the optimizer asks for the array's size further down, and works it out anew for that
     return facts.select("name_key", F.explode_outer("fields").alias("f")).select("name_key", "f.key", "f.status", "f.found", "f.note")
 

@@ -1,15 +1,26 @@
 """From OCR lines to one row a label: reading order, text, readability, and all that needs no application."""
 
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from proofmark.functions import quantities as Q
 from proofmark.functions import text as T
 from proofmark.functions.constants import MIN_CHARACTERS, MIN_CONFIDENCE, SAME_ROW
 
-#: A label of more lines than this is no label: it gets a message instead of a result, and its lines are not gathered.
-MOST_LINES = 10_000
+#: Lines that are numbered together.
+BLOCK = 128
+
+
+def shaped(lines: Column) -> Column:
+    """An array of line structs with trimmed text; blank ones and nulls are none, and no array is an empty one."""
+    trimmed = F.transform(F.coalesce(lines, F.array()), lambda v: v.withField("text", T.strip(v["text"])))
+    return F.filter(trimmed, lambda v: v["text"] != "")
+
+
+def has_place(box: Column) -> Column:
+    """Whether a box has its four corners, each with finite x and y; never null."""
+    known = lambda c: c.isNotNull() & ~F.isnan(c) & (F.abs(c) < F.lit(float("inf")))
+    return F.coalesce((F.size(box) >= 4) & F.forall(box, lambda p: p.isNotNull() & known(p["x"]) & known(p["y"])), F.lit(False))
 
 
 def _middle(ordered: str) -> Column:
@@ -18,68 +29,81 @@ def _middle(ordered: str) -> Column:
     return (F.get(F.col(ordered), F.floor((n - 1) / 2).cast("int")) + F.get(F.col(ordered), F.floor(n / 2).cast("int"))) / 2
 
 
+def row_numbers(placed: Column, limit: Column) -> Column:
+    """The row, from 1, of each struct with y in an array that is sorted by it: one is in the row begun above it as long as it
+    is no lower than the row's first by over `limit`.
+
+    Every step of an `aggregate` copies what it carries, so a first pass carries one state a block, and a second one, from
+    these, the rows of a block: time is in proportion to the array.
+    """
+    count = F.size(placed)
+    blocks = F.when(count > 0, F.sequence(F.lit(0), F.floor((count - 1) / BLOCK).cast("int"))).otherwise(F.array().cast("array<int>"))
+    members = lambda block: F.transform(F.sequence(block * BLOCK, F.least(count, (block + 1) * BLOCK) - 1), lambda k: F.get(placed, k))
+    begins = lambda acc, v: (acc["row"] == 0) | (v["y"] - acc["top"] > limit)
+    top = lambda acc, v: F.when(begins(acc, v), v["y"]).otherwise(acc["top"]).alias("top")
+    row = lambda acc, v: acc["row"] + F.when(begins(acc, v), 1).otherwise(0)
+    state = F.struct(F.lit(0.0).alias("top"), F.lit(0).alias("row"))
+    after = lambda acc, block: F.aggregate(members(block), acc, lambda a, v: F.struct(top(a, v), row(a, v).alias("row")))
+    states = F.aggregate(blocks, F.array(state), lambda acc, block: F.concat(acc, F.array(after(F.element_at(acc, -1), block))))
+
+    def rows(acc: Column, block: Column) -> Column:
+        start = F.struct(acc["top"].alias("top"), acc["row"].alias("row"), F.array().cast("array<int>").alias("rows"))
+        return F.aggregate(members(block), start, lambda a, v: F.struct(top(a, v), row(a, v).alias("row"), F.concat(a["rows"], F.array(row(a, v))).alias("rows")), lambda a: a["rows"])
+
+    return F.flatten(F.zip_with(states, blocks, lambda acc, block: F.when(block.isNotNull(), rows(acc, block)).otherwise(F.array().cast("array<int>"))))
+
+
 def in_reading_order(rows: DataFrame, lines: str = "lines") -> DataFrame:
     """Rows with their array of line structs, with line_no and box, from top to bottom and left to right, tilted or not.
 
     Centres are turned back by the median angle of the lines. From the top, a line is in the row begun above it as long as
-    it is no lower than the row's first line by over 0.6 of the median height; rows read by the turned x. Each step is a
-    column, so that nothing is worked out once for each line that is the label's.
+    it is no lower than the row's first line by over 0.6 of the median height; rows read by the turned x. Lines whose box has
+    no place count for no median and come last, by line_no. Each step is a column, so that nothing is worked out once for
+    each line that is the label's; a label may have any number of lines.
     """
     corner = lambda line, k: F.get(line["box"], k)
     angle = lambda v: F.atan2(corner(v, 1)["y"] - corner(v, 0)["y"], corner(v, 1)["x"] - corner(v, 0)["x"])
     height = lambda v: F.hypot(corner(v, 0)["x"] - corner(v, 3)["x"], corner(v, 0)["y"] - corner(v, 3)["y"])
     mean = lambda v, axis: F.aggregate(v["box"], F.lit(0.0), lambda a, p: a + p[axis]) / F.size(v["box"])
-    rows = rows.withColumns({"angles__": F.array_sort(F.transform(lines, angle)), "heights__": F.array_sort(F.transform(lines, height))})
+    rest = F.filter(lines, lambda v: ~has_place(v["box"]))
+    rest = F.transform(F.array_sort(F.transform(rest, lambda v: F.struct(v["line_no"].alias("line_no"), v.alias("line")))), lambda v: v["line"])
+    rows = rows.withColumns({"boxed__": F.filter(lines, lambda v: has_place(v["box"])), "rest__": rest})
+    rows = rows.withColumns({"angles__": F.array_sort(F.transform("boxed__", angle)), "heights__": F.array_sort(F.transform("boxed__", height))})
     rows = rows.withColumns({"angle__": _middle("angles__"), "limit__": _middle("heights__") * SAME_ROW})
     rows = rows.withColumns({"sin__": F.sin(-F.col("angle__")), "cos__": F.cos(-F.col("angle__"))})
-    centred = F.transform(lines, lambda v: F.struct(mean(v, "x").alias("x"), mean(v, "y").alias("y"), v.alias("line")))
+    centred = F.transform("boxed__", lambda v: F.struct(mean(v, "x").alias("x"), mean(v, "y").alias("y"), v.alias("line")))
     turned = lambda c: F.struct(
         (c["x"] * F.col("sin__") + c["y"] * F.col("cos__")).alias("y"), c["line"]["line_no"].alias("line_no"), (c["x"] * F.col("cos__") - c["y"] * F.col("sin__")).alias("x"), c["line"].alias("line")
     )
     rows = rows.withColumn("centred__", centred).withColumn("placed__", F.array_sort(F.transform("centred__", turned)))
-    step = lambda acc, v: F.when(
-        (F.size(acc["rows"]) > 0) & (v["y"] - acc["top"] <= F.col("limit__")),
-        F.struct(acc["top"].alias("top"), acc["row"].alias("row"), F.concat(acc["rows"], F.array(acc["row"])).alias("rows")),
-    ).otherwise(F.struct(v["y"].alias("top"), (acc["row"] + 1).alias("row"), F.concat(acc["rows"], F.array(acc["row"] + 1)).alias("rows")))
-    start = F.struct(F.lit(0.0).alias("top"), F.lit(0).alias("row"), F.array().cast("array<int>").alias("rows"))
-    rows = rows.withColumn("rows__", F.aggregate("placed__", start, step, lambda acc: acc["rows"]))
+    rows = rows.withColumn("rows__", row_numbers(F.col("placed__"), F.col("limit__")))
     numbered = F.zip_with("placed__", "rows__", lambda v, row: F.struct(row.alias("row"), v["x"].alias("x"), v["y"].alias("y"), v["line_no"].alias("line_no"), v["line"].alias("line")))
     ordered = F.transform(F.array_sort(numbered), lambda v: v["line"])
-    rows = rows.withColumn(lines, F.when(F.size(lines) < 2, F.col(lines)).otherwise(ordered))
-    return rows.drop("angles__", "heights__", "angle__", "limit__", "sin__", "cos__", "centred__", "placed__", "rows__")
+    rows = rows.withColumn(lines, F.when(F.size(lines) < 2, F.col(lines)).otherwise(F.concat(ordered, "rest__")))
+    return rows.drop("boxed__", "rest__", "angles__", "heights__", "angle__", "limit__", "sin__", "cos__", "centred__", "placed__", "rows__")
 
 
 def reading_order(lines: DataFrame) -> DataFrame:
-    """Lines with reading_pos, from 1, within their label; those of a label of over MOST_LINES lines have none and stay out."""
-    grouped = in_reading_order(_bounded(_grouped(lines), "lines"))
+    """Lines with trimmed text and reading_pos, from 1, within their label; blank ones are none."""
+    grouped = in_reading_order(_grouped(lines))
     # outer: for an inner one the optimizer asks for the array's size further down and works the order out anew for that
     each = grouped.select("name_key", F.posexplode_outer("lines").alias("at", "line")).filter("line is not null")
     return each.select("name_key", "line.*", (F.col("at") + 1).alias("reading_pos"))
 
 
 def _grouped(lines: DataFrame) -> DataFrame:
-    """One row a label: the only shuffle of the lines, and of the columns in use. Of a label that is too long as many lines
-    are gathered as show it."""
+    """One row a label, also if all its lines are blank: the only shuffle of the lines, and of the columns in use."""
     keyed = lines.select(F.lower("filename").alias("name_key"), F.struct("line_no", "text", "confidence", "box").alias("line"))
-    nth = F.row_number().over(W.partitionBy("name_key").orderBy("line.line_no"))
-    few = keyed.withColumn("nth", nth).filter(F.col("nth") <= MOST_LINES + 1)
-    return few.groupBy("name_key").agg(F.array_sort(F.collect_list("line")).alias("lines"))
-
-
-def _bounded(rows: DataFrame, lines: str) -> DataFrame:
-    """too_long, and no lines where it is so."""
-    none = F.array().cast(rows.schema[lines].dataType)
-    too_long = F.coalesce(F.size(lines) > MOST_LINES, F.lit(False))
-    return rows.withColumn("too_long", too_long).withColumn(lines, F.when(F.col("too_long"), none).otherwise(F.coalesce(F.col(lines), none)))
+    return keyed.groupBy("name_key").agg(F.array_sort(F.collect_list("line")).alias("lines")).withColumn("lines", shaped(F.col("lines")))
 
 
 def with_text(rows: DataFrame, lines: str = "lines") -> DataFrame:
-    """Rows with an array of lines get raw, extracted_text, characters, confidence and too_long: no shuffle, so streams
-    have it too.
+    """Rows with an array of lines get raw, extracted_text, characters and confidence: no shuffle, so streams have it too.
 
-    The mean confidence adds up in reading order, so it does not depend on how the data lie; a line without one counts 0.
+    Text is trimmed and blank lines count for nothing. The mean confidence adds up in reading order, so it does not depend
+    on how the data lie; a line without one counts 0.
     """
-    ordered = in_reading_order(_bounded(rows, lines), lines)
+    ordered = in_reading_order(rows.withColumn(lines, shaped(F.col(lines))), lines)
     texts = F.transform(F.col(lines), lambda v: v["text"])
     total = F.aggregate(F.col(lines), F.lit(0.0), lambda a, v: a + F.nanvl(F.coalesce(v["confidence"].cast("double"), F.lit(0.0)), F.lit(0.0)))
     return ordered.withColumns(
@@ -92,7 +116,7 @@ def with_text(rows: DataFrame, lines: str = "lines") -> DataFrame:
 
 
 def assemble_labels(lines: DataFrame) -> DataFrame:
-    """name_key, raw, extracted_text, characters, confidence and too_long of each label."""
+    """name_key, raw, extracted_text, characters and confidence of each label."""
     return with_text(_grouped(lines)).drop("lines")
 
 
@@ -108,11 +132,14 @@ def label_facts(labels: DataFrame) -> DataFrame:
 
 
 def latest_image(images: DataFrame) -> DataFrame:
-    """Of files with one lower-cased name the last one: by modificationTime, then by path, then by the other columns."""
+    """Of files with one lower-cased name the last one: by modificationTime, then by path, then by the other columns.
+
+    The largest struct of all columns in that order: each task keeps one a name before anything is moved.
+    """
     order = [c for c in ("modificationTime", "path") if c in images.columns]
     order += [c for c in images.columns if c not in (*order, "name_key")]
-    last = F.row_number().over(W.partitionBy("name_key").orderBy(*map(F.desc, order)))
-    return images.withColumn("nth__", last).filter("nth__ = 1").drop("nth__")
+    last = images.groupBy("name_key").agg(F.max(F.struct(*(F.col(f"`{c}`") for c in order))).alias("last"))
+    return last.select(*(F.col("name_key") if c == "name_key" else F.col(f"last.`{c}`") for c in images.columns))
 
 
 def match_images(apps: DataFrame, images: DataFrame) -> DataFrame:

@@ -80,20 +80,78 @@ def test_stream_admission(spark):
     assert without[5] == "No image was chosen with this file name." and without[4] is None
 
 
-def test_odd_labels(spark, apps, monkeypatch):
-    """A label of too many lines has a message, one without confidences is unreadable; neither stops the others."""
+def test_odd_labels(spark, apps):
+    """A label without confidences is unreadable, one of blank lines alone too; neither stops the others."""
     box = [(0.0, 0.0)] * 4
-    rows = [("old_tom_bourbon.png", k, f"Old Tom Distillery {k}", 0.9, box) for k in range(30)] + [("stones_throw_gin.png", k, "Stone's Throw London Dry Gin", None, box) for k in range(3)]
-    monkeypatch.setattr(labels, "MOST_LINES", 20)
+    rows = [("stones_throw_gin.png", k, "Stone's Throw London Dry Gin", None, box) for k in range(3)] + [("old_tom_bourbon.png", k, t, 0.9, box) for k, t in enumerate((" ", None, "\u2003"))]
     lines = spark.createDataFrame(rows, LABEL_LINES)
-    out = {r["app_id"]: r for r in verify.verify_batch(apps.filter("app_id < 2"), lines).collect()}
-    assert (out[0]["state"], out[0]["verdict"], out[0]["message"]) == ("error", None, verify.TOO_LONG)
-    assert (out[1]["verdict"], out[1]["ocr_confidence"]) == ("unreadable", 0.0)
-    audit = {r["name_key"]: (r["status"], r["note"]) for r in verify.audit_warnings(lines).collect()}
-    assert audit["old_tom_bourbon.png"] == ("review", verify.TOO_LONG) and audit["stones_throw_gin.png"][0] == "not_found"
+    out = {r["app_id"]: r for r in verify.verify_batch(apps.filter("app_id < 3"), lines).collect()}
+    assert [(out[k]["state"], out[k]["verdict"], out[k]["ocr_confidence"]) for k in (0, 1)] == [("done", "unreadable", 0.0)] * 2
+    assert out[0]["extracted_text"] == [] and out[2]["message"] == "No image was chosen with this file name."
+    assert {r["name_key"]: r["status"] for r in verify.audit_warnings(lines).collect()} == {"old_tom_bourbon.png": "not_found", "stones_throw_gin.png": "not_found"}
     assert labels.reading_order(lines).count() == 3
 
 
+def test_blank_lines_change_nothing(spark, apps, lines, strokes, done):
+    """Blank lines of low confidence, in and out of place, and white space about the others: as if they were not there."""
+    names = lines.select("filename").distinct()
+    corner = "array(struct(1d as x, 2d as y), struct(1d as x, 9d as y), struct(5d as x, 9d as y), struct(5d as x, 2d as y))"
+    blanks = [names.selectExpr("filename", f"{k} as line_no", f"{t} as text", "0.01d as confidence", f"{b} as box") for k, (t, b) in enumerate((("' '", corner), ("''", "null"), ("null", corner), ("'\u00a0\t'", f"slice({corner}, 1, 3)")))]
+    more = lines.withColumn("text", F.concat(F.lit("\u00a0 "), "text", F.lit("\t")))
+    for b in blanks:
+        more = more.unionByName(b)
+    columns = ["app_id", "verdict", "summary", "fields", "extracted_text", "ocr_confidence", "state"]
+    want = {r["app_id"]: tuple(r) for r in done.select(columns).collect()}
+    assert {r["app_id"]: tuple(r) for r in verify.verify_batch(apps, more, strokes).select(columns).collect()} == want
+    held = more.groupBy(F.lower("filename").alias("filename")).agg(F.collect_list(F.struct("line_no", "text", "confidence", "box")).alias("lines"))
+    one = apps.withColumn("filename", F.lower("filename")).join(held, "filename")
+    assert {r["app_id"]: tuple(r) for r in verify_stream(one, strokes.unionByName(strokes)).select(columns).collect()} == want
+
+
+def plain_order(lines):
+    """Texts by the rule, from (line_no, text, box)."""
+    import math
+    from statistics import median
+
+    placed = [v for v in lines if v[2] is not None and len(v[2]) >= 4]
+    if placed:
+        angle = -median(math.atan2(b[1][1] - b[0][1], b[1][0] - b[0][0]) for *_, b in placed)
+        limit = 0.6 * median(math.hypot(b[0][0] - b[3][0], b[0][1] - b[3][1]) for *_, b in placed)
+    at = []
+    for no, text, b in placed:
+        x, y = sum(p[0] for p in b) / len(b), sum(p[1] for p in b) / len(b)
+        at.append((x * math.sin(angle) + y * math.cos(angle), no, x * math.cos(angle) - y * math.sin(angle), text))
+    rows, top = [], None
+    for v in sorted(at):
+        if top is None or v[0] - top > limit:
+            top = v[0]
+            rows.append([])
+        rows[-1].append((v[2], v[0], v[1], v[3]))
+    return [v[3] for row in rows for v in sorted(row)] + [t for _, t, _ in sorted((v for v in lines if v not in placed), key=lambda v: v[0])]
+
+
+def test_any_number_of_lines(spark):
+    import random
+
+    rng = random.Random(5)
+    made = {}
+    for name, n in (("a.png", 100_001), ("b.png", 127), ("c.png", 128), ("d.png", 129), ("e.png", 700), ("f.png", 2)):
+        step = rng.choice([3.0, 12.0, 40.0])
+        made[name] = []
+        for k in range(n):
+            x, y = rng.choice([0.0, 300.0, 600.0]), step * rng.randrange(n)
+            made[name].append((k, f"{name} {k}", [(x, y), (x + 50, y + 2), (x + 50, y + 32), (x, y + 30)]))
+        if n < 1000:
+            made[name] += [(n + 3, "no box", None), (n + 2, "short box", [(0.0, 0.0)]), (n + 1, "odd", [(0.0, 0.0), (1.0, None), (1.0, 1.0), (0.0, 1.0)])]
+    rows = [(name, no, text, 0.9, b) for name, lines in made.items() for no, text, b in lines]
+    rng.shuffle(rows)
+    got = {}
+    for r in labels.reading_order(spark.createDataFrame(rows, LABEL_LINES).repartition(4)).orderBy("reading_pos").select("name_key", "text").collect():
+        got.setdefault(r["name_key"], []).append(r["text"])
+    for name, lines in made.items():
+        assert got[name] == plain_order([(no, t, b if t != "odd" else None) for no, t, b in lines]), name
+
+
 def test_repeated_images(spark, apps, lines, strokes):
     png = bytearray(b"\x89PNG\r\n\x1a\nrest")
     images = spark.createDataFrame([("old_tom_bourbon.png", 5, bytearray(b"hello"), 2, "a"), ("old_tom_bourbon.png", 11, png, 2, "b"), ("old_tom_bourbon.png", 5, bytearray(b"hello"), 1, "c")], "name_key string, length long, content binary, modificationTime int, path string")
