@@ -63,6 +63,49 @@ def fold_spelling(squashed: Column) -> Column:
     return squashed
 
 
+#: In folded text, where a spelling has a letter less.
+GAP = "\x01"
+
+
+def kept_letters(variant: str, standard: str) -> list[int]:
+    """For each letter of the standard spelling, which letter of the variant it stands for: spread evenly, first to last."""
+    return [round(k * (len(variant) - 1) / (len(standard) - 1)) for k in range(len(standard))]
+
+
+def has_variant(squashed: Column) -> Column:
+    return squashed.rlike("|".join(variant for variant, _ in SPELLINGS))
+
+
+def fold_in_place(squashed: Column) -> Column:
+    """`fold_spelling` with as many characters as before, so that each keeps its place: a GAP stands for a letter that goes.
+
+    Gaps that an earlier pair has left may lie between the letters of a variant, and stay where they are.
+    """
+    folded = squashed
+    for variant, standard in SPELLINGS:
+        letter = dict(zip(kept_letters(variant, standard), standard, strict=True))
+        pattern = f"({GAP}*)".join(variant)
+        given = "".join(letter.get(k, GAP) + (f"${k + 1}" if k + 1 < len(variant) else "") for k in range(len(variant)))
+        folded = F.regexp_replace(folded, pattern, given)
+    return F.when(has_variant(squashed), folded).otherwise(squashed)
+
+
+def without_gaps(folded: Column) -> Column:
+    return F.replace(folded, F.lit(GAP), F.lit(""))
+
+
+def fold_positions(folded: Column) -> Column:
+    """For each character that `without_gaps` leaves of a text folded in place, its place in the text before."""
+    at = F.transform(F.split(folded, ""), lambda c, i: F.when((c != GAP) & (c != ""), i))
+    return F.filter(at, lambda i: i.isNotNull())
+
+
+def shared_characters(needle: Column, text: Column) -> Column:
+    """How many characters of `needle` can be paired off with equal ones of `text`, wherever they stand."""
+    count = lambda x, c: F.length(x) - F.length(F.replace(x, c, F.lit("")))
+    return F.aggregate(F.array_distinct(F.split(needle, "")), F.lit(0), lambda total, c: total + F.least(count(needle, c), count(text, c)))
+
+
 def strip(col: Column) -> Column:
     """`col` without the white space around it."""
     return F.regexp_replace(col, rf"(?U)\A{SPACE}+|{SPACE}+\z", "")

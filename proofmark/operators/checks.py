@@ -109,7 +109,8 @@ def find_warning(labels: DataFrame) -> DataFrame:
     """heading and warning, spans in the squashed text (null: no heading), and open, the text that is left to other fields."""
     at = T.find_exact(F.col("squashed"), F.lit(_HEADING))
     rows = labels.withColumn("at__", at)
-    hit = F.get(_find_heading(F.when(F.col("at__").isNull(), F.col("squashed")), F.array(F.lit(_HEADING))), 0)
+    asks = F.col("at__").isNull() & can_be_close(F.col("squashed"), F.lit(_HEADING), HEADING_SCORE)
+    hit = F.get(_find_heading(F.when(asks, F.col("squashed")), F.array(F.lit(_HEADING))), 0)
     rows = rows.withColumn("hit__", hit)
     start = F.coalesce("at__", F.col("hit__.start"))
     end = F.coalesce(F.col("at__") + len(_HEADING), F.col("hit__.end"))
@@ -202,28 +203,86 @@ def claim_exact(text: Column, order: Column) -> Column:
     return F.aggregate(order, F.struct(text.alias("open"), F.array().cast("array<int>").alias("at")), step, lambda state: state["at"])
 
 
+def find_folded(text: Column, needle: Column) -> Column:
+    """start and end, in the text, of its first part that is the needle under one spelling; null where there is none.
+
+    Only where text or needle have a variant is anything folded.
+    """
+    folds = T.has_variant(text) | T.has_variant(needle)
+    folded = F.when(folds, T.fold_in_place(text))
+    wanted = F.when(folds, T.fold_spelling(needle))
+
+    def place(v: Column) -> Column:
+        at = T.find_exact(T.without_gaps(v["folded"]), v["wanted"])
+        return F.when(at.isNotNull(), F.struct(at.alias("at"), F.length(v["wanted"]).alias("n"), T.fold_positions(v["folded"]).alias("places")))
+
+    found = _with(lambda v: place(v), folded=folded, wanted=wanted)
+    return _with(
+        lambda v: F.when(v["hit"].isNotNull(), F.struct(F.get(v["hit"]["places"], v["hit"]["at"]).alias("start"), (F.get(v["hit"]["places"], v["hit"]["at"] + v["hit"]["n"] - 1) + 1).alias("end"))),
+        hit=found,
+    )
+
+
+def can_be_close(text: Column, needle: Column, least: float) -> Column:
+    """Whether text and needle have so many characters in common that a part of the text may be as close as `least`."""
+    shorter = F.least(F.length(text), F.length(needle))
+    return (shorter > 0) & (T.shared_characters(needle, text) >= shorter * F.lit(M.least_shared(least)))
+
+
+HITS = "array<struct<score:double,start:int,end:int,spelling:boolean>>"
+
+
+def claim_spelled(text: Column, order: Column) -> Column:
+    """hits, of the needles in order, exact or under one spelling, each in what the needles before it have left of the text,
+    and null for what can't be there; and asks: some needle may be there closely, so that only the finder can tell.
+
+    From there on nothing is searched: what the finder finds is closed to later needles.
+    """
+
+    def step(state: Column, e: Column) -> Column:
+        return F.when(state["asks"] | (F.length(e["needle"]) == 0), _passed(state)).otherwise(_searched(state, e))
+
+    def _passed(state: Column) -> Column:
+        return F.struct(state["open"].alias("open"), F.concat(state["hits"], F.array(F.lit(None))).cast(HITS).alias("hits"), state["asks"].alias("asks"))
+
+    def _searched(state: Column, e: Column) -> Column:
+        exact = T.find_exact(state["open"], e["needle"])
+        exact = F.struct(exact.alias("start"), (exact + F.length(e["needle"])).alias("end"))
+        return _with(lambda v: _spelled(state, e, v["exact"]), exact=exact)
+
+    def _spelled(state: Column, e: Column, exact: Column) -> Column:
+        folded = F.when(exact["start"].isNull(), find_folded(state["open"], e["needle"]))
+        return _with(lambda v: _next(state, e, exact, v["folded"]), folded=folded)
+
+    def _next(state: Column, e: Column, exact: Column, folded: Column) -> Column:
+        start, end = F.coalesce(exact["start"], folded["start"]), F.coalesce(exact["end"], folded["end"])
+        hit = F.when(start.isNotNull(), F.struct(F.lit(100.0).alias("score"), start.alias("start"), end.alias("end"), exact["start"].isNull().alias("spelling")))
+        asks = F.when(start.isNotNull(), F.lit(False)).otherwise(can_be_close(state["open"], e["needle"], REVIEW_SCORE))
+        return F.struct(T.claim(state["open"], start, end).alias("open"), F.concat(state["hits"], F.array(hit)).cast(HITS).alias("hits"), asks.alias("asks"))
+
+    begin = F.struct(text.alias("open"), F.array().cast(HITS).alias("hits"), F.lit(False).alias("asks"))
+    return F.aggregate(order, begin, step)
+
+
 def check_text_fields(rows: DataFrame) -> DataFrame:
     """text_fields: the given ones of the four text fields, searched longest first, each in what the ones before left.
 
-    Columns search for exact text; a row where any needle is not there as it stands goes to the finder as a whole.
+    Columns search for exact text, for other spellings, and tell where a needle has too few characters in the text to be
+    close; a row where some needle may be close goes to the finder as a whole.
     """
     rows = rows.withColumn("order__", claim_order([F.coalesce(F.col(k), F.lit("")) for k in TEXT_FIELDS]))
-    rows = rows.withColumn("at__", claim_exact(F.col("open"), F.col("order__")))
-    missed = F.exists("at__", lambda at: at.isNull())
+    rows = rows.withColumn("state__", claim_spelled(F.col("open"), F.col("order__")))
+    asks = F.col("state__.asks")
     needles = F.transform("order__", lambda e: e["needle"])
-    rows = rows.withColumn("hits__", _find_fields(F.when(missed, F.col("open")), F.when(missed, needles)))
-    exact = F.zip_with(
-        "at__", "order__",
-        lambda at, e: F.struct(F.lit(100.0).alias("score"), at.alias("start"), (at + F.length(e["needle"])).alias("end"), F.lit(False).alias("spelling")),
-    )
-    rows = rows.withColumn("hits__", F.coalesce("hits__", exact))
+    rows = rows.withColumn("hits__", _find_fields(F.when(asks, F.col("open")), F.when(asks, needles)))
+    rows = rows.withColumn("hits__", F.coalesce("hits__", "state__.hits"))
     span = lambda hit, whole: T.raw_span(F.col("raw"), F.col("places"), hit["start"], hit["end"], whole)
     found = F.zip_with(
         "order__", "hits__", lambda e, hit: F.struct(e.alias("e"), hit.alias("hit"), F.when(hit["score"] < 100, span(hit, True)).otherwise(span(hit, False)).alias("found"))
     )
     key = lambda e: F.get(F.array(*map(F.lit, TEXT_FIELDS)), e["slot"])
     made = F.transform(found, lambda x: text_field(key(x["e"]), x["e"]["expected"], x["hit"], x["found"]))
-    return rows.withColumn("text_fields", made).drop("order__", "at__", "hits__")
+    return rows.withColumn("text_fields", made).drop("order__", "state__", "hits__")
 
 
 def check_fields(rows: DataFrame) -> DataFrame:
