@@ -8,6 +8,7 @@ values, wherever they occur and however they are grouped or spelled out, get equ
 import hashlib
 import hmac
 import re
+import secrets
 from bisect import bisect_left
 from collections.abc import Callable, Iterator
 from datetime import date
@@ -25,8 +26,13 @@ KEY_SETTING = "spark.proofmark.pseudonymKey"
 
 
 def key_of(spark: SparkSession) -> bytes:
-    """The session's key. A session without one gets a key that anybody can read here: right for test data only."""
-    return spark.conf.get(KEY_SETTING, "test data only").encode()
+    """The session's key. A session without one draws its own, at random: its pseudonyms can't be traced back by anybody who
+    reads this, and link values within the session, but not with those of another."""
+    key = spark.conf.get(KEY_SETTING, None)
+    if not key:
+        key = secrets.token_hex(32)
+        spark.conf.set(KEY_SETTING, key)
+    return key.encode()
 
 
 class Permuter:

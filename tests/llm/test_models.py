@@ -93,6 +93,14 @@ def test_equal_values_stay_linked_and_formats_keep_their_width():
     assert len({of(f"+1 {k:010d}") for k in range(0, 5 * 10**9, 10**8 + 7)}) == 50
 
 
+def test_key_of_the_session(spark):
+    """A session without a key draws one and keeps it; a given key is the key."""
+    one, other = spark.newSession(), spark.newSession()
+    assert pseudonyms.key_of(one) == pseudonyms.key_of(one) != pseudonyms.key_of(other) and len(pseudonyms.key_of(one)) >= 32
+    other.conf.set(pseudonyms.KEY_SETTING, "k")
+    assert pseudonyms.key_of(other) == b"k"
+
+
 def test_pseudonyms_table(spark):
     df = spark.createDataFrame([(1, None, "a"), (2, "", "b"), (3, "ip 10.0.0.1", "c"), (3, "ip 10.0.0.1", "c")], "doc_id long, text string, n string")
     rows = sorted(tuple("~" if v is None else v for v in r) for r in pseudonyms.pseudonymise(df, b"k").select("doc_id", "n", "text", "n_replaced").collect())
