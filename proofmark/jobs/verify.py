@@ -46,16 +46,18 @@ def verify_batch(apps: DataFrame, label_lines: DataFrame, strokes: DataFrame | N
 
     The lines are shuffled once, by label; then the applications go to the labels. With `images` (name_key, length, content,
     and modificationTime and path where files may share a name: the last one counts) rows are first admitted by their image;
-    without, an application of a label without lines has no image.
+    without, an application of a label without lines has no image. A label whose lines have an error could not be read: its
+    applications get the message of a file that is no image.
     """
     facts = label_table(label_lines, strokes).withColumn("known__", F.lit(True))
     joined = apps.withColumn("name_key", F.lower("filename")).join(facts, "name_key", "left")
     if images is None:
-        joined = joined.withColumns({"length": F.when(F.col("known__"), F.lit(0)), "is_image": F.lit(True)})
+        joined = joined.withColumns({"length": F.when(F.col("known__"), F.lit(0)), "is_image": F.col("read_error").isNull()})
     else:
         order = [c for c in ("modificationTime", "path") if c in images.columns]
         about = labels.latest_image(images.select("name_key", *order, "length", image_signature_ok(F.col("content")).alias("is_image")))
         joined = joined.join(about.drop(*order), "name_key", "left").withColumns(_blank_label(joined))
+        joined = joined.withColumn("is_image", F.col("is_image") & F.col("read_error").isNull())
     return outcome_rows(joined)
 
 

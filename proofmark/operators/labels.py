@@ -92,9 +92,12 @@ def reading_order(lines: DataFrame) -> DataFrame:
 
 
 def _grouped(lines: DataFrame) -> DataFrame:
-    """One row a label, also if all its lines are blank: the only shuffle of the lines, and of the columns in use."""
-    keyed = lines.select(F.lower("filename").alias("name_key"), F.struct("line_no", "text", "confidence", "box").alias("line"))
-    return keyed.groupBy("name_key").agg(F.array_sort(F.collect_list("line")).alias("lines")).withColumn("lines", shaped(F.col("lines")))
+    """One row a label, also if all its lines are blank: the only shuffle of the lines, and of the columns in use. Lines with a
+    column error give read_error, why the image could not be read."""
+    error = F.col("error") if "error" in lines.columns else F.lit(None).cast("string")
+    keyed = lines.select(F.lower("filename").alias("name_key"), F.struct("line_no", "text", "confidence", "box").alias("line"), error.alias("error"))
+    grouped = keyed.groupBy("name_key").agg(F.array_sort(F.collect_list("line")).alias("lines"), F.max("error").alias("read_error"))
+    return grouped.withColumn("lines", shaped(F.col("lines")))
 
 
 def with_text(rows: DataFrame, lines: str = "lines") -> DataFrame:
@@ -116,7 +119,7 @@ def with_text(rows: DataFrame, lines: str = "lines") -> DataFrame:
 
 
 def assemble_labels(lines: DataFrame) -> DataFrame:
-    """name_key, raw, extracted_text, characters and confidence of each label."""
+    """name_key, raw, extracted_text, characters and confidence of each label, and read_error, null where it was read."""
     return with_text(_grouped(lines)).drop("lines")
 
 

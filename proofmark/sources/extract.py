@@ -1,31 +1,63 @@
 """Lines from images by a reader that the user brings."""
 
+import hashlib
 from collections.abc import Callable, Iterator
 
 import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .tables import LABEL_LINES
 
 #: A reader takes an image's bytes and gives its lines: (text, confidence, four corners as (x, y)).
 Reader = Callable[[bytes], list[tuple[str, float, list[tuple[float, float]]]]]
+#: `LABEL_LINES`, and why an image could not be read.
+READ_LINES = T.StructType([*LABEL_LINES.fields, T.StructField("error", T.StringType())])
+#: Readers that a worker keeps from one task to the next, the last ones used: an engine takes long to load.
+MOST_READERS = 4
+_readers: dict[str, Reader] = {}
+
+
+def _reader(name: str, make_reader: Callable[[], Reader]) -> Reader:
+    found = _readers.pop(name, None) or make_reader()
+    _readers[name] = found
+    while len(_readers) > MOST_READERS:
+        _readers.pop(next(iter(_readers)))
+    return found
+
+
+def _read(read: Reader, name: str, content: bytes | None) -> list[tuple]:
+    if content is None:
+        return []
+    try:
+        return [(name, k, text, float(confidence), [{"x": float(x), "y": float(y)} for x, y in box], None) for k, (text, confidence, box) in enumerate(read(bytes(content)))]
+    except Exception as e:  # noqa: BLE001  whatever a reader makes of a broken image, the others are to be read
+        return [(name, None, None, None, None, f"{type(e).__name__}: {e}")]
 
 
 def extract_lines(images: DataFrame, make_reader: Callable[[], Reader], partitions: int | None = None) -> DataFrame:
-    """`label_lines` of a table with filename and content. The reader is made once for each task, not for each image.
+    """`label_lines` of a table with filename and content, and the column error.
 
-    Reading takes seconds an image, so the images are dealt out over `partitions` tasks first. A null content has no lines.
+    A worker makes the reader once and keeps it for its further tasks. An image that the reader fails on has one row, without
+    text, with the error: `verify_batch` gives its applications the message of a file that is no image. A null content has no
+    rows. Reading takes seconds an image, so the images are dealt out over `partitions` tasks first.
     """
+    maker = cloudpickle.dumps(make_reader)
+    name = hashlib.sha256(maker).hexdigest()
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        read = make_reader()
+        read = _reader(name, lambda: cloudpickle.loads(maker)())
         for batch in batches:
-            rows = [
-                (name, k, text, float(confidence), [{"x": float(x), "y": float(y)} for x, y in box])
-                for name, content in zip(batch["filename"], batch["content"], strict=True)
-                for k, (text, confidence, box) in enumerate(read(bytes(content)) if content is not None else [])
-            ]
-            yield pd.DataFrame(rows, columns=LABEL_LINES.names)
+            rows = [row for file, content in zip(batch["filename"], batch["content"], strict=True) for row in _read(read, file, content)]
+            made = pd.DataFrame(rows, columns=READ_LINES.names)
+            yield made.astype({"line_no": "Int32", "confidence": "Float64"})
 
     dealt = images.select("filename", "content")
-    return (dealt.repartition(partitions) if partitions else dealt).mapInPandas(run, LABEL_LINES)
+    return (dealt.repartition(partitions) if partitions else dealt).mapInPandas(run, READ_LINES)
+
+
+def unread_images(lines: DataFrame) -> DataFrame:
+    """filename and error of the images that `extract_lines` could not read."""
+    return lines.filter(F.col("error").isNotNull()).select("filename", "error")
