@@ -8,14 +8,14 @@ what decides between entries are integers.
 
 import hashlib
 import json
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import Batches, merged, sliced, stored
+from .common import Batches, merged, stored
 from .vectors import commonest_length, finite, matrix
 
 SCALE = 256
@@ -26,6 +26,8 @@ ROUNDS = 2
 LEAF = 6
 #: Numbers below this have squared distances and sums that fit in 64 bits, for parts of up to 512.
 SMALL = 1 << 26
+#: Numbers of vectors that are worked on at once.
+NUMBERS = 1 << 20
 #: More than the relative error of a root or a difference of roots of integers.
 SLACK = 1e-14
 COLUMNS = "vec_id long, code string, error long, label_error long, codebooks_sha256 string"
@@ -94,6 +96,15 @@ def whole_numbers(x: np.ndarray) -> np.ndarray:
     return np.array([[int(v) for v in row] for row in x], dtype=object).reshape(x.shape)
 
 
+def _matrices(batches: Batches, d: int) -> Iterator[tuple[pa.RecordBatch, np.ndarray]]:
+    """Batches with their vectors, of about a million numbers: each step of a search costs the same for few points."""
+    step = max(1, NUMBERS // d)
+    for batch in batches:
+        for at in range(0, batch.num_rows, step):
+            part = batch.slice(at, step)
+            yield part, whole_numbers(matrix(part.column("x"), d))
+
+
 def _cut(x: np.ndarray, parts: int) -> list[np.ndarray]:
     """Consecutive parts of one length; zeros are added where the last would be shorter."""
     width = -(-x.shape[1] // parts)
@@ -118,13 +129,12 @@ def _totals(books: list[list[list[int]]], d: int) -> Callable[[Batches], Batches
     def run(batches: Batches) -> Batches:
         trees = _trees(books)
         total = [[[0] * (1 + len(entry)) for entry in book] for book in books]
-        for batch in sliced(batches):
-            if batch.num_rows:
-                for mine, (part, at, _) in zip(total, _assigned(trees, whole_numbers(matrix(batch.column("x"), d))), strict=True):
-                    order = np.argsort(at, kind="stable")
-                    used, starts, counts = np.unique(at[order], return_index=True, return_counts=True)
-                    for k, n, row in zip(used.tolist(), counts.tolist(), np.add.reduceat(part[order], starts).tolist(), strict=True):
-                        mine[k] = [a + b for a, b in zip(mine[k], [n, *row], strict=True)]
+        for _, x in _matrices(batches, d):
+            for mine, (part, at, _) in zip(total, _assigned(trees, x), strict=True):
+                order = np.argsort(at, kind="stable")
+                used, starts, counts = np.unique(at[order], return_index=True, return_counts=True)
+                for k, n, row in zip(used.tolist(), counts.tolist(), np.add.reduceat(part[order], starts).tolist(), strict=True):
+                    mine[k] = [a + b for a, b in zip(mine[k], [n, *row], strict=True)]
         yield pa.RecordBatch.from_arrays([pa.array([json.dumps(total).encode()], pa.binary())], names=["part"])
 
     return run
@@ -157,10 +167,10 @@ def coded(rows: DataFrame, books: list[list[list[int]]], d: int) -> DataFrame:
 
     def run(batches: Batches) -> Batches:
         trees = _trees(books)
-        for batch in sliced(batches):
-            found = _assigned(trees, whole_numbers(matrix(batch.column("x"), d))) if batch.num_rows else []
-            codes = np.stack([at for _, at, _ in found], axis=1).astype(np.uint8) if found else np.zeros((0, 1), np.uint8)
-            errors = sum(best.astype(object) for _, _, best in found) if found else []
+        for batch, x in _matrices(batches, d):
+            found = _assigned(trees, x)
+            codes = np.stack([at for _, at, _ in found], axis=1).astype(np.uint8)
+            errors = sum(best.astype(object) for _, _, best in found)
             made = [pa.array([bytes(row).hex() for row in codes], pa.string()), pa.array([e if e < 2**63 else None for e in errors], pa.int64())]
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in names), *made], names=[*names, "code", "error"])
 
