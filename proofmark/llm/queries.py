@@ -122,5 +122,29 @@ ORACLE_SQL: dict[str, str] = {
         select query_id, cast(row_number() over (partition by query_id order by score desc, vec_id) as integer) as rank, vec_id, score
         from scores qualify rank <= 20
     """,
+    "op8_suffix_dedup": """
+        with docs as (
+            select row_number() over () as r, doc_id, hex(encode(coalesce(text, ''))) as h from documents
+        ), blocks as (  -- of 2000 starts, so that no long text is cut from its beginning again and again
+            select r, b, substr(h, cast(4000 * b + 1 as bigint), 4398) as h from (select r, h, unnest(range(0, length(h) // 4000 + 1)) as b from docs)
+        ), starts as (
+            select r, 2000 * b + q as p, md5_number(substr(h, cast(2 * q + 1 as bigint), 400)) as name
+            from (select r, b, h, unnest(range(0, length(h) // 2 - 199)) as q from blocks where length(h) >= 400)
+        ), repeated as (
+            select r, p from starts join (select name from starts group by name having count(*) > 1) using (name)
+        ), marked as (
+            select r, p, coalesce(p > lag(p) over (partition by r order by p) + 200, true) as begins from repeated
+        ), spans as (
+            select r, min(p) as a, max(p) + 200 as b from (select r, p, count_if(begins) over (partition by r order by p) as nth from marked) group by r, nth
+        ), pieces as (
+            select r, coalesce(lag(b) over (partition by r order by a), 0) as a, a as b from spans
+            union all select r, coalesce(max(b), 0), max(length(h) // 2) from docs left join spans using (r) group by r
+        ), kept as (
+            select r, string_agg(substr(h, cast(2 * a + 1 as bigint), cast(2 * (b - a) as bigint)), '' order by a) as h from pieces join docs using (r) group by r
+        )
+        select doc_id, cast(length(d.h) // 2 as bigint) as n_bytes, cast(length(d.h) // 2 - length(k.h) // 2 as bigint) as n_removed,
+            coalesce(n, 0) as n_spans, sha256(unhex(k.h)) as kept_sha256
+        from docs d join kept k using (r) left join (select r, cast(count(*) as bigint) as n from spans group by r) using (r)
+    """,
     "op12_vector_codes": _CODES_SQL,
 }
