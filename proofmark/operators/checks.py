@@ -271,7 +271,9 @@ def check_text_fields(rows: DataFrame) -> DataFrame:
     close; a row where some needle may be close goes to the finder as a whole.
     """
     rows = rows.withColumn("order__", claim_order([F.coalesce(F.col(k), F.lit("")) for k in TEXT_FIELDS]))
-    rows = rows.withColumn("state__", claim_spelled(F.col("open"), F.col("order__")))
+    # by a generator of one row: as a column the optimizer may write it out again in each that reads it, inside the finder's
+    # arguments too, where functions in functions can't be told to be the same
+    rows = rows.select("*", F.explode_outer(F.array(claim_spelled(F.col("open"), F.col("order__")))).alias("state__"))
     asks = F.col("state__.asks")
     needles = F.transform("order__", lambda e: e["needle"])
     rows = rows.withColumn("hits__", _find_fields(F.when(asks, F.col("open")), F.when(asks, needles)))

@@ -17,3 +17,13 @@ def test_plan_size(spark, name):
 
 def test_every_query_has_sql():
     assert set(QUERIES) == set(ORACLE_SQL)
+
+
+@pytest.mark.parametrize("name", ["verify_stream", "verify_batch", "audit_warnings", "find_close"])
+def test_python_functions_have_their_own_steps(spark, name):
+    """None is left inside another expression, where it can't be run."""
+    spark.conf.set("spark.sql.maxPlanStringLength", "9000000")
+    spark.conf.set("spark.sql.debug.maxToStringFields", "500")
+    plan = QUERIES[name](spark, DATA)._jdf.queryExecution().executedPlan().toString()
+    steps = [line for line in plan.splitlines() if "hits(" in line or "differing_phrases(" in line]
+    assert steps and all("EvalPython" in line for line in steps)
