@@ -27,27 +27,41 @@ def _hex(high: Column, low: Column) -> Column:
     return F.concat(*(F.lpad(F.lower(F.hex(h)), 16, "0") for h in (high, low)))
 
 
+#: What tells rows apart: two hashes of doc_id and text, 128 bits together. Rows that agree in both are copies.
+UNIT = ["u1", "u2"]
+
+
+def _unit() -> list[Column]:
+    missing, doc_id = F.col("doc_id").isNull(), F.col("doc_id")
+    return [F.xxhash64(missing, doc_id, F.xxhash64("text")).alias("u1"), F.xxhash64(missing, doc_id, F.xxhash64(F.lit("unit"), "text")).alias("u2")]
+
+
 def _hashed(docs: DataFrame) -> DataFrame:
-    rows = texts(docs).select("doc_id", F.length("text").cast("long").alias("n_chars"), F.xxhash64("text").alias("raw"), canonical(F.col("text")).alias("folded"))
-    return rows.select("doc_id", "raw", "n_chars", *_wide("folded", ("h1", "h2")))
+    """One row for all copies, with their number: copies of one row meet as counts."""
+    rows = texts(docs).select("doc_id", *_unit(), F.length("text").cast("long").alias("n_chars"), F.xxhash64("text").alias("raw"), canonical(F.col("text")).alias("folded"))
+    rows = rows.select("doc_id", *UNIT, "raw", "n_chars", *_wide("folded", ("h1", "h2")))
+    return rows.groupBy(*rows.columns).agg(F.count("*").alias("copies"))
+
+
+_ORDER = ["doc_id", "raw", *UNIT]
 
 
 def _in_order(rows: DataFrame) -> DataFrame:
-    """Each row with its place among those of its doc_id, and the rows before and after it; the last is before the first.
+    """Each row with the rows before and after it; the last is before the first.
 
-    The order is doc_id, then the text's hash. Ranges of doc_id are worked on apart; their ends, a row for each, meet.
+    The order is doc_id, then the text's hash. Ranges of both are worked on apart, so rows without an id are dealt out too;
+    the ranges' ends, a row for each, meet.
     """
-    ranged = stored(rows.repartitionByRange("doc_id").withColumn("range", F.spark_partition_id()), "ranges")
-    one = F.struct("doc_id", "raw", "n_chars", "h1", "h2", F.row_number().over(Window.partitionBy("range", "doc_id").orderBy("raw", "h1", "h2")).alias("copy"))
-    placed = ranged.select("range", one.alias("me"))
-    w = Window.partitionBy("range").orderBy("me.doc_id", "me.copy")
-    ends = placed.groupBy("range").agg(F.min(F.struct("me.doc_id", "me.copy", "me")).alias("first"), F.max(F.struct("me.doc_id", "me.copy", "me")).alias("last"))
+    ranged = stored(rows.repartitionByRange(*_ORDER).withColumn("range", F.spark_partition_id()), "ranges")
+    placed = ranged.select("range", F.struct(*_ORDER, "n_chars", "h1", "h2", "copies").alias("me"))
+    w = Window.partitionBy("range").orderBy("me")
+    ends = placed.groupBy("range").agg(F.min("me").alias("first"), F.max("me").alias("last"))
     ring = Window.partitionBy(F.lit(0)).orderBy("range")
     every = ring.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     ends = ends.select(
         "range",
-        F.coalesce(F.lead("first.me").over(ring), F.first("first.me").over(every)).alias("after"),
-        F.coalesce(F.lag("last.me").over(ring), F.last("last.me").over(every)).alias("before"),
+        F.coalesce(F.lead("first").over(ring), F.first("first").over(every)).alias("after"),
+        F.coalesce(F.lag("last").over(ring), F.last("last").over(every)).alias("before"),
     )
     near = placed.select("range", "me", F.lead("me").over(w).alias("next"), F.lag("me").over(w).alias("previous"))
     joined = near.join(F.broadcast(ends), "range")  # a row for each range of the shuffle
@@ -56,42 +70,37 @@ def _in_order(rows: DataFrame) -> DataFrame:
 
 def _with_groups(rows: DataFrame) -> DataFrame:
     """in_group: whether another row has the same hash; leads: whether the row is the one its group is held against."""
-    groups = rows.groupBy("me.h1", "me.h2").agg(F.count("*").alias("n"), F.min(F.struct("me.doc_id", "me.copy")).alias("lead"))
+    groups = rows.groupBy("me.h1", "me.h2").agg(F.count("*").alias("n"), F.min(F.struct("me.u1", "me.u2")).alias("lead"))
     groups = groups.filter("n > 1").select(F.col("h1").alias("g1"), F.col("h2").alias("g2"), "lead")
     joined = rows.join(groups, (F.col("me.h1") == F.col("g1")) & (F.col("me.h2") == F.col("g2")), "left")
-    is_lead = (F.col("lead.doc_id").eqNullSafe(F.col("me.doc_id"))) & (F.col("lead.copy") == F.col("me.copy"))
-    return joined.select("me", "next", "previous", F.col("lead").isNotNull().alias("in_group"), F.coalesce(is_lead, F.lit(False)).alias("leads"))
-
-
-def _key(doc_id: str) -> Column:
-    """doc_id for joins; rows without one meet too."""
-    return F.coalesce(F.col(doc_id).cast("string"), F.lit("-"))
+    is_lead = F.col("lead") == F.struct("me.u1", "me.u2")
+    return joined.select("me.u1", "me.u2", "me", "next", "previous", F.col("lead").isNotNull().alias("in_group"), F.coalesce(is_lead, F.lit(False)).alias("leads"))
 
 
 def _edited(docs: DataFrame, order: DataFrame) -> DataFrame:
     """Each row with the folded text's hashes before and after the edit, and the folded text where others hash alike.
 
-    Text is dealt out once, by doc_id; of the next document only the part that is put in goes to the row before it.
+    Text is dealt out once, by the row's hashes; of the next document only the part that is put in goes to the row before it.
+    Of copies each is followed by the next and only the last by another row: these are two rows, with times telling how often.
     """
-    info = order.groupBy(_key("me.doc_id").alias("key")).agg(F.collect_list(F.struct(F.col("me.copy").alias("copy"), "me", "next", "previous", "in_group", "leads")).alias("infos"))
-    body = texts(docs).select(_key("doc_id").alias("key"), "text", F.xxhash64("text").alias("raw"))
-    place = F.row_number().over(Window.partitionBy("key").orderBy("raw"))
-    placed = body.select("key", "text", place.alias("copy")).join(info, "key")
-    of_copy = lambda c: F.filter(c, lambda x: x["copy"] == F.col("copy"))[0]
-    rows = placed.select("key", "copy", "text", of_copy("infos").alias("info"))
-    moved = rows.select(
-        _key("info.previous.doc_id").alias("key"), F.struct(F.col("info.previous.copy").alias("copy"), F.left("text", (F.col("info.previous.n_chars") / 4).cast("int")).alias("part")).alias("from")
-    )
-    parts = moved.groupBy("key").agg(F.collect_list("from").alias("parts"))
-    joined = rows.join(parts, "key").select("copy", "text", "info", of_copy("parts")["part"].alias("part"))
+    body = texts(docs).select(*_unit(), "text").dropDuplicates(UNIT)
+    rows = body.join(order, UNIT)
+    moved = rows.select(F.col("previous.u1").alias("u1"), F.col("previous.u2").alias("u2"), F.left("text", (F.col("previous.n_chars") / 4).cast("int")).alias("part"))
     n = F.length("text")
-    edited = F.concat(F.left("text", n - F.floor(n / 4).cast("int")), F.col("part"))
-    folded = joined.select("copy", "info", n.cast("long").alias("n_chars"), edited.alias("edited"), canonical(F.col("text")).alias("folded"))
+    quarter = F.floor(n / 4).cast("int")
+    follows = lambda times, row, part: F.struct(times.alias("times"), row.alias("next"), part.alias("part"))
+    more = F.col("me.copies") - 1
+    last = follows(F.lit(1).cast("long"), F.col("next"), F.col("part"))
+    among = follows(more, F.col("me"), F.left("text", quarter))
+    every = F.explode_outer(F.when(more > 0, F.array(last, among)).otherwise(F.array(last))).alias("after")
+    joined = rows.join(moved, UNIT).select(*UNIT, "text", "me", "in_group", "leads", every)
+    edited = F.concat(F.left("text", n - quarter), F.col("after.part"))
+    folded = joined.select(*UNIT, "me", "after", "in_group", "leads", edited.alias("edited"), canonical(F.col("text")).alias("folded"))
     folded = folded.select("*", canonical(F.col("edited")).alias("edited_folded"))
     return folded.select(
-        F.col("info.me.doc_id").alias("doc_id"), "copy", "n_chars", F.sha2(F.encode("edited", "UTF-8"), 256).alias("edited_sha256"),
-        *(F.col(f"info.me.{h}").alias(h) for h in ("h1", "h2")), *_wide("edited_folded", ("e1", "e2")), (F.col("folded") == F.col("edited_folded")).alias("same"),
-        F.col("info.next").alias("next"), F.col("info.leads").alias("leads"), F.when(F.col("info.in_group"), F.col("folded")).alias("proof"),
+        *UNIT, "me.doc_id", "me.n_chars", F.sha2(F.encode("edited", "UTF-8"), 256).alias("edited_sha256"),
+        "me.h1", "me.h2", *_wide("edited_folded", ("e1", "e2")), (F.col("folded") == F.col("edited_folded")).alias("same"),
+        "after.times", "after.next", "leads", F.when(F.col("in_group"), F.col("folded")).alias("proof"),
     )
 
 
@@ -101,22 +110,22 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     The edited text has its last quarter replaced by the start of the next document, by ascending doc_id (repeated ids
     by their text's hash, null first; the last is followed by the first). A likeness is 1 for equal folded texts, else 0.
     A null text is empty. A single document follows itself; an empty table gives no rows; other columns are left out.
+    No row, however often it is repeated, and no doc_id, missing ones included, gathers its texts in one place.
     """
     rows = stored(_edited(docs, _with_groups(_in_order(_hashed(docs)))), "edited")
     proofs = rows.filter(F.col("proof").isNotNull())
-    leads = proofs.filter("leads").select(F.col("h1").alias("l1"), F.col("h2").alias("l2"), F.col("proof").alias("lead"))
+    leads = proofs.filter("leads").select(F.col("h1").alias("l1"), F.col("h2").alias("l2"), F.col("proof").alias("lead")).dropDuplicates(["l1", "l2"])
     odd = proofs.join(leads, (F.col("h1") == F.col("l1")) & (F.col("h2") == F.col("l2"))).filter(F.col("proof") != F.col("lead"))
-    odd = odd.select(_key("doc_id").alias("key"), F.col("copy").alias("nth"), F.concat(F.lit("-"), F.sha2(F.encode("proof", "UTF-8"), 256)).alias("ending"))
-    keyed = rows.drop("proof", "leads").withColumn("key", _key("doc_id")).withColumn("next_key", _key("next.doc_id"))
-    mine = odd.select(F.col("key").alias("k1"), F.col("nth").alias("c1"), F.col("ending").alias("ending"))
-    others = odd.select(F.col("key").alias("k2"), F.col("nth").alias("c2"), F.col("ending").alias("next_ending"))
-    joined = keyed.join(mine, (F.col("key") == F.col("k1")) & (F.col("copy") == F.col("c1")), "left")
-    joined = joined.join(others, (F.col("next_key") == F.col("k2")) & (F.col("next.copy") == F.col("c2")), "left")
+    odd = odd.select(*UNIT, F.concat(F.lit("-"), F.sha2(F.encode("proof", "UTF-8"), 256)).alias("ending")).dropDuplicates(UNIT)
+    others = odd.select(F.col("u1").alias("n1"), F.col("u2").alias("n2"), F.col("ending").alias("next_ending"))
+    joined = rows.drop("proof", "leads").join(odd, UNIT, "left")
+    joined = joined.join(others, (F.col("next.u1") == F.col("n1")) & (F.col("next.u2") == F.col("n2")), "left")
     fingerprint = F.concat(_hex(F.col("h1"), F.col("h2")), F.coalesce("ending", F.lit("")))
     next_fingerprint = F.concat(_hex(F.col("next.h1"), F.col("next.h2")), F.coalesce("next_ending", F.lit("")))
     plain = _hex(F.col("e1"), F.col("e2"))
     edited = F.when(F.col("same"), fingerprint).when(plain == fingerprint, F.concat(plain, F.lit("-edited"))).otherwise(plain)
-    return joined.select(
+    made = joined.select(
         "doc_id", "n_chars", "edited_sha256", fingerprint.alias("fingerprint"), edited.alias("edited_fingerprint"),
-        F.col("same").cast("double").alias("near_edited"), (fingerprint == next_fingerprint).cast("double").alias("near_next"),
+        F.col("same").cast("double").alias("near_edited"), (fingerprint == next_fingerprint).cast("double").alias("near_next"), "times",
     )
+    return made.withColumn("time", F.explode(F.sequence(F.lit(1).cast("long"), F.col("times")))).drop("time", "times")

@@ -185,6 +185,22 @@ def test_fingerprints(spark):
     assert (one["near_next"], one["near_edited"]) == (1.0, 0.0)
 
 
+def test_fingerprints_of_rows_without_id(spark):
+    docs = [(None, f"Text {k % 50}") for k in range(400)] + [(None, None), (None, ""), (9, "Text 1"), (9, "Text 1"), (9, "text  1")]
+    rows = sorted(((-1 if d is None else d, t or "") for d, t in docs), key=lambda r: (r[0], signed(xxhash.xxh64_intdigest(r[1].encode(), 42))))
+    want = []
+    for k, (d, t) in enumerate(rows):
+        after, n = rows[(k + 1) % len(rows)][1], len(t)
+        edited = t[: n - n // 4] + after[: n // 4]
+        same = lambda a, b: float(" ".join(a.lower().split()) == " ".join(b.lower().split()))
+        want.append((None if d < 0 else d, n, hashlib.sha256(edited.encode()).hexdigest(), same(edited, t), same(after, t)))
+    df = spark.createDataFrame([(d, t, 1, 2, 3) for d, t in docs], "doc_id long, text string, u1 int, copies int, raw int").repartition(3)
+    got = fingerprints.fingerprints(df)
+    key = lambda r: (r[0] is not None, *map(str, r))
+    assert sorted(((r["doc_id"], r["n_chars"], r["edited_sha256"], r["near_edited"], r["near_next"]) for r in got.collect()), key=key) == sorted(want, key=key)
+    assert fingerprints.fingerprints(df.limit(0)).columns == got.columns and fingerprints.fingerprints(df.limit(0)).count() == 0
+
+
 def test_shards(spark):
     docs = [(k, f"text {k}") for k in range(3000)] + [(5, None), (None, "x")]
     rows = sharding.shard(spark.createDataFrame(docs, "doc_id long, text string").repartition(3), [1.0] * 24, parts=8).collect()
