@@ -71,7 +71,8 @@ def _in_order(rows: DataFrame) -> DataFrame:
 def _with_groups(rows: DataFrame) -> DataFrame:
     """in_group: whether another row has the same hash; leads: whether the row is the one its group is held against."""
     groups = rows.groupBy("me.h1", "me.h2").agg(F.count("*").alias("n"), F.min(F.struct("me.u1", "me.u2")).alias("lead"))
-    groups = groups.filter("n > 1").select(F.col("h1").alias("g1"), F.col("h2").alias("g2"), "lead")
+    # written, so that the join is of two shuffled tables and a large group of rows can be split
+    groups = stored(groups.filter("n > 1").select(F.col("h1").alias("g1"), F.col("h2").alias("g2"), "lead"), "groups")
     joined = rows.join(groups, (F.col("me.h1") == F.col("g1")) & (F.col("me.h2") == F.col("g2")), "left")
     is_lead = F.col("lead") == F.struct("me.u1", "me.u2")
     return joined.select("me.u1", "me.u2", "me", "next", "previous", F.col("lead").isNotNull().alias("in_group"), F.coalesce(is_lead, F.lit(False)).alias("leads"))
@@ -88,10 +89,10 @@ def _edited(docs: DataFrame, order: DataFrame) -> DataFrame:
     moved = rows.select(F.col("previous.u1").alias("u1"), F.col("previous.u2").alias("u2"), F.left("text", (F.col("previous.n_chars") / 4).cast("int")).alias("part"))
     n = F.length("text")
     quarter = F.floor(n / 4).cast("int")
-    follows = lambda times, row, part: F.struct(times.alias("times"), row.alias("next"), part.alias("part"))
+    follows = lambda times, row, part, ends: F.struct(times.alias("times"), row.alias("next"), part.alias("part"), F.lit(ends).alias("ends"))
     more = F.col("me.copies") - 1
-    last = follows(F.lit(1).cast("long"), F.col("next"), F.col("part"))
-    among = follows(more, F.col("me"), F.left("text", quarter))
+    last = follows(F.lit(1).cast("long"), F.col("next"), F.col("part"), True)
+    among = follows(more, F.col("me"), F.left("text", quarter), False)
     every = F.explode_outer(F.when(more > 0, F.array(last, among)).otherwise(F.array(last))).alias("after")
     joined = rows.join(moved, UNIT).select(*UNIT, "text", "me", "in_group", "leads", every)
     edited = F.concat(F.left("text", n - quarter), F.col("after.part"))
@@ -100,7 +101,7 @@ def _edited(docs: DataFrame, order: DataFrame) -> DataFrame:
     return folded.select(
         *UNIT, "me.doc_id", "me.n_chars", F.sha2(F.encode("edited", "UTF-8"), 256).alias("edited_sha256"),
         "me.h1", "me.h2", *_wide("edited_folded", ("e1", "e2")), (F.col("folded") == F.col("edited_folded")).alias("same"),
-        "after.times", "after.next", "leads", F.when(F.col("in_group"), F.col("folded")).alias("proof"),
+        "after.times", "after.next", "leads", F.when(F.col("in_group") & F.col("after.ends"), F.col("folded")).alias("proof"),
     )
 
 
@@ -114,9 +115,9 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     """
     rows = stored(_edited(docs, _with_groups(_in_order(_hashed(docs)))), "edited")
     proofs = rows.filter(F.col("proof").isNotNull())
-    leads = proofs.filter("leads").select(F.col("h1").alias("l1"), F.col("h2").alias("l2"), F.col("proof").alias("lead")).dropDuplicates(["l1", "l2"])
+    leads = proofs.filter("leads").select(F.col("h1").alias("l1"), F.col("h2").alias("l2"), F.col("proof").alias("lead"))
     odd = proofs.join(leads, (F.col("h1") == F.col("l1")) & (F.col("h2") == F.col("l2"))).filter(F.col("proof") != F.col("lead"))
-    odd = odd.select(*UNIT, F.concat(F.lit("-"), F.sha2(F.encode("proof", "UTF-8"), 256)).alias("ending")).dropDuplicates(UNIT)
+    odd = odd.select(*UNIT, F.concat(F.lit("-"), F.sha2(F.encode("proof", "UTF-8"), 256)).alias("ending"))
     others = odd.select(F.col("u1").alias("n1"), F.col("u2").alias("n2"), F.col("ending").alias("next_ending"))
     joined = rows.drop("proof", "leads").join(odd, UNIT, "left")
     joined = joined.join(others, (F.col("next.u1") == F.col("n1")) & (F.col("next.u2") == F.col("n2")), "left")
