@@ -12,14 +12,14 @@ from .text import SPACE, clean_spaces
 
 
 @cache
-def _digits() -> tuple[str, str]:
+def all_digits() -> tuple[str, str]:
     """The decimal digits of all scripts but ASCII's, and what each stands for."""
     every = [c for c in map(chr, range(128, sys.maxunicode + 1)) if unicodedata.category(c) == "Nd"]
     return "".join(every), "".join(str(unicodedata.digit(c)) for c in every)
 
 
 def _decimal(text: Column) -> Column:
-    return F.replace(F.translate(text, *_digits()), F.lit(","), F.lit(".")).cast("double")
+    return F.replace(F.translate(text, *all_digits()), F.lit(","), F.lit(".")).cast("double")
 
 
 def percentages(text: Column) -> Column:

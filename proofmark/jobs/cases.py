@@ -65,6 +65,11 @@ def chosen(values: list[str]) -> str:
     return f"case p_partkey % {len(values)} " + " ".join(f"when {k} then {v}" for k, v in enumerate(values)) + " end"
 
 
+def compared_sql(cases: tuple) -> str:
+    """The rows of `compared`."""
+    return f"select p_partkey, {chosen([said(c[0]) for c in cases])} as on_label, {chosen([said(c[1]) for c in cases])} as applied from part"
+
+
 def compared(spark: SparkSession, sf_dir: str, cases: tuple) -> DataFrame:
     """p_partkey, what the label says and what the application says."""
     part = table(spark, sf_dir, "part")
@@ -72,7 +77,7 @@ def compared(spark: SparkSession, sf_dir: str, cases: tuple) -> DataFrame:
 
 
 def checked_sql(cases: tuple) -> str:
-    """What a check has to give for each row."""
+    """What a check has to give for each row, as the cases say; the tests read it."""
     column = lambda k: chosen([said(c[k]) for c in cases])
     return f"select p_partkey, {column(2)} as status, {column(3)} as found, {column(4)} as note from part"
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from proofmark.functions import quantities as Q
 from proofmark.functions import text as T
-from proofmark.functions.constants import HEADING, SHOWN_STATUS, STATEMENT, TEXT_FIELDS, TITLES
+from proofmark.functions.constants import HEADING, MISREAD_CAPITALS, MISREAD_CHARACTERS, SHOWN_STATUS, STATEMENT, TEXT_FIELDS, TITLES
 from proofmark.operators import checks, labels, outcomes
 from proofmark.sources import extract
 from proofmark.sources import tables as S
@@ -15,45 +15,52 @@ from proofmark.streaming import feed
 
 from . import verify
 from .adapters import APPLICATIONS_SQL, LINES_SQL, PRODUCTS_SQL, RAW_SQL, VERDICTS, WARNING_LINES, applications, label_lines, strokes, table
-from .cases import ALCOHOL, NBSP, VOLUMES, WARNINGS_SQL, WIDE, checked_sql, compared, said, warned_lines, warned_strokes
+from .cases import ALCOHOL, NBSP, VOLUMES, WARNINGS_SQL, WIDE, compared, compared_sql, said, warned_lines, warned_strokes
 from .catalog import DUCK_VERDICTS, IMAGES_SQL, SUMMARY_SQL, WORDS_SQL, batch_outcomes, order_images, squash_sql
+from .figures_sql import alcohol_sql, label_volumes_sql, volume_sql
 from .registry import query
 
 # --- fields, from what the labels say -----------------------------------------------------------------------------------
 
 _EXACT, _LOOSE = "Matches the application exactly.", "Same wording as the application. Only capitalization, spacing or punctuation differs."
 _CLOSE, _SPELT = "Close to the application but not the same. Please compare.", "Same wording as the application, in a different spelling (British or American)."
-_SHOWN_SIZE = "case when p_partkey % 11 = 2 then p_size + 1 else p_size end"
-_PROOF = "p_size >= 5 and p_partkey % 2 = 0"
 _WARNED = "p_partkey % 11 <> 4"
+# what the label's own text says of the warning
+_RAW = f"concat_ws(chr(10), {', '.join(f"nullif(l{k}, '')" for k in range(10))})"
+_READ = f"select *, regexp_extract({_RAW}, '(?i)government\\s+warning') as heading, regexp_replace(regexp_extract({_RAW}, '(?is)government\\s+warning.*?health\\s+problems\\S*'), '\\s+', ' ', 'g') as warning from ({PRODUCTS_SQL})"
+_DISTANCE = f"levenshtein({squash_sql('warning')}, '{T.squash_text(STATEMENT)}')"
+_LOWER = r"length(regexp_replace(heading, '[^\p{Ll}]', '', 'g'))"
 #: key, rows that have the field, status, expected, found, note
 _RULES = (
     ("brand_name", "true", "case when p_partkey % 11 = 9 then 'review' else 'match' end", "brand_name", "l0", f"case when p_partkey % 11 = 9 then '{_CLOSE}' when l0 = brand_name then '{_EXACT}' else '{_LOOSE}' end"),
     ("class_type", "true", "'match'", "class_type", "l1", f"case when p_partkey % 11 = 10 then '{_SPELT}' else '{_EXACT}' end"),
-    (
-        "alcohol_content", "true", "case when p_partkey % 11 = 2 then 'mismatch' else 'match' end", "alcohol_content",
-        f"({_SHOWN_SIZE}) || '%' || case when p_partkey % 11 <> 2 and {_PROOF} then ' (' || 2 * p_size || ' proof)' else '' end",
-        f"case when p_partkey % 11 = 2 then 'Label shows ' || p_size + 1 || '% but the application says ' || p_size || '%.' when {_PROOF} then 'Alcohol percentage and proof match.' else 'Alcohol percentage matches.' end",
-    ),
-    ("net_contents", "true", "'match'", "net_contents", "l4", "case when p_partkey % 4 = 1 then 'Same volume in different units.' else 'Net contents match.' end"),
     ("bottler", "true", "'match'", "bottler", "bottler", f"'{_EXACT}'"),
     ("country_of_origin", "country_of_origin <> ''", "'match'", "country_of_origin", "country_of_origin", f"'{_EXACT}'"),
     (
-        "warning_wording", "true", "case p_partkey % 11 when 4 then 'not_found' when 5 then 'mismatch' else 'match' end", f"'{STATEMENT}'", f"case when {_WARNED} then concat_ws(' ', l6, l7, l8, l9) end",
-        "case p_partkey % 11 when 4 then 'No government warning statement found on the label.' when 5 then 'Wording differs from the required statement at: \"because of the risk of birth defects.\".' else 'Word-for-word match with the required statement.' end",
+        "warning_wording", "true", f"case when heading = '' then 'not_found' when {_DISTANCE} = 0 then 'match' when {_DISTANCE} <= {MISREAD_CHARACTERS} then 'review' else 'mismatch' end",
+        f"'{STATEMENT}'", "case when heading <> '' then warning end",
+        f"case when heading = '' then 'No government warning statement found on the label.' when {_DISTANCE} = 0 then 'Word-for-word match with the required statement.' else 'Wording differs from the required statement at: \"because of the risk of birth defects.\".' end",
     ),
     (
-        "warning_capitals", _WARNED, "case when p_partkey % 11 = 3 then 'mismatch' else 'match' end", f"'{HEADING}'", f"left(l6, {len(HEADING)})",
-        "case when p_partkey % 11 = 3 then 'Heading must be in capital letters: \"GOVERNMENT WARNING:\".' else 'Heading is in capital letters.' end",
+        "warning_capitals", "heading <> ''", f"case when {_LOWER} = 0 then 'match' when {_LOWER} <= {MISREAD_CAPITALS} then 'review' else 'mismatch' end", f"'{HEADING}'", "heading",
+        f"case when {_LOWER} = 0 then 'Heading is in capital letters.' when {_LOWER} <= {MISREAD_CAPITALS} then 'Heading looks mostly capitalized. Please check it is all capital letters.' else 'Heading must be in capital letters: \"GOVERNMENT WARNING:\".' end",
     ),
     (
         "warning_bold", _WARNED, "case when p_partkey % 11 = 8 then 'review' else 'match' end", "'Bold'", "case when p_partkey % 11 = 8 then 'Looks regular weight' else 'Looks bold' end",
         "case when p_partkey % 11 = 8 then 'Heading does not look bolder than the text beside it. Please check by eye.' else 'Heading appears to be in bold.' end",
     ),
 )
+_FIGURES = (("alcohol_content", alcohol_sql), ("net_contents", volume_sql))
+_RANK = {key: k for k, key in enumerate(TITLES)}
 _EVERY = " union all ".join(
-    f"select p_partkey, {k} as rank, '{key}' as key, '{TITLES[key]}' as title, {status} as status, {expected} as expected, {found} as found, {note} as note from ({PRODUCTS_SQL}) where {where}"
-    for k, (key, where, status, expected, found, note) in enumerate(_RULES)
+    [
+        f"select p_partkey, {_RANK[key]} as rank, '{key}' as key, '{TITLES[key]}' as title, {status} as status, {expected} as expected, {found} as found, {note} as note from ({_READ}) where {where}"
+        for key, where, status, expected, found, note in _RULES
+    ]
+    + [
+        f"select p_partkey, {_RANK[key]}, '{key}', '{TITLES[key]}', status, {key}, found, note from ({checked(f'select p_partkey, {_RAW} as on_label, {key} as applied from ({PRODUCTS_SQL})')}) join (select p_partkey, {key} from ({PRODUCTS_SQL})) using (p_partkey)"
+        for key, checked in _FIGURES
+    ]
 )
 _SHOWN_SQL = "case status " + " ".join(f"when '{k}' then '{v}'" for k, v in SHOWN_STATUS.items()) + " end"
 
@@ -75,26 +82,21 @@ def warning_cases(spark: SparkSession, sf_dir: str) -> DataFrame:
     return verify.audit_warnings(warned_lines(spark, sf_dir), warned_strokes(spark, sf_dir))
 
 
-@query(checked_sql(ALCOHOL))
+@query(alcohol_sql(compared_sql(ALCOHOL)))
 def alcohol_cases(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = compared(spark, sf_dir, ALCOHOL)
     made = rows.select("p_partkey", checks.check_alcohol(Q.label_alcohol(F.col("on_label")), Q.proofs(F.col("on_label")), T.strip(F.col("applied"))).alias("f"))
     return made.select("p_partkey", "f.status", "f.found", "f.note")
 
 
-@query(checked_sql(VOLUMES))
+@query(volume_sql(compared_sql(VOLUMES)))
 def volume_cases(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = compared(spark, sf_dir, VOLUMES)
     made = rows.select("p_partkey", checks.check_net_contents(Q.quantities(F.col("on_label")), T.strip(F.col("applied"))).alias("f"))
     return made.select("p_partkey", "f.status", "f.found", "f.note")
 
 
-_VOLUMES_SQL = " union all ".join(
-    f"select p_partkey, {nth} as nth, {said(text)} as text, round({ml}, 6) as milliliters from part where p_partkey % {len(VOLUMES)} = {case}" for case, c in enumerate(VOLUMES) for nth, (text, ml) in enumerate(c[5], 1)
-)
-
-
-@query(f"select p_partkey, cast(nth as integer) as nth, text, cast(milliliters as double) as milliliters from ({_VOLUMES_SQL})")
+@query(label_volumes_sql(compared_sql(VOLUMES)))
 def label_volumes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every volume in a text, in all units."""
     each = compared(spark, sf_dir, VOLUMES).select("p_partkey", F.posexplode_outer(Q.quantities(F.col("on_label"))).alias("at", "q")).filter("q is not null")
