@@ -23,7 +23,7 @@ def squash_sql(x: str) -> str:
     return SQUASH_SQL.format(x)
 
 
-def _fold(x: str) -> str:
+def fold_sql(x: str) -> str:
     for variant, standard in SPELLINGS:
         x = f"replace({x}, '{variant}', '{standard}')"
     return x
@@ -42,7 +42,7 @@ def squash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _documents(spark, sf_dir).select("doc_id", kept.alias("kept")).select("doc_id", F.length("kept").cast("long").alias("n_kept"), F.md5(F.encode("kept", "UTF-8")).alias("digest"))
 
 
-@query(f"select doc_id, md5({_fold(squash_sql('text'))}) as digest from documents")
+@query(f"select doc_id, md5({fold_sql(squash_sql('text'))}) as digest from documents")
 def fold_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _documents(spark, sf_dir).select("doc_id", F.md5(F.encode(T.fold_spelling(T.squash(F.col("text"))), "UTF-8")).alias("digest"))
 

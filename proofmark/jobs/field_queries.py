@@ -16,7 +16,7 @@ from proofmark.streaming import feed
 from . import verify
 from .adapters import APPLICATIONS_SQL, LINES_SQL, PRODUCTS_SQL, RAW_SQL, VERDICTS, WARNING_LINES, applications, label_lines, strokes, table
 from .cases import ALCOHOL, NBSP, VOLUMES, WARNINGS_SQL, WIDE, compared, compared_sql, said, warned_lines, warned_strokes
-from .catalog import DUCK_VERDICTS, IMAGES_SQL, SUMMARY_SQL, WORDS_SQL, batch_outcomes, order_images, squash_sql
+from .catalog import DUCK_VERDICTS, IMAGES_SQL, SUMMARY_SQL, WORDS_SQL, batch_outcomes, fold_sql, order_images, squash_sql
 from .figures_sql import alcohol_sql, label_volumes_sql, volume_sql
 from .registry import query
 
@@ -32,10 +32,6 @@ _DISTANCE = f"levenshtein({squash_sql('warning')}, '{T.squash_text(STATEMENT)}')
 _LOWER = r"length(regexp_replace(heading, '[^\p{Ll}]', '', 'g'))"
 #: key, rows that have the field, status, expected, found, note
 _RULES = (
-    ("brand_name", "true", "case when p_partkey % 11 = 9 then 'review' else 'match' end", "brand_name", "l0", f"case when p_partkey % 11 = 9 then '{_CLOSE}' when l0 = brand_name then '{_EXACT}' else '{_LOOSE}' end"),
-    ("class_type", "true", "'match'", "class_type", "l1", f"case when p_partkey % 11 = 10 then '{_SPELT}' else '{_EXACT}' end"),
-    ("bottler", "true", "'match'", "bottler", "bottler", f"'{_EXACT}'"),
-    ("country_of_origin", "country_of_origin <> ''", "'match'", "country_of_origin", "country_of_origin", f"'{_EXACT}'"),
     (
         "warning_wording", "true", f"case when heading = '' then 'not_found' when {_DISTANCE} = 0 then 'match' when {_DISTANCE} <= {MISREAD_CHARACTERS} then 'review' else 'mismatch' end",
         f"'{STATEMENT}'", "case when heading <> '' then warning end",
@@ -50,6 +46,21 @@ _RULES = (
         "case when p_partkey % 11 = 8 then 'Heading does not look bolder than the text beside it. Please check by eye.' else 'Heading appears to be in bold.' end",
     ),
 )
+_KEPT = r"list_filter(list_transform(string_split(raw, ''), lambda c, i: case when regexp_matches(strip_accents(c), '[\p{L}\p{N}]') then i - 1 end), lambda x: x is not null)"
+
+
+def _text_sql(key: str) -> str:
+    """p_partkey, expected, status, found and note of a text field: where its letters stand in the label's, as they are or
+    under one spelling, or else which line is near. Labels of these tables have no field inside another one's first place."""
+    given = f"select p_partkey, {key} as expected, {_RAW} as raw from ({PRODUCTS_SQL}) where {key} <> ''"
+    squashed = f"select *, {squash_sql('raw')} as letters, {squash_sql('expected')} as needle, {_KEPT} as p, string_split(raw, chr(10)) as lines from ({given})"
+    away = f"levenshtein({squash_sql('x')}, needle)"
+    placed = f"select *, instr(letters, needle) as place, contains({fold_sql('letters')}, {fold_sql('needle')}) as spelt, list_sort(list_transform(lines, lambda x: {{'away': {away}, 'line': x}}))[1] as near from ({squashed})"
+    read = f"select *, case when place > 0 then raw[p[place] + 1:p[place + length(needle) - 1] + 1] when spelt or near.away <= 0.2 * length(needle) then near.line end as found from ({placed})"
+    note = f"case when place > 0 and found = expected then '{_EXACT}' when place > 0 then '{_LOOSE}' when spelt then '{_SPELT}' when found is not null then '{_CLOSE}' else 'Not found on the label.' end"
+    return f"select p_partkey, expected, case when place > 0 or spelt then 'match' when found is not null then 'review' else 'not_found' end as status, found, {note} as note from ({read})"
+
+
 _FIGURES = (("alcohol_content", alcohol_sql), ("net_contents", volume_sql))
 _RANK = {key: k for k, key in enumerate(TITLES)}
 _EVERY = " union all ".join(
@@ -61,6 +72,7 @@ _EVERY = " union all ".join(
         f"select p_partkey, {_RANK[key]}, '{key}', '{TITLES[key]}', status, {key}, found, note from ({checked(f'select p_partkey, {_RAW} as on_label, {key} as applied from ({PRODUCTS_SQL})')}) join (select p_partkey, {key} from ({PRODUCTS_SQL})) using (p_partkey)"
         for key, checked in _FIGURES
     ]
+    + [f"select p_partkey, {_RANK[key]}, '{key}', '{TITLES[key]}', status, expected, found, note from ({_text_sql(key)})" for key in TEXT_FIELDS]
 )
 _SHOWN_SQL = "case status " + " ".join(f"when '{k}' then '{v}'" for k, v in SHOWN_STATUS.items()) + " end"
 
@@ -105,8 +117,6 @@ def label_volumes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # --- places and orders ------------------------------------------------------------------------------------------------
 
-_KEPT = r"list_filter(list_transform(string_split(raw, ''), lambda c, i: case when regexp_matches(strip_accents(c), '[\p{L}\p{N}]') then i - 1 end), lambda x: x is not null)"
-
 
 @query(f"select name_key, cast(len(p) as bigint) as n, md5(array_to_string(p, ',')) as digest from (select name_key, {_KEPT} as p from ({RAW_SQL}))")
 def squash_positions(spark: SparkSession, sf_dir: str) -> DataFrame:
