@@ -5,6 +5,8 @@ import gc
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
+from contextvars import ContextVar
+from dataclasses import dataclass
 from functools import wraps
 
 import pyarrow as pa
@@ -24,14 +26,40 @@ def shared_dir(spark: SparkSession) -> str:
     return folder
 
 
+#: Paths of the tables written since `settled` began, if it runs.
+_written: ContextVar[list[str] | None] = ContextVar("written", default=None)
+
+
 def stored(df: DataFrame, label: str) -> DataFrame:
     """`df` written once to the shared folder and read again: lineage ends here, and a lost executor costs a reread."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    if (paths := _written.get()) is not None:
+        paths.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def removed(spark: SparkSession, path: str) -> None:
+    """The table at `path` is deleted, in whatever file system it is."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+
+
+def settled(spark: SparkSession, make: Callable[[], DataFrame], label: str) -> DataFrame:
+    """What `make` makes, stored; the tables that were stored on the way, which only it reads, are removed."""
+    paths: list[str] = []
+    token = _written.set(paths)
+    try:
+        made = make()
+    finally:
+        _written.reset(token)
+    result = stored(made, label)
+    for path in paths:
+        removed(spark, path)
+    return result
+
+
 def texts(docs: DataFrame) -> DataFrame:
     """doc_id and text alone, so other columns, whatever their names, neither clash nor travel; a null text is empty."""
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text"), F.lit("")).alias("text"))
@@ -41,27 +69,42 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
-#: Bits of the table that tells which documents may have work left; its size does not grow with the data.
-SLOTS = 1 << 23
+#: Bits of the table that tells which documents may have work left: at least, at most (128 MB), and for each row asked for.
+SLOTS, MOST_SLOTS, PER_ROW = 1 << 23, 1 << 30, 16
 MARK = "marked__"
 
 
-def _slot() -> Column:
-    return F.pmod(F.xxhash64(F.col("doc_id").cast("long")), F.lit(SLOTS))
+def slots_for(rows: int) -> int:
+    """The power of two that gives each row PER_ROW bits, so about one document in 16 is marked in vain; within the bounds."""
+    return min(MOST_SLOTS, max(SLOTS, 1 << (PER_ROW * rows - 1).bit_length()))
+
+
+@dataclass
+class Marks:
+    """A table of 4 kB strings of bits, and how many bits there are."""
+
+    table: DataFrame
+    slots: int
+
+    def slot(self) -> Column:
+        return F.pmod(F.xxhash64(F.col("doc_id").cast("long")), F.lit(self.slots))
 
 
-def marks(ids: DataFrame) -> DataFrame:
-    """A bit for each slot that a doc_id of `ids` falls in: 1 MB at most, whatever the data."""
-    slots = ids.select(_slot().alias("slot"))
-    return slots.groupBy(F.bitmap_bucket_number("slot").alias("bucket__")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("slot")).alias("bits__"))
+def marks(ids: DataFrame) -> Marks:
+    """A bit for each slot that a doc_id of `ids` falls in; `ids` is a written table, which is counted first. Beyond 67
+    million rows the bits for each get fewer, and at last all documents are marked: that costs moves and no result."""
+    found = Marks(ids, slots_for(ids.count()))
+    slots = ids.select(found.slot().alias("slot"))
+    bits = slots.groupBy(F.bitmap_bucket_number("slot").alias("bucket__")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("slot")).alias("bits__"))
+    return Marks(bits, found.slots)
 
 
-def with_mark(docs: DataFrame, marked: DataFrame) -> DataFrame:
+def with_mark(docs: DataFrame, marked: Marks) -> DataFrame:
     """`docs` with MARK: false only where the doc_id is not among those of the marks. No shuffle of `docs`."""
-    bit = F.bitmap_bit_position(_slot())
+    bit = F.bitmap_bit_position(marked.slot())
     byte = F.conv(F.hex(F.substring("bits__", (bit / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
     hit = byte.bitwiseAND(F.pow(F.lit(2), bit % 8).cast("int")) > 0
-    joined = docs.withColumn("bucket__", F.bitmap_bucket_number(_slot())).join(F.broadcast(marked), "bucket__", "left")
+    joined = docs.withColumn("bucket__", F.bitmap_bucket_number(marked.slot())).join(F.broadcast(marked.table), "bucket__", "left")
     return joined.withColumn(MARK, F.coalesce(hit, F.lit(False))).drop("bucket__", "bits__")
 
 

@@ -392,19 +392,71 @@ def _cells(similarity: float) -> Callable[[Iterator[pa.RecordBatch]], Iterator[p
     return tidy(run)
 
 
-def _left_over(members: DataFrame, roots: DataFrame, nodes: DataFrame, sets: DataFrame, similarity: float, cell: int) -> DataFrame:
+def _mixed(members: DataFrame, roots: DataFrame) -> DataFrame:
+    """Rows (key, fp) of the groups that hold several components, with their root, whether that is outside the group's
+    largest component, and the numbers of the group's rows (n) and of those outside (m)."""
+    named = members.join(roots, members.fp == roots.node, "left").select("key", "fp", F.coalesce("root", "fp").alias("root"))
+    named = stored(named, "named")
+    parts = named.groupBy("key", "root").agg(F.count("*").alias("rows"))
+    groups = parts.groupBy("key").agg(F.max(F.struct("rows", "root")).alias("main"), F.sum("rows").alias("n"), F.count("*").alias("parts"))
+    groups = groups.filter("parts > 1").select("key", "n", (F.col("n") - F.col("main.rows")).alias("m"), F.col("main.root").alias("main"))
+    return stored(named.join(stored(groups, "groups"), "key").select("key", "fp", "root", "n", "m", (F.col("root") != F.col("main")).alias("outside")), "mixed")
+
+
+#: Hashes that a task hands on at once.
+HANDED = 1 << 20
+
+
+def _spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A row (fp, hash) for each hash of each set."""
+    names: list[int] = []
+    held: list[np.ndarray] = []
+
+    def rows() -> pa.RecordBatch:
+        repeated = np.repeat(np.array(names, np.int64), [len(h) for h in held])
+        return pa.RecordBatch.from_arrays([pa.array(repeated), pa.array(np.concatenate(held).view(np.int64))], names=["fp", "hash"])
+
+    size = 0
+    for batch in sliced(batches):
+        for fp, hashes in zip(batch.column("fp").to_pylist(), batch.column("hashes").to_pylist(), strict=True):
+            names.append(fp)
+            held.append(np.frombuffer(hashes, np.uint64))
+            size += len(held[-1])
+            if size >= HANDED:
+                yield rows()
+                names, held, size = [], [], 0
+    if held:
+        yield rows()
+
+
+def _with_partners(large: DataFrame, nodes: DataFrame, sets: DataFrame, similarity: float) -> tuple[DataFrame, DataFrame]:
+    """Rows (key, fp) of large groups that may be similar to another, and links between these and one row of their group.
+
+    `own` counts the hashes of a set that no other has. Two sets share at most what either has besides, so they share the
+    part t of their union only if own + own' <= (1 - t) / t * (size - own). A row for which the least `own` of its group is
+    too much has no partner there: texts of one template that differ in more than t allows go without being compared.
+    The others are compared with that row, as a template's plainest copy is the one that most of them are similar to.
+    """
+    asked = sets.join(large.select("fp").distinct(), "fp", "left_semi")
+    hashes = asked.mapInArrow(tidy(_spread), "fp long, hash long").groupBy("hash").agg(F.count("*").alias("sets"), F.min("fp").alias("fp"))
+    own = stored(hashes.filter("sets = 1").groupBy("fp").agg(F.count("*").alias("own")), "own")
+    rows = large.select("key", "fp", "root").join(nodes.select("fp", "size"), "fp").join(own, "fp", "left").withColumn("own", F.coalesce("own", F.lit(0)))
+    rows = stored(rows, "rows")
+    least = stored(rows.groupBy("key").agg(F.min(F.struct("own", "fp", "root")).alias("least")), "least")
+    room = (F.col("size") - F.col("own")) * (1 - similarity) / similarity + 1e-6
+    kept = stored(rows.join(least, "key").filter(F.col("own") + F.col("least.own") <= room), "kept")
+    pairs = stored(kept.filter("root <> least.root").select(F.col("least.fp").alias("a"), F.col("fp").alias("b")).distinct(), "pairs")
+    return kept.select("key", "fp"), stored(similar_pairs(pairs, sets, similarity), "partners")
+
+
+def _left_over(mixed: DataFrame, nodes: DataFrame, sets: DataFrame, similarity: float, cell: int) -> DataFrame:
     """Links (a, b) between rows that share a band, are not in one component yet and are similar by exact count.
 
-    A group's main component is that of its least name. Rows outside it are compared with all rows of the group: those on
-    the left, all on the right, each side dealt into blocks of about `cell` rows. Rows of the main component are never
-    compared with each other, so a large group of near copies goes to the cells once, not once for each block.
+    Rows outside a group's main component are compared with all rows of the group: those on the left, all on the right,
+    each side dealt into blocks of about `cell` rows. Rows of the main component are never compared with each other, so a
+    large group of near copies goes to the cells once, not once for each block.
     """
-    named = members.join(roots, members.fp == roots.node, "left").select("key", "fp", "n", F.coalesce("root", "fp").alias("root"))
-    named = stored(named, "named")
-    main = named.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.min_by("root", "fp").alias("main")).filter("low <> high")
-    mixed = stored(named.join(main.select("key", "main"), "key").withColumn("outside", F.col("root") != F.col("main")), "mixed")
-    outside = mixed.groupBy("key").agg(F.count_if("outside").alias("m"))
-    rows = mixed.join(outside, "key").join(nodes.select("fp", "size", "least"), "fp")
+    rows = mixed.join(nodes.select("fp", "size", "least"), "fp")
     blocks = lambda n: F.ceil(F.col(n) / F.lit(cell)).cast("int")
     mine = lambda n: F.pmod(F.xxhash64("fp"), blocks(n)).cast("int")
     place = lambda i, j, left: F.struct(i.alias("i"), j.alias("j"), F.lit(left).alias("left"))
@@ -420,7 +472,8 @@ def similar_groups(docs: DataFrame, similarity: float = SIMILARITY, cell: int =
     """doc_id and component_id, the smallest doc_id of the group, for each row of `docs` with a doc_id.
 
     Two texts are linked if their sets of five-word shingles share `similarity`, by exact count. Compared are those that
-    agree on a band of least hashes: first each with one of its group, then all that are not in one component by then.
+    agree on a band of least hashes: first each with one of its group, then all that are not in one component by then. Of
+    groups with over `cell` rows outside their main component, rows that can't have a partner are left out first.
     Equal sets are one node. Texts without words are one group.
     """
     rows = texts(docs).filter("doc_id is not null")
@@ -437,8 +490,14 @@ def similar_groups(docs: DataFrame, similarity: float = SIMILARITY, cell: int =
     stars = stored(members.filter("fp <> a").select("a", F.col("fp").alias("b")).distinct(), "stars")
     edges = stored(similar_pairs(stars, sets, similarity), "similar")
     roots = components(edges)
-    more = _left_over(members, roots, nodes, sets, similarity, cell)
-    more = stored(more, "more")
+    mixed = _mixed(members, roots)
+    large = mixed.filter(F.col("m") > cell)
+    if not large.isEmpty():
+        kept, partners = _with_partners(large, nodes, sets, similarity)
+        edges = edges.unionByName(partners)
+        roots = components(edges)
+        mixed = _mixed(mixed.filter(F.col("m") <= cell).select("key", "fp").unionByName(kept), roots)
+    more = stored(_left_over(mixed, nodes, sets, similarity, cell), "more")
     if not more.isEmpty():
         roots = components(edges.unionByName(more))
     named = nodes.join(roots, nodes.fp == roots.node, "left").select("fp", "id", F.coalesce("root", "fp").alias("root"))

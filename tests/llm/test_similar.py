@@ -1,11 +1,13 @@
 """Groups of similar texts against brute force, by kind of edit, and a large group of near copies."""
 
+import os
 import random
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
-from proofmark.llm import simhash
+from proofmark.llm import common, simhash
 
 
 def shingles(text):
@@ -106,3 +108,41 @@ def test_links_within_a_cell_are_fewer_than_components():
                 up[find(i)] = find(j)
     assert len(found) == 120 - len({find(k) for k in range(120)})
     assert simhash._alike(sets[0][:0], sets[0][:0], 0.8) and not simhash._alike(sets[0], sets[0][:0], 0.8)
+
+
+@pytest.mark.parametrize("plain", [False, True])
+def test_template_below_the_threshold(spark, monkeypatch, plain):
+    """Texts of one template, each with an end of its own, at a similarity of 0.71: no group of more than a cell is dealt,
+    however many there are. With the bare template beside them, which each is similar to, they are one group."""
+    dealt = []
+    left_over = simhash._left_over
+    monkeypatch.setattr(simhash, "_left_over", lambda mixed, *a: dealt.append(mixed.filter("m > 20").count()) or left_over(mixed, *a))
+    words = [f"w{k}" for k in range(200)]
+    for n in (150, 300):
+        docs = [" ".join([*words, *(f"own{k}x{i}" for i in range(40))]) for k in range(n)] + [" ".join(words)] * plain
+        df = spark.createDataFrame(list(enumerate(docs)), "doc_id long, text string").repartition(3)
+        got = {r["doc_id"]: r["component_id"] for r in simhash.similar_groups(df, cell=20).collect()}
+        assert got == {k: 0 if plain else k for k in range(len(docs))}
+    assert dealt == [0, 0]
+
+
+def test_settled(spark):
+    """The table is there, and of those written on the way none is left."""
+    seen = []
+
+    def make():
+        seen.append(common.stored(spark.range(9), "way"))
+        return seen[0].filter("id > 5")
+
+    got = common.settled(spark, make, "made")
+    assert sorted(r["id"] for r in got.collect()) == [6, 7, 8]
+    assert seen[0].inputFiles() and not any(os.path.exists(f.removeprefix("file://")) for f in seen[0].inputFiles())
+
+
+def test_marks_grow_with_the_rows(spark, monkeypatch):
+    assert [common.slots_for(n) for n in (0, 1, 1 << 19, (1 << 19) + 1, 10**7, 10**12)] == [1 << 23] * 3 + [1 << 24, 1 << 28, 1 << 30]
+    monkeypatch.setattr(common, "SLOTS", 1 << 16)
+    docs = spark.range(30_000).withColumnRenamed("id", "doc_id")
+    marked = common.with_mark(docs, common.marks(docs.filter("doc_id % 3 = 0")))
+    counts = {r[0]: (r[1], r[2]) for r in marked.groupBy(F.col("doc_id") % 3 == 0).agg(F.count_if(common.MARK), F.count("*")).collect()}
+    assert counts[True] == (10_000, 10_000) and 0 < counts[False][0] < 0.1 * counts[False][1]
