@@ -1,8 +1,9 @@
 """Exact token counts of every prefix of a text, by dynamic programming over last tokens.
 
 The count at a prefix is one more than the count where its last token starts. Word borders that no token crosses split a
-text, so a prefix's count is the count up to its word plus the count within the word; the words' own prefixes are worked
-out once for each distinct word and kept, and answer "how many tokens", "over the limit?" and "how much fits?" alike.
+text, so a prefix's count is the count up to its word plus the count within the word. What a whole word costs is worked out
+once for each distinct word and kept, which answers "how many tokens" and "over the limit?"; the prefixes of the one word
+in which a budget ends are worked out where "how much fits?" asks for them.
 """
 
 from collections.abc import Callable, Iterator
