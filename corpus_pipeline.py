@@ -25,12 +25,17 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of similar documents the one of the smallest doc_id stays, and one row of a repeated doc_id.
+    """Of each group of near copies the one of the smallest doc_id stays, and one row of a repeated doc_id.
 
-    Only documents in question are moved: a table of bits of bounded size tells the others. Rows without doc_id stay.
+    Groups are those of op7, by SimHash fingerprints and their index; texts that share 0.8 of their shingles by exact count,
+    but whose fingerprints differ in more bits, join them. Only documents in question are moved: a table of bits of bounded
+    size tells the others. Rows without doc_id stay.
     """
-    groups = simhash.similar_groups(docs).groupBy("doc_id").agg(F.min("component_id").alias("component_id"), F.count("*").alias("n"))
-    doubtful = stored(groups.filter("doc_id <> component_id or n > 1"), "doubtful")
+    known = docs.filter("doc_id is not null")
+    groups = stored(simhash.merged_groups(simhash.simhash_components(known), simhash.similar_groups(known)), "groups")
+    repeated = known.groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.count("*").alias("n")).filter("n > 1")
+    either = groups.join(repeated, "doc_id", "full").select("doc_id", F.coalesce("component_id", "doc_id").alias("component_id"), F.coalesce("n", F.lit(1)).alias("n"))
+    doubtful = stored(either.filter("doc_id <> component_id or n > 1"), "doubtful")
     rows = docs.select(F.struct("*").alias("row"), F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("order"))
     marked = with_mark(rows, marks(doubtful))
     asked = marked.filter(MARK).drop(MARK).join(doubtful.select("doc_id", "component_id"), "doc_id", "left")

@@ -504,3 +504,17 @@ def similar_groups(docs: DataFrame, similarity: float = SIMILARITY, cell: int =
     least = named.groupBy("root").agg(F.min("id").alias("component_id"))
     named = named.join(least, "root").select("fp", "component_id")
     return fps.select("doc_id", "fp").join(named, "fp").select("doc_id", "component_id")
+
+
+def merged_groups(*parts: DataFrame) -> DataFrame:
+    """doc_id and component_id, the smallest doc_id that links of any part lead to, for each doc_id that has a link.
+
+    Parts have doc_id and component_id, the smallest doc_id of a group, of rows that all have a doc_id.
+    """
+    links = parts[0].select("doc_id", "component_id")
+    for more in parts[1:]:
+        links = links.unionByName(more.select("doc_id", "component_id"))
+    edges = stored(links.filter("doc_id <> component_id").select(F.col("component_id").alias("a"), F.col("doc_id").alias("b")).distinct(), "group_links")
+    roots = stored(components(edges), "group_roots")
+    least = stored(roots.groupBy("root").agg(F.min("node").alias("component_id")), "group_names")
+    return roots.join(least, "root").select(F.col("node").alias("doc_id"), "component_id")

@@ -3,6 +3,7 @@
 import os
 import random
 
+import corpus_pipeline
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -146,3 +147,30 @@ def test_marks_grow_with_the_rows(spark, monkeypatch):
     marked = common.with_mark(docs, common.marks(docs.filter("doc_id % 3 = 0")))
     counts = {r[0]: (r[1], r[2]) for r in marked.groupBy(F.col("doc_id") % 3 == 0).agg(F.count_if(common.MARK), F.count("*")).collect()}
     assert counts[True] == (10_000, 10_000) and 0 < counts[False][0] < 0.1 * counts[False][1]
+
+
+def test_stage_goes_by_fingerprints_and_by_shares(spark):
+    """Texts whose fingerprints differ in three bits at most are near copies, also where they share less than 0.8; so are those that
+    share 0.8 whatever their fingerprints; and a document that is near one of either kind joins both."""
+    rng = random.Random(11)
+    line = " ".join(f"w{k}" for k in range(31))
+    own = lambda n: " ".join(f"own{rng.randrange(10**9)}" for _ in range(n))
+    base = [f"w{rng.randrange(10**5)}" for _ in range(200)]
+    texts = {3: " ".join([line] * 40 + [own(15)]), 4: " ".join([line] * 40 + [own(15)]), 7: " ".join(base), 9: " ".join(edited(rng, base, "appended", 7)), 12: own(80)}
+    docs = spark.createDataFrame([(k, t, "xa", "s", len(t)) for k, t in texts.items()] + [(None, texts[3], "xa", "s", 1), (12, own(9), "xa", "s", 1)], "doc_id long, text string, lang string, source string, n_chars long")
+    prints = {k: simhash.fingerprint(t, 3) for k, t in texts.items()}
+    apart = lambda a, b: ((prints[a] ^ prints[b]) & (1 << 64) - 1).bit_count()
+    share = lambda a, b: len(shingles(texts[a]) & shingles(texts[b])) / len(shingles(texts[a]) | shingles(texts[b]))
+    assert apart(3, 4) <= 3 and share(3, 4) < 0.8
+    assert apart(7, 9) > 3 and share(7, 9) >= 0.8
+    out = corpus_pipeline.drop_near_copies(spark, docs, "")
+    assert out.columns == docs.columns
+    assert sorted(r["doc_id"] or 0 for r in out.collect()) == [0, 3, 7, 12]
+
+
+def test_merged_groups(spark):
+    """A chain of links of either kind is one group."""
+    one = spark.createDataFrame([(1, 1), (2, 1), (5, 5), (7, 5), (8, 8)], "doc_id long, component_id long")
+    other = spark.createDataFrame([(1, 1), (2, 2), (5, 2), (7, 7), (8, 8)], "doc_id long, component_id long")
+    assert {r["doc_id"]: r["component_id"] for r in simhash.merged_groups(one, other).collect()} == {1: 1, 2: 1, 5: 1, 7: 1}
+    assert simhash.merged_groups(one.filter("doc_id = 8")).count() == 0
