@@ -3,11 +3,12 @@
 import hashlib
 from collections.abc import Callable, Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark import cloudpickle
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from .tables import LABEL_LINES
 
@@ -17,6 +18,8 @@ Reader = Callable[[bytes], list[tuple[str, float, list[tuple[float, float]]]]]
 READ_LINES = T.StructType([*LABEL_LINES.fields, T.StructField("error", T.StringType())])
 #: Readers that a worker keeps from one task to the next, the last ones used: an engine takes long to load.
 MOST_READERS = 4
+#: Lines that a task holds before it hands them on, and those of one more image.
+HELD_LINES = 4096
 _readers: dict[str, Reader] = {}
 
 
@@ -37,25 +40,40 @@ def _read(read: Reader, name: str, content: bytes | None) -> list[tuple]:
         return [(name, None, None, None, None, f"{type(e).__name__}: {e}")]
 
 
+def _handed_on(read: Reader, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The lines of all images, in batches of HELD_LINES and at most one more image's."""
+    schema = to_arrow_schema(READ_LINES)
+    rows: list[tuple] = []
+
+    def made() -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema)
+
+    for batch in batches:
+        for file, content in zip(batch.column("filename"), batch.column("content"), strict=True):
+            rows += _read(read, file.as_py(), content.as_py())
+            if len(rows) >= HELD_LINES:
+                yield made()
+                rows = []
+    if rows:
+        yield made()
+
+
 def extract_lines(images: DataFrame, make_reader: Callable[[], Reader], partitions: int | None = None) -> DataFrame:
     """`label_lines` of a table with filename and content, and the column error.
 
     A worker makes the reader once and keeps it for its further tasks. An image that the reader fails on has one row, without
     text, with the error: `verify_batch` gives its applications the message of a file that is no image. A null content has no
-    rows. Reading takes seconds an image, so the images are dealt out over `partitions` tasks first.
+    rows. Reading takes seconds an image, so the images are dealt out over `partitions` tasks first. A task hands lines on as they
+    come, so it holds a few thousand however many rows a batch of images makes.
     """
     maker = cloudpickle.dumps(make_reader)
     name = hashlib.sha256(maker).hexdigest()
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        read = _reader(name, lambda: cloudpickle.loads(maker)())
-        for batch in batches:
-            rows = [row for file, content in zip(batch["filename"], batch["content"], strict=True) for row in _read(read, file, content)]
-            made = pd.DataFrame(rows, columns=READ_LINES.names)
-            yield made.astype({"line_no": "Int32", "confidence": "Float64"})
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from _handed_on(_reader(name, lambda: cloudpickle.loads(maker)()), batches)
 
     dealt = images.select("filename", "content")
-    return (dealt.repartition(partitions) if partitions else dealt).mapInPandas(run, READ_LINES)
+    return (dealt.repartition(partitions) if partitions else dealt).mapInArrow(run, READ_LINES)
 
 
 def unread_images(lines: DataFrame) -> DataFrame:

@@ -207,3 +207,14 @@ def test_report_files(spark, tmp_path):
     assert [tuple(r) for r in back.collect()] == [tuple(r) for r in report.collect()]
     tables.write_results(report, str(tmp_path / "results"), "json")
     assert spark.read.json(str(tmp_path / "results")).count() == 1
+
+
+def test_lines_are_handed_on_as_they_come():
+    """What a task holds does not grow with the images of a batch."""
+    import pyarrow as pa
+
+    images = pa.RecordBatch.from_pydict({"filename": [f"{k}.png" for k in range(2000)], "content": [b"x" if k % 7 else None for k in range(2000)]})
+    read = lambda content: [(f"line {k}", 0.9, [(0, 0), (1, 0), (1, 1), (0, 1)]) for k in range(20)]
+    sizes = [b.num_rows for b in extract._handed_on(read, iter([images, images]))]
+    assert sum(sizes) == 2 * 20 * sum(1 for k in range(2000) if k % 7) and len(sizes) > 10
+    assert max(sizes) < extract.HELD_LINES + 20
