@@ -1,7 +1,7 @@
 """The corpus pipeline: each stage reads what the one before it wrote, and all but the last return the columns of documents."""
 
 from collections.abc import Callable
-from functools import partial
+from functools import partial, wraps
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
@@ -9,7 +9,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from proofmark.llm import language, packing, pseudonyms, simhash, suffix_dedup
-from proofmark.llm.common import MARK, documents, marks, settled, stored, with_mark
+from proofmark.llm.common import MARK, documents, marks, settled, small_batches, stored, with_mark
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
@@ -59,12 +59,23 @@ def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
     return packing.pack(docs, public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.PATTERN)
 
 
+def in_small_batches(stage: Stage) -> Stage:
+    """`stage` with Arrow batches of few MB: executors run all stages, and what one of them took outside the heap the next finds taken."""
+
+    @wraps(stage)
+    def begun(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        small_batches(spark)
+        return stage(spark, docs, sf_dir)
+
+    return begun
+
+
 STAGES: list[tuple[str, Stage]] = [
-    ("language", identify_language),
-    ("near_copies", drop_near_copies),
-    ("repeats", drop_repeats),
-    ("personal_data", hide_personal_data),
-    ("packing", pack_sequences),
+    ("language", in_small_batches(identify_language)),
+    ("near_copies", in_small_batches(drop_near_copies)),
+    ("repeats", in_small_batches(drop_repeats)),
+    ("personal_data", in_small_batches(hide_personal_data)),
+    ("packing", in_small_batches(pack_sequences)),
 ]
 
 ORACLE_SQL = None

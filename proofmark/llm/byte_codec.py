@@ -6,10 +6,11 @@ import re
 import tiktoken
 from tokenizers import Tokenizer
 
+from .common import release
 from .word_codec import byte_symbols
 
-#: Distinct chunks that a task keeps; a full store is emptied, which costs time and no result.
-KEPT_CHUNKS = 500_000
+#: Distinct chunks that a task keeps; a full store is emptied, which costs time and no result. Each takes about 200 bytes.
+KEPT_CHUNKS = 150_000
 
 
 class ByteCodec:
@@ -78,4 +79,5 @@ _codecs: dict[tuple[str, str], ByteCodec] = {}
 def codec(file: str, pattern: str) -> ByteCodec:
     if (file, pattern) not in _codecs:
         _codecs[file, pattern] = ByteCodec(file, pattern)
+        release()  # reading the file takes twice what stays of it
     return _codecs[file, pattern]
